@@ -25,7 +25,7 @@ def one_to_one(edges: DataFrame) -> DataFrame:
     augmenting path. A case is one review, so its edges are few.
     """
 
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         near = {e: list(zip(g["p"], g["distance"])) for e, g in rows.sort_values(["distance", "p"]).groupby("e")}
         owner: dict[int, int] = {}
         for start in sorted(near, key=lambda e: (len(near[e]), e)):
