@@ -108,7 +108,7 @@ def _pieces(path: str, window: int, shards: int):
 
 
 def _pack_shard(window: int):
-    def run(key, items: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, items: pd.DataFrame) -> pd.DataFrame:
         items = items.sort_values(["length", "doc_id", "start", "ids_crc32"], kind="stable", ignore_index=True)
         lengths = items["length"].to_numpy()
         full = np.flatnonzero(lengths >= window)
