@@ -310,7 +310,7 @@ def plausible(kind: str, found: str) -> bool:
     if kind == "email":
         return found.count("@") == 1 and len(found) >= 6 and not re.search(r"\s", found)
     if kind == "ip":
-        return found.count(".") == 3 and re.fullmatch(r"[0-9.]+", found) is not None and _holds("ip", found) if re.fullmatch(r"[0-9]+(\.[0-9]+){3}", found) else False
+        return re.fullmatch(r"[0-9]+(\.[0-9]+){3}", found) is not None and _holds("ip", found)
     if kind == "card":
         return 13 <= digits <= 19 and re.fullmatch(r"[0-9 .-]+", found) is not None and luhn(NOT_DIGIT.sub("", found))
     return 8 <= digits <= 15 and re.fullmatch(r"[+(]?[0-9 ().-]+", found) is not None and ("+" in found or "(" in found)
@@ -421,7 +421,11 @@ def redact(documents: DataFrame) -> DataFrame:
         def run(texts):
             bases = [base_spans(t) for t in texts]
             more = added_spans(texts, bases, shared.value)
-            return ([redacted(t, b + m) for t, b, m in zip(texts, bases, more)],)
+            out = [redacted(t, b + m) for t, b, m in zip(texts, bases, more)]
+            for i, t in enumerate(out):  # a match that failed beside another may stand alone now
+                while rest := base_spans(t):
+                    t = out[i] = redacted(t, rest)
+            return (out,)
 
         return run
 
