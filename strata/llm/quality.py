@@ -33,7 +33,7 @@ MIN_GROUP = 200
 UPPER = 0.75
 REACH = 6
 #: Floors in parts of SCALE: rates that a clean text of any source may have. They only keep a fence from closing on a group without spread.
-FLOORS = {"symbol_rate": 300, "dup_line_rate": 5000, "repeat_rate": 2000}
+FLOORS = {"symbol_rate": 300, "dup_line_rate": 5000, "repeat_rate": 3000}
 RATES = tuple(FLOORS)
 SYMBOLS = "#*$%&|<>"
 
