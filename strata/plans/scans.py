@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strata.functions import digests
 from strata.functions import text as T
-from strata.operators import merge, metrics
+from strata.operators import merge, metrics, privacy
 from strata.plans.catalog import query
 from strata.sources import corpus
 
@@ -190,3 +190,28 @@ def _flag(c: Column) -> Column:
 @query("SELECT event_type, count(*) FILTER (WHERE contains(lower(props), 'key') OR contains(lower(props), 'k')) AS hits FROM events GROUP BY event_type")
 def sensitive_keys(t):
     return t("events").groupBy("event_type").agg(F.count_if(_flag(T.sensitive_key(F.col("props")) | F.contains(F.lower("props"), F.lit("k")))).alias("hits"))
+
+
+@query("""
+SELECT doc_id, len(s)::BIGINT AS spans, array_to_string(s, ' ') AS body FROM (SELECT doc_id, regexp_extract_all(text, '(?:[A-Za-z0-9+/]{4}){7,}(?:[A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=|[A-Za-z0-9+/]{4})') AS s FROM documents) WHERE len(s) > 0""")
+def base64_runs(t):
+    """Aligned base64 spans of all documents."""
+    rows = t("documents").select("doc_id", privacy.base64_spans(F.col("text")).alias("s")).where(F.size("s") > 0)
+    return rows.select("doc_id", F.size("s").cast("long").alias("spans"), F.array_join("s", " ").alias("body"))
+
+
+@query("SELECT event_type, CASE WHEN event_type = 'error' THEN 'sensitive' ELSE 'internal' END AS classification, count(*) AS n FROM events GROUP BY ALL")
+def structured_payloads(t):
+    """Event payloads, wrapped under a sensitive key for errors, classified by a walk of their JSON."""
+    payload = F.when(F.col("event_type") == "error", F.concat(F.lit('{"meta": {"session_token": '), "props", F.lit("}}"))).otherwise(F.col("props"))
+    rows = t("events").select("event_id", "event_type", payload.alias("payload"))
+    found = privacy.classified(rows, "event_id", "payload")
+    return rows.select("event_id", "event_type").join(found, "event_id").groupBy("event_type", "classification").agg(F.count("*").alias("n"))
+
+
+@query("""
+SELECT CASE WHEN lower(source) IN ('src0', 'src1') THEN 'docs' ELSE '' END AS roles, count(*) AS files FROM documents GROUP BY ALL""")
+def path_role_counts(t):
+    folder = F.when(F.col("source").isin("src0", "src1"), "docs").otherwise("pkg")
+    paths = t("documents").select(F.concat_ws("/", folder, F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("path"))
+    return paths.groupBy(F.array_join(T.path_roles(F.col("path")), ",").alias("roles")).agg(F.count("*").alias("files"))
