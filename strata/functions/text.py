@@ -131,10 +131,8 @@ def classify_text(text: Column) -> Column:
 
 
 def test_path(path: Column) -> Column:
-    """Whether a path looks like test code: a test folder, or a test file name."""
-    parts = F.split(F.lower(path), "/")
-    name = F.element_at(parts, -1)
-    return F.exists(parts, lambda p: p.isin("test", "tests", "testing", "__tests__", "spec")) | name.rlike(r"^test_|_test\.[a-z]+$|\.test\.[a-z]+$|\.spec\.[a-z]+$")
+    """Whether a part of a path is a test folder or starts like a test file."""
+    return F.exists(F.split(F.lower(path), "/"), lambda p: p.isin("test", "tests", "testing") | F.startswith(p, F.lit("test_")))
 
 
 def signal_score(text: Column, weights: dict[str, float], is_test: Column | None = None) -> Column:
@@ -169,11 +167,11 @@ def glob_pattern(glob: str) -> str:
 
 
 def credential_shape(value: Column) -> Column:
-    """marker (placeholder-like), strong (long, with letters and digits, or a known prefix), else identifier."""
-    low = F.lower(value)
-    marker = low.rlike(r"^(<.*>|\$\{.*\}|x{4,}|\*+|changeme|change-me|example|placeholder|your[_-].*|dummy|test|none|null)$")
-    strong = value.rlike(r"^(AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|xox[baprs]-.+|eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\..*)$") | ((F.length(value) >= 16) & value.rlike("[0-9]") & value.rlike("[A-Za-z]"))
-    return F.when(marker, "marker").when(strong, "strong").otherwise("identifier")
+    """marker for markup, identifier for a plain name, strong if length and mixed classes make a secret plausible, else identifier."""
+    digit, mixed = value.rlike("[0-9]"), (value != F.lower(value)) & (value != F.upper(value))
+    symbol = value.rlike(r"[^\p{L}\p{N}_-]")
+    strong = ((F.length(value) >= 16) & (digit | mixed | symbol)) | (digit & (mixed | symbol)) | (mixed & (F.length(value) >= 12))
+    return F.when(value.rlike("[<>|]"), "marker").when(value.rlike(r"\A[A-Za-z_][A-Za-z0-9_]*\z"), "identifier").when(strong, "strong").otherwise("identifier")
 
 
 def masked_secrets(text: Column) -> Column:

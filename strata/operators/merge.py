@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from strata.functions import text as T
 
 # Ranks of verification states.
-VERIFICATION_RANK = {"unverified": 0, "candidate": 0, "statically-supported": 1, "corroborated": 2, "dataflow-verified": 3}
+VERIFICATION_RANK = {"candidate": 0, "syntax-verified": 1, "corroborated": 2, "tool-corroborated": 2, "dataflow-verified": 3, "build-verified": 3, "fact-verified": 3, "runtime-confirmed": 4, "confirmed": 4}
 
 
 def _rank(state: F.Column) -> F.Column:

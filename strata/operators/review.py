@@ -14,7 +14,7 @@ from strata.functions import text as T
 LEAST_CONFIDENCE = 0.55
 UNSAFE_FIXES = ("disable validation", "ignore error", "catch all")
 # Weights of the kinds of facts that inventories hold.
-INVENTORY_WEIGHTS = {"sink": 90, "source": 80, "entrypoint": 80, "boundary": 70, "parser": 70, "lifetime": 60, "config": 50, "dependency": 40, "other": 30}
+INVENTORY_WEIGHTS = {"eval": 90, "command": 80, "sql": 80, "path": 70, "deserialization": 70, "entrypoint": 60, "external-source": 50, "trust-boundary": 40, "unresolved-edge": 30}
 
 
 def verify(findings: DataFrame) -> DataFrame:
@@ -71,7 +71,7 @@ def evidence_packet(candidates: DataFrame, by: list[str], most: int = 8) -> Data
 
 def weighted_inventories(inventories: dict[str, DataFrame]) -> DataFrame:
     """Inventories (path, symbol, line) by kind as one ranked table: weight, kind, path, symbol, line and an ordinal within (kind, path, symbol)."""
-    parts = [df.select(F.lit(kind).alias("kind"), F.lit(INVENTORY_WEIGHTS.get(kind, INVENTORY_WEIGHTS["other"])).alias("weight"), "path", "symbol", "line") for kind, df in inventories.items()]
+    parts = [df.select(F.lit(kind).alias("kind"), F.lit(INVENTORY_WEIGHTS[kind]).alias("weight"), "path", "symbol", "line") for kind, df in inventories.items()]
     ordinal = F.row_number().over(Window.partitionBy("kind", "path", "symbol").orderBy("line")) - 1
     rows = reduce(DataFrame.unionByName, parts).withColumn("ordinal", ordinal)
     return rows.withColumn("candidate_id", F.substring(F.sha2(F.concat_ws("\x00", "kind", "path", "symbol", F.col("ordinal").cast("string")), 256), 1, 24))

@@ -174,7 +174,7 @@ def scan_priorities(t):
 
 @query("SELECT 'file-size-limit' AS reason, count(*) AS n FROM documents WHERE strlen(text) > 8192 HAVING count(*) > 0")
 def skipped_files(t):
-    return corpus.skips(corpus.document_files(t("documents")), max_file_bytes=8192)
+    return corpus.skips(corpus.document_files(t("documents")), max_file_bytes=8192, suffixes=(".txt",))
 
 
 @query("SELECT source, sha256(string_agg(source || '/' || lang || '-' || doc_id || '.txt' || chr(0) || strlen(text) || chr(0) || sha256(text) || chr(10), '' ORDER BY source || '/' || lang || '-' || doc_id || '.txt')) AS digest FROM documents GROUP BY source")

@@ -139,12 +139,12 @@ def outbox_drain(t):
     return delivery.undispatched(t("orders").select(F.col("o_orderkey").alias("delivery_id")), sent)
 
 
-_PLACE = "CASE s WHEN 'view' THEN 1 WHEN 'click' THEN 4 WHEN 'purchase' THEN 14 WHEN 'signup' THEN 0 ELSE 10 END"
+_PLACE = "CASE s WHEN 'view' THEN 2 WHEN 'click' THEN 8 WHEN 'purchase' THEN 15 WHEN 'signup' THEN 1 ELSE 13 END"
 
 
 @query(f"SELECT task_id, {_PLACE}::BIGINT AS place FROM (SELECT user_id AS task_id, arg_max(event_type, event_id) AS s FROM events GROUP BY user_id)")
 def stage_positions(t):
-    named = F.when(F.col("event_type") == "view", "planning").when(F.col("event_type") == "click", "scanning").when(F.col("event_type") == "purchase", "done").when(F.col("event_type") == "signup", "queued").otherwise("adjudication")
+    named = F.when(F.col("event_type") == "view", "RESOLVING_REVISION").when(F.col("event_type") == "click", "INVENTORY").when(F.col("event_type") == "purchase", "COMPLETED").when(F.col("event_type") == "signup", "QUEUED").otherwise("SEMANTIC_TRIAGE")
     rows = t("events").select(F.col("user_id").alias("task_id"), F.col("event_id").alias("seq"), named.alias("stage"))
     return delivery.stage_progress(rows).select("task_id", F.col("place").cast("long").alias("place"))
 

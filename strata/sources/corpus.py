@@ -9,12 +9,18 @@ from pyspark.sql.window import Window
 from strata.functions import text as T
 from strata.operators.ranking import budget_skip
 
-# Suffixes that are scanned, folders that aren't, name parts of sensitive files, and folders that come first or last.
-SUFFIXES = (".py", ".js", ".ts", ".tsx", ".jsx", ".java", ".go", ".rs", ".c", ".cc", ".cpp", ".h", ".hpp", ".rb", ".php", ".cs", ".json", ".toml", ".yaml", ".yml", ".md", ".txt", ".cfg", ".ini", ".sql", ".sh")
-IGNORED_FOLDERS = (".git", "node_modules", ".venv", "venv", "__pycache__", "dist", "build", ".tox", ".mypy_cache", "target")
-SENSITIVE_NAMES = (".env", "id_rsa", "id_dsa", ".pem", ".p12", ".pfx", ".key", "credentials")
-SOURCE_ROOTS = ("src", "lib", "app")
-LOW_PRIORITY_FOLDERS = ("test", "tests", "docs", "doc", "examples", "fixtures", "vendor", "third_party")
+# Suffixes and names that are scanned, folders and files that aren't, and folders that come first or last.
+SUFFIXES = (
+    ".ac", ".am", ".c", ".cc", ".cmake", ".conf", ".cpp", ".css", ".cxx", ".go", ".h", ".hh", ".hpp", ".html", ".hxx", ".in", ".inl", ".ipp", ".java", ".js", ".json", ".jsx", ".list", ".m4", ".php", ".po", ".pot",
+    ".py", ".rb", ".rs", ".sh", ".toml", ".tpp", ".ts", ".tsx", ".yaml", ".yml",
+)
+FILE_NAMES = ("CMakeLists.txt", "LINGUAS", "Makefile", "Makefile.inc", "Makevars", "config.mk")
+IGNORED_FOLDERS = (
+    ".git", ".hg", ".idea", ".mypy_cache", ".pytest_cache", ".ruff_cache", ".svn", ".tox", ".venv", "__pycache__", "build", "dist", "node_modules", "output", "repositories", "target", "vendor", "venv",
+)
+IGNORED_FILES = (".env", ".env.local", ".env.production")
+SOURCE_ROOTS = ("app", "lib", "package", "packages", "src")
+LOW_PRIORITY_FOLDERS = ("benchmark", "benchmarks", "demo", "demos", "doc", "docs", "example", "examples", "fixture", "fixtures", "sample", "samples", "test", "tests", "testing")
 
 
 def read_files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
@@ -37,39 +43,37 @@ def document_files(documents: DataFrame) -> DataFrame:
 
 
 def priority(path: Column) -> Column:
-    """0 for a source root, 1 for the rest, 2 for folders of low priority."""
+    """0 for a source root, 1 for the rest, 2 for folders of low priority. The file's own name doesn't count."""
+    folders = F.slice(F.split(F.lower(path), "/"), 1, F.size(F.split(path, "/")) - 1)
+    return F.when(F.arrays_overlap(folders, F.lit(list(LOW_PRIORITY_FOLDERS))), 2).when(F.coalesce(F.get(folders, F.lit(0)).isin(*SOURCE_ROOTS), F.lit(False)), 0).otherwise(1)
+
+
+def admission(path: Column, size: Column, content: Column, max_file_bytes: int = 512 * 1024, suffixes: tuple[str, ...] = SUFFIXES) -> Column:
+    """Why a file is left out, or null: ignored folder, sensitive configuration, suffix, size, binary (a NUL in the first 8,192 bytes) or not UTF-8."""
     parts = F.split(path, "/")
-    return F.when(F.arrays_overlap(parts, F.lit(list(LOW_PRIORITY_FOLDERS))), 2).when(parts[0].isin(*SOURCE_ROOTS), 0).otherwise(1)
-
-
-def admission(path: Column, size: Column, content: Column, max_file_bytes: int = 512 * 1024) -> Column:
-    """Why a file is left out, or null: ignored folder, sensitive name, suffix, size, binary (a NUL in the first 8,192 bytes) or not UTF-8."""
-    parts, name = F.split(path, "/"), F.lower(F.element_at(F.split(path, "/"), -1))
-    named = F.lit(False)
-    for s in SENSITIVE_NAMES:
-        named = named | F.contains(name, F.lit(s))
-    suffix = F.lit(False)
-    for s in SUFFIXES:
-        suffix = suffix | F.endswith(name, F.lit(s))
+    name = F.element_at(parts, -1)
+    folders = F.slice(parts, 1, F.size(parts) - 1)
+    suffix = F.regexp_extract(F.lower(name), r"[^.](\.[^.]+)$", 1)
     return (
-        F.when(F.arrays_overlap(parts, F.lit(list(IGNORED_FOLDERS))), "ignored-directory").when(named, "sensitive-name").when(~suffix, "unsupported-suffix").when(size > max_file_bytes, "file-size-limit")
+        F.when(F.arrays_overlap(folders, F.lit(list(IGNORED_FOLDERS))), "ignored-directory").when(name.isin(*IGNORED_FILES) | F.startswith(name, F.lit(".env.")), "sensitive-config")
+        .when(~name.isin(*FILE_NAMES) & ~suffix.isin(*suffixes), "unsupported-extension").when(size > max_file_bytes, "file-size-limit")
         .when(F.contains(F.substring(content, 1, 8192), F.lit(b"\0")), "binary").when(~F.is_valid_utf8(content), "non-utf8")
     )
 
 
-def inventory(files: DataFrame, max_files: int = 5000, max_total_bytes: int = 20_000_000, max_file_bytes: int = 512 * 1024, snapshot: str | None = None) -> DataFrame:
+def inventory(files: DataFrame, max_files: int = 5000, max_total_bytes: int = 20 * 1024 * 1024, max_file_bytes: int = 512 * 1024, snapshot: str | None = None, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
     """Admitted files in priority order under a byte and file budget: path, size, sha256, line_count. One budget for each ``snapshot``, if that column is named."""
     group = snapshot or "_all"
     rows = files if snapshot else files.withColumn("_all", F.lit(0))
-    rows = rows.withColumn("priority", priority(F.col("path"))).withColumn("reason", admission(F.col("path"), F.col("size"), F.col("content"), max_file_bytes)).where("reason is null")
+    rows = rows.withColumn("priority", priority(F.col("path"))).withColumn("reason", admission(F.col("path"), F.col("size"), F.col("content"), max_file_bytes, suffixes)).where("reason is null")
     lines = F.size(T.lines(F.col("content").cast("string")))
     slim = rows.select(group, "priority", "path", "size", "sha256", lines.cast("long").alias("line_count"))
     return budget_skip(slim, [group], ["priority", "path"], "size", max_total_bytes, max_files).drop("priority", *([] if snapshot else ["_all"]))
 
 
-def skips(files: DataFrame, max_file_bytes: int = 512 * 1024) -> DataFrame:
+def skips(files: DataFrame, max_file_bytes: int = 512 * 1024, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
     """Files left out by reason."""
-    return files.select(admission(F.col("path"), F.col("size"), F.col("content"), max_file_bytes).alias("reason")).where("reason is not null").groupBy("reason").agg(F.count("*").alias("n"))
+    return files.select(admission(F.col("path"), F.col("size"), F.col("content"), max_file_bytes, suffixes).alias("reason")).where("reason is not null").groupBy("reason").agg(F.count("*").alias("n"))
 
 
 def coverage(discovered: DataFrame, kept: DataFrame) -> DataFrame:

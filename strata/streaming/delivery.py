@@ -17,7 +17,10 @@ from pyspark.sql.streaming.query import StreamingQuery
 ENVELOPE = "message_id STRING, attempt INT, payload STRING, submitted_at DOUBLE"
 MAX_ATTEMPTS = 3
 # Task stages in order.
-STAGES = ["queued", "planning", "materializing", "inventory", "scanning", "dataflow", "sast", "native", "merging", "triage", "adjudication", "verification", "reporting", "persisting", "done"]
+STAGES = [
+    "QUEUED", "RESOLVING_REVISION", "CHECKING_CACHE", "DOWNLOADING_ARCHIVE", "VALIDATING_ARCHIVE", "PREPARING_WORKSPACE", "BUILD_AGENT_PREPARATION", "INVENTORY", "DATAFLOW_ANALYSIS", "AST_ANALYSIS", "SAST_ANALYSIS",
+    "PLATFORM_ANALYSIS", "SEMANTIC_TRIAGE", "FINALIZING", "COMPLETED",
+]
 
 
 def envelopes(tasks: DataFrame) -> DataFrame:
@@ -77,7 +80,7 @@ def undispatched(outbox: DataFrame, dispatched: DataFrame, limit: int = 100) ->
 
 def stage_progress(events: DataFrame) -> DataFrame:
     """Last stage of each task with its place; a task whose last stage isn't known raises. Events: task_id, stage, seq."""
-    place = F.create_map(*[F.lit(x) for i, s in enumerate(STAGES) for x in (s, i)])
+    place = F.create_map(*[F.lit(x) for i, s in enumerate(STAGES, 1) for x in (s, i)])
     last = events.groupBy("task_id").agg(F.max_by("stage", "seq").alias("stage"))
     at = place[F.col("stage")]
     return last.withColumn("place", F.when(at.isNull(), F.raise_error(F.concat(F.lit("unknown stage "), "stage"))).otherwise(at))

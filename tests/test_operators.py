@@ -230,6 +230,15 @@ def test_base64_and_globs(spark):
             assert bool(re.fullmatch(pattern, path)) == fnmatch.fnmatchcase(path, glob), (glob, path)
 
 
+def test_credential_shapes_and_names(spark):
+    values = {"<token>": "marker", "my_secret_name": "identifier", "Abc123-x": "strong", "plain words": "identifier", "aB3$": "strong", "MixedCaseOnly-": "strong"}
+    df = spark.createDataFrame([(v,) for v in values], "v string")
+    assert {r[0]: r[1] for r in df.select("v", T.credential_shape(F.col("v"))).collect()} == values
+    names = spark.createDataFrame([("a/.env.prod",), ("b/.env",), ("Makefile",), ("src/x.PY",)], "path string")
+    reason = corpus.admission(F.col("path"), F.lit(1), F.lit(b"x"))
+    assert [r[0] for r in names.select(reason).collect()] == ["sensitive-config", "sensitive-config", None, None]
+
+
 def test_state_folds(spark):
     log = spark.createDataFrame([("k", 1, 0.9, "x", "e1"), ("k", 2, 0.5, "y", None), ("k", 3, 0.7, "z", "e3")], "id string, seq long, importance double, body string, expires string")
     assert tuple(state.upsert_max(log, ["id"], "importance", "expires").select("importance", "body", "expires").first()) == (0.9, "x", "e3")
@@ -250,12 +259,12 @@ def test_promotion(spark):
 
 
 def test_corpus_admission(spark, tmp_path):
-    for name, data in {"src/a.py": b"x\ny\n", "tests/t.py": b"t", "b.py": b"\0", "c.py": b"\xff", "prod.env": b"k", "d.bin": b"1", "node_modules/m.js": b"1"}.items():
+    for name, data in {"src/a.py": b"x\ny\n", "tests/t.py": b"t", "b.py": b"\0", "c.py": b"\xff", "x.txt": b"k", "d.bin": b"1", "node_modules/m.js": b"1"}.items():
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / name).write_bytes(data)
     files = corpus.read_files(spark, str(tmp_path))
     assert [r["path"] for r in corpus.inventory(files).orderBy("path").collect()] == ["src/a.py", "tests/t.py"]
-    assert rows(corpus.skips(files), "reason", "n") == [("binary", 1), ("ignored-directory", 1), ("non-utf8", 1), ("sensitive-name", 1), ("unsupported-suffix", 1)]
+    assert rows(corpus.skips(files), "reason", "n") == [("binary", 1), ("ignored-directory", 1), ("non-utf8", 1), ("unsupported-extension", 2)]
     kept = corpus.inventory(files)
     assert rows(corpus.verified_text(files, kept), "path", "text") == [("src/a.py", "x\ny\n"), ("tests/t.py", "t")]
     (tmp_path / "src/a.py").write_bytes(b"changed")

@@ -28,7 +28,7 @@ def test_packet(spark):
 
 def test_inventories_and_dossiers(spark):
     one = spark.createDataFrame([("p", "f", 1), ("p", "f", 9)], "path string, symbol string, line int")
-    got = review.weighted_inventories({"sink": one, "odd": one.limit(1)})
-    assert sorted((r["kind"], r["weight"], r["ordinal"]) for r in got.collect()) == [("odd", 30, 0), ("sink", 90, 0), ("sink", 90, 1)]
+    got = review.weighted_inventories({"command": one, "unresolved-edge": one.limit(1)})
+    assert sorted((r["kind"], r["weight"], r["ordinal"]) for r in got.collect()) == [("command", 80, 0), ("command", 80, 1), ("unresolved-edge", 30, 0)]
     df = spark.createDataFrame([("1", "A `b`\nc", "R", "high", "CWE-1", "x.py", 3, "why")], "finding_id string, title string, rule_id string, severity string, cwe string, path string, line int, explanation string")
     assert review.dossiers(df).first()["body"].splitlines()[0] == "# A 'b' c"
