@@ -309,7 +309,9 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     texts linked to this one; ``n_copies`` the rows with the very same text.
     """
     rows = nodes_of(documents)
-    sketched = stored(rows.mapInPandas(_sketch_rows, "doc_id long, node binary, n_shingles int, sig binary, bands array<bigint>"), "sketches")
+    # Ids travel as text through pandas, which would turn a column of numbers with a null into floats.
+    made = rows.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(_sketch_rows, "doc_id string, node binary, n_shingles int, sig binary, bands array<bigint>")
+    sketched = stored(made.withColumn("doc_id", F.col("doc_id").cast("long")), "sketches")
     texts = stored(sketched.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n_copies"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "texts")
 
     banded = texts.select("node", F.explode("bands").alias("band"))
@@ -341,7 +343,7 @@ def _sketch_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         out = next(_sketch(iter([batch])))
         out.insert(0, "doc_id", batch["doc_id"].to_numpy())
-        yield out.astype({"doc_id": "Int64"})
+        yield out
 
 
 def keep_one(documents: DataFrame) -> DataFrame:

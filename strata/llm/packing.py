@@ -30,8 +30,9 @@ END_ID = 1
 #: Items that one shard holds on average; it bounds what a task sorts and keeps.
 SHARD_ITEMS = 8192
 
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, shard long"
-PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+# Ids travel as text through pandas, which would turn a column of numbers with a null into floats.
+PIECES = "doc_id string, start long, length long, ids_crc32 long, doc_tokens long, shard long"
+PACKED = "doc_id string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 def best_fill(counts: dict[int, int], room: int) -> dict[int, int]:
@@ -101,8 +102,7 @@ def _pieces(path: str, window: int, shards: int):
                     part = ids[4 * start: 4 * (start + window)]
                     turn += 1
                     rows.append((doc_id, start, len(part) // 4, zlib.crc32(part), total, turn % shards))
-            out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "shard"])
-            yield out.astype({"doc_id": "Int64"})
+            yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "shard"])
 
     return run
 
@@ -136,7 +136,7 @@ def pack(documents: DataFrame, window: int = WINDOW, tokenizer: str | None = Non
     """
     shards = max(1, -(-documents.count() // shard_items))
     # Full windows need no company, so a shard's pieces stay in proportion to its items.
-    made = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(
+    made = documents.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(
         _pieces(tokenizer or tokens.default_path(), window, shards), PIECES
     )
-    return made.groupBy("shard").applyInPandas(_pack_shard(window), PACKED)
+    return made.groupBy("shard").applyInPandas(_pack_shard(window), PACKED).withColumn("doc_id", F.col("doc_id").cast("long"))

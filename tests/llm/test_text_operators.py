@@ -242,6 +242,12 @@ def test_posterior_table():
         assert tail(least) >= ngram_join.TOLERANCE * 0.9 and (least == 0 or tail(least - 1) < ngram_join.TOLERANCE * 1.1)
 
 
+def test_large_ids_beside_nulls(spark):
+    big = (1 << 60) + 1
+    df = spark.createDataFrame([(big, "a b c"), (big + 1, "d e f"), (None, "g")], "doc_id long, text string").coalesce(1)
+    assert {r["doc_id"] for r in packing.pack(df).collect()} == {r["doc_id"] for r in ngram_join.near_duplicates(df).collect()} == {big, big + 1, None}
+
+
 # --- decontamination
 
 
