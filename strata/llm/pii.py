@@ -366,10 +366,14 @@ def added_spans(texts: list[str | None], bases: list[list[Span]], tagger: Tagger
 
 
 def fit(documents: DataFrame) -> Tagger:
-    """Train on windows of a bounded sample: SAMPLE_TEXTS texts with a digit or an at sign, drawn by a hash."""
+    """Train on windows of a bounded sample: about SAMPLE_TEXTS texts with a digit or an at sign, drawn by a hash.
+
+    Such texts are counted first, so that every task sends its share of the sample only.
+    """
     text = F.col("text").cast("string")
-    able = documents.select(text.alias("text")).where(text.rlike("[0-9@]") & (F.length(text) <= SAMPLE_CHARS))
-    rows = able.select("text", F.xxhash64("text").alias("h")).orderBy("h", "text").limit(SAMPLE_TEXTS).collect()
+    able = documents.select(text.alias("text"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)).alias("draw")).where(text.rlike("[0-9@]") & (F.length(text) <= SAMPLE_CHARS))
+    share = min(1.0, 1.5 * SAMPLE_TEXTS / max(1, able.count()))
+    rows = able.where(F.col("draw") < int(share * (1 << 30))).orderBy("draw", "text").limit(SAMPLE_TEXTS).collect()
     return train(*training_windows([r["text"] for r in rows]))
 
 
