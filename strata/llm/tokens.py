@@ -14,7 +14,7 @@ from functools import lru_cache
 import public_tokenizers
 
 #: Pieces remembered in one Python worker; the memory is emptied when full, which costs time only.
-CACHE_PIECES = 600_000
+CACHE_PIECES = 300_000
 
 #: ASCII characters that are no letters, digits or apostrophes: a run of them after a word is one piece of its own.
 TRAILING = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"

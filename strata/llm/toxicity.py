@@ -42,7 +42,7 @@ SAMPLE = 2500
 SAMPLE_CHARS = 20_000
 EPOCHS = 10
 CUT = 0.3
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 
 _WORD = re.compile(r"\w+")
 
