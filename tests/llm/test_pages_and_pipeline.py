@@ -34,6 +34,15 @@ def test_article_text(spark):
     assert (got[3], got[4], got[5], got[6]) == ("", "", "cut &am", "a < b")
 
 
+def test_odd_pages(spark):
+    big = (1 << 60) + 1
+    rows = [(big, "http://h/1", "<article>a</article>"), (None, "http://h/1", "<article>b</article>"), (None, None, None), (big, "http://h/1", "<article>a</article>"), (7, "http://h/" + "x" * 9000, "<div><span>" * 30_000 + "deep")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    got = sorted(((r["page_id"] or 0), r["text"], r["n_chars"]) for r in html_extract.extract(df).collect())
+    assert got == [(0, "", 0), (0, "b", 1), (7, "deep", 4), (big, "a", 1), (big, "a", 1)]
+    assert html_extract.extract(df.limit(0)).count() == 0
+
+
 def test_unmarked_boilerplate_goes(spark):
     rng = random.Random(2)
     rows, want = [], {}
