@@ -3,7 +3,9 @@
 Each round replaces every edge by edges to the smallest known neighbour (large star,
 then small star) until nothing changes; the number of rounds grows with the
 logarithm of the longest chain. Rounds are reliable checkpoints, and only two sums
-per round reach the driver.
+per round reach the driver. The least neighbours are a checkpoint of their own: the
+join with them then shuffles both sides itself, and adaptive execution can split the
+centre of a large star over many tasks.
 """
 
 from __future__ import annotations
@@ -16,13 +18,13 @@ from strata.llm.common import cut
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select("b", "a"))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+    least = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
     return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
+    least = cut(down.groupBy("a").agg(F.min("b").alias("m")))
     return down.join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
 
 
