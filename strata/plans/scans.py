@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strata.functions import digests
 from strata.functions import text as T
-from strata.operators import merge, metrics, privacy
+from strata.operators import lookups, merge, metrics, privacy
 from strata.plans.catalog import query
 from strata.sources import corpus
 
@@ -215,3 +215,19 @@ def path_role_counts(t):
     folder = F.when(F.col("source").isin("src0", "src1"), "docs").otherwise("pkg")
     paths = t("documents").select(F.concat_ws("/", folder, F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("path"))
     return paths.groupBy(F.array_join(T.path_roles(F.col("path")), ",").alias("roles")).agg(F.count("*").alias("files"))
+
+
+@query(f"""
+WITH {_LINES}, h AS (SELECT path, line, content FROM lines WHERE contains(content, 'Apache') ORDER BY path, line LIMIT 21)
+SELECT path, line, substr(content, 1, 500) AS content, (SELECT count(*) FROM h) > 20 AS truncated FROM h ORDER BY path, line LIMIT 20""")
+def exact_search(t):
+    """The first twenty lines with a text as it is written, and whether there are more."""
+    return lookups.search(_lines(t).withColumn("line", F.col("line").cast("long")), "Apache")
+
+
+@query("""
+SELECT o_custkey AS entity, 'priority' AS field, count(DISTINCT o_orderpriority) AS n FROM orders GROUP BY o_custkey HAVING count(DISTINCT o_orderpriority) > 1""")
+def conflicting_fields(t):
+    """Customers whose orders state different priorities."""
+    values = t("orders").select(F.col("o_custkey").alias("entity"), F.lit("priority").alias("field"), F.col("o_orderkey").cast("string").alias("pointer"), F.col("o_orderpriority").alias("value"))
+    return lookups.conflicting_fields(values)
