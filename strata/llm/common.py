@@ -46,6 +46,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear_stored(spark: SparkSession) -> int:
+    """Delete the tables that ``stored`` has written to the shared folder; call it when no frame made from them is needed any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    gone = [s.getPath() for s in files.listStatus(path) if s.getPath().getName().startswith("strata-")] if files.exists(path) else []
+    for p in gone:
+        files.delete(p, True)
+    return len(gone)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """An eager reliable checkpoint; Spark removes it when the frame is gone."""
     shared_dir(df.sparkSession)

@@ -105,6 +105,14 @@ def test_pipeline_stages(spark, sf_dir):
     assert sorted(map(tuple, whole.select("doc_id", "start", "length", "ids_crc32").collect())) == sorted(map(tuple, packed.select("doc_id", "start", "length", "ids_crc32").collect()))
 
 
+def test_stored_tables_can_be_cleared(spark):
+    from strata.llm.common import clear_stored, stored
+
+    clear_stored(spark)
+    assert stored(spark.range(5), "x").count() == 5
+    assert (clear_stored(spark), clear_stored(spark)) == (1, 0)
+
+
 def test_queries_with_sql(spark, sf_dir):
     import os
 
