@@ -46,8 +46,9 @@ def metrics_by_split(t):
 
 @query(f"""
 WITH {_CASES}, t AS (SELECT count(*) AS cases, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn, sum(expected)::BIGINT AS expected_total, count(*) FILTER (WHERE expected = 0) AS clean_total, count(*) FILTER (WHERE clean_hit) AS clean_hits FROM r),
-m AS (SELECT *, tp / (tp + fp) AS precision, tp / (tp + fn) AS recall, clean_hits / clean_total AS clean_accuracy FROM t), f AS (SELECT *, 2 * precision * recall / (precision + recall) AS f1 FROM m)
-SELECT cases, tp, fp, fn, precision, recall, f1, clean_accuracy, (f1 * 0.65::DOUBLE + 1.0::DOUBLE * 0.15::DOUBLE + clean_accuracy * 0.20::DOUBLE) / (0.80::DOUBLE + 0.20::DOUBLE) AS score FROM f""")
+m AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) WHEN tp + fn = 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS precision, coalesce(tp / nullif(tp + fn, 0), 1.0) AS recall, clean_hits / clean_total AS clean_accuracy, CASE WHEN tp > 0 OR fn = 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS severity FROM t),
+f AS (SELECT *, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0.0) AS f1 FROM m)
+SELECT cases, tp, fp, fn, precision, recall, f1, clean_accuracy, (f1 * 0.65::DOUBLE + severity * 0.15::DOUBLE + clean_accuracy * 0.20::DOUBLE) / (0.80::DOUBLE + 0.20::DOUBLE) AS score FROM f""")
 def replay_score(t):
     rows = _results(t).select("expected", "tp", "fp", "predicted", F.col("tp").alias("severity_ok"), F.lit(0).alias("high_total"), F.lit(0).alias("high_hits"), F.lit(False).alias("failed"))
     return metrics.replay_metrics(rows).select("cases", "tp", "fp", "fn", "precision", "recall", "f1", "clean_accuracy", "score")
