@@ -15,7 +15,8 @@ ALIAS_KINDS = ("alias-copy", "points-to", "rebind")
 USE_KINDS = ("dereference", "member-access")
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
+    """An eager reliable checkpoint in the configured folder; one of our own is made only where none is."""
     spark = df.sparkSession
     if spark.conf.get("spark.checkpoint.dir", None) is None and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="strata-checkpoint-"))
@@ -29,14 +30,14 @@ def reach(starts: DataFrame, edges: DataFrame, scope: list[str], allowed: Column
     """
     state = [c for c in starts.columns if c != "node"]
     hops = edges.withColumnRenamed("src", "node")
-    seen = frontier = _cut(starts.select(*state, "node").distinct())
+    seen = frontier = cut(starts.select(*state, "node").distinct())
     for _ in range(rounds):
         step = frontier.join(hops, [*scope, "node"])
         step = (step.where(allowed) if allowed is not None else step).select(*state, F.col("dst").alias("node")).distinct()
-        frontier = _cut(step.join(seen, [*state, "node"], "left_anti"))
+        frontier = cut(step.join(seen, [*state, "node"], "left_anti"))
         if frontier.isEmpty():
             return seen
-        seen = _cut(seen.unionByName(frontier))
+        seen = cut(seen.unionByName(frontier))
     raise ValueError(f"reachability needs more than {rounds} rounds")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from strata.functions import text as T
+from strata.operators.graph import cut
 
 
 def clamp_limit(limit: int, most: int) -> int:
@@ -32,18 +33,24 @@ def diverse_top(df: DataFrame, group: list[str], diversity: list[str], order: li
     return top_per_group(capped.drop("_within"), group, order, per_group)
 
 
-def global_rank(df: DataFrame, order: list[Column], parts: int | None = None, rank: str = "rank") -> DataFrame:
-    """Ranks 1..N of all rows in a total order, without one task that sees them all.
+def running_total(df: DataFrame, order: list[Column], value: Column, out: str, parts: int | None = None) -> DataFrame:
+    """``out`` = the sum of ``value`` over all rows before a row in a total order, without one task that sees them all.
 
-    Rows are range-partitioned by the order; each partition counts from the rows in the partitions before it.
+    Rows are range-partitioned by the order; each partition starts from the sums of the partitions before it.
     """
-    spark = df.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    ranged = ranged.withColumn("_in", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
-    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
-    return ranged.join(F.broadcast(before), "_part").withColumn(rank, F.col("_before") + F.col("_in")).drop("_part", "_in", "_before")
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.withColumn("_value", value).repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # A checkpoint, as range bounds come from a sample: a second run of the same plan may cut elsewhere.
+    ranged = cut(ranged.withColumn("_in", F.sum("_value").over(inside) - F.col("_value")))
+    sums = ranged.groupBy("_part").agg(F.sum("_value").alias("_n"))
+    before = sums.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before_part"))  # a row a partition
+    return ranged.join(F.broadcast(before), "_part").withColumn(out, F.col("_before_part") + F.col("_in")).drop("_part", "_in", "_before_part", "_value")
+
+
+def global_rank(df: DataFrame, order: list[Column], parts: int | None = None, rank: str = "rank") -> DataFrame:
+    """Ranks 1..N of all rows in a total order."""
+    return running_total(df, order, F.lit(1).cast("long"), rank, parts).withColumn(rank, F.col(rank) + 1)
 
 
 def budget_skip(df: DataFrame, group: list[str], order: list[str], size: str, budget: int, most: int | None = None) -> DataFrame:
@@ -148,8 +155,7 @@ def evict(entries: DataFrame, now: Column, ttl_seconds: int, quota: int, free: i
     left = entries.where(~expired)
     total = left.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("_total"))
     freed_by_ttl = entries.where(expired).agg(F.coalesce(F.sum("size"), F.lit(0)).alias("_ttl"))
-    before = Window.orderBy("last_access", "key").rowsBetween(Window.unboundedPreceding, -1)
-    rows = left.where("not pinned").withColumn("_before", F.coalesce(F.sum("size").over(before), F.lit(0))).join(F.broadcast(total), F.lit(True)).join(F.broadcast(freed_by_ttl), F.lit(True))
+    rows = running_total(left.where("not pinned"), [F.asc("last_access"), F.asc("key")], F.col("size"), "_before").join(F.broadcast(total), F.lit(True)).join(F.broadcast(freed_by_ttl), F.lit(True))
     over = F.col("_total") - F.col("_before") > quota
     if free is not None:
         over = over | (free + F.col("_ttl") + F.col("_before") < floor)

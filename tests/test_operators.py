@@ -301,3 +301,15 @@ def test_fact_bundle_checks(spark):
     for wrong in ([one, one], [("b" * 64, "odd", [], "u")], [("b" * 64, "release", ["c" * 64], "u")]):
         with pytest.raises(Exception, match="invalid fact bundle"):
             datasets.checked_facts(spark.createDataFrame(wrong, schema)).collect()
+
+
+def test_running_totals_of_wide_rows(spark):
+    rng = random.Random(9)
+    data = [(i, rng.randint(0, 50), rng.randint(1, 9), "x" * (i % 7)) for i in range(3000)]
+    df = spark.createDataFrame(data, "i int, k int, v long, pad string").repartition(5)
+    got = {r["i"]: r["before"] for r in ranking.running_total(df, [F.desc("k"), F.asc("i")], F.col("v"), "before", 6).collect()}
+    total, want = 0, {}
+    for i, _, v, _ in sorted(data, key=lambda r: (-r[1], r[0])):
+        want[i] = total
+        total += v
+    assert got == want
