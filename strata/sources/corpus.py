@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from strata.functions import text as T
-from strata.operators.ranking import budget_skip
+from strata.operators.ranking import budget_skip, global_rank
 
 # Suffixes and names that are scanned, folders and files that aren't, and folders that come first or last.
 SUFFIXES = (
@@ -104,4 +103,5 @@ def text_lines(df: DataFrame, key: list[str], text: str = "text") -> DataFrame:
 
 
 def numbered(df: DataFrame, order: list[str], name: str = "seq") -> DataFrame:
-    return df.withColumn(name, F.row_number().over(Window.orderBy(*order)))
+    """Rows with their place in a total order, from 1."""
+    return global_rank(df, [F.asc(c) for c in order], rank=name)
