@@ -3,12 +3,11 @@
 A page is cut into blocks of text, each with the markup it stands in. The blocks'
 words of all pages of a host are concatenated (hosts are dealt in shards of bounded
 size) and a suffix array finds long word sequences that occur on several distinct
-pages. Words that such a sequence covers are boilerplate if the block is not inside
-the page's article element, blocks that are covered for the most part go, and unique
-runs stay. Markup has the last word where it is explicit: blocks in navigation,
-headers, footers, side columns, notices, adverts, forms, comments, scripts or styles
-never count, and blocks in an article or main element are kept even if other pages
-repeat them, since copied passages are part of a page's text.
+pages. Blocks that such sequences cover for the most part are boilerplate and go,
+unique ones stay, on every page. Markup has the last word where it is explicit:
+blocks in navigation, headers, footers, side columns, notices, adverts, forms,
+comments, scripts or styles never count, and blocks in an article or main element are
+kept even if other pages repeat them, since copied passages are part of a page's text.
 
 Defined results: null and empty pages have empty text; repeated rows get equal
 result rows; a host of one page has no repeats; broken markup is read as far as it
@@ -185,11 +184,10 @@ def clean_shard(pages: list[list[tuple[str, str]]]) -> list[str]:
         tokens[lo:hi], tokens[hi], page[lo: hi + 1] = ids, limit + k, p
     cover = np.concatenate([[0], np.cumsum(repeated(tokens, page, limit))]) if size else np.zeros(1, np.int64)
     kept: list[list[str]] = [[] for _ in pages]
-    has_main = [any(role == "main" for role, _ in blocks) for blocks in pages]
     for p, b, lo, hi in spans:
         role, text = pages[p][b]
         boilerplate = hi - lo >= 1 and cover[hi] - cover[lo] >= COVERED * (hi - lo)
-        if role == "main" or role == "open" and not has_main[p] and not boilerplate:
+        if role == "main" or role == "open" and not boilerplate:
             kept[p].append(text)
     return ["\n\n".join(k) for k in kept]
 
