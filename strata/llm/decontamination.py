@@ -1,8 +1,8 @@
 """Benchmark decontamination: rare n-gram seeds, then local alignment.
 
 Test items give word n-grams. A first pass over the corpus counts in how many
-documents each occurs; an item's seeds are its n-grams that are rare there (or its
-rarest ones, if all are common). A second pass joins documents to items by the
+documents each occurs; an item's seeds are its n-grams that are rare there, those of
+passages that are common as a whole, and its rarest ones in any case. A second pass joins documents to items by the
 seeds and aligns the item with the words around the hits by Smith-Waterman, so
 copies with replaced, dropped or added words still score. The items are a stated
 query set: they are handed to all tasks in blocks of a bounded number of n-grams,
@@ -34,6 +34,8 @@ RARE_SHARE = 0.0005
 RARE_DOCS = 20
 #: Seeds that every item keeps, the rarest first, even if none is rare.
 LEAST_SEEDS = 8
+#: Common seeds in a row from which they are a copied passage and all kept.
+COMMON_RUN = 4
 #: n-grams of items held by a task at once.
 BLOCK_SEEDS = 500_000
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -146,8 +148,18 @@ def document_counts(documents: DataFrame, block: Items) -> np.ndarray:
 
 
 def rare(block: Items, counts: np.ndarray, documents: int) -> Items:
-    """The block with only the rare seeds; every item keeps its LEAST_SEEDS rarest."""
+    """The block with the rare seeds and the runs of common ones; every item keeps its LEAST_SEEDS rarest.
+
+    A phrase that is common by itself is short. COMMON_RUN common seeds in a row are a
+    passage that many documents have copied, so all of them stay: dropping them would
+    lose those that hold another part of it, or edited.
+    """
     keep = counts <= max(RARE_DOCS, RARE_SHARE * documents)
+    by_place = np.lexsort((block.place, block.owner))
+    common = ~keep[by_place]
+    change = np.flatnonzero(np.diff(common) | np.diff(block.owner[by_place]).astype(bool)) + 1
+    lengths = np.diff(np.concatenate([[0], change, [len(common)]]))
+    keep[by_place[common & (np.repeat(lengths, lengths) >= COMMON_RUN)]] = True
     order = np.lexsort((block.place, counts, block.owner))
     first = np.searchsorted(block.owner[order], block.owner[order])
     keep[order[np.arange(len(order)) - first < LEAST_SEEDS]] = True
