@@ -9,8 +9,9 @@ The score is a logistic function of a bias, the features' weights, and all pairw
 interactions <v_i, v_j> of term features, so two terms that are harmless alone can
 count together.
 The machine is fitted by AdaGrad on a bounded sample of labelled rows (the bound
-and the longest sampled text are parameters) and then scores every whole text. A
-worker keeps the summed weight and factors of each word it has met.
+and the longest sampled text are parameters). Its bias is then set back by the ratio of
+the classes' sampling rates, so that scores mean the same at every size, and every
+whole text is scored. A worker keeps the summed weight and factors of each word it has met.
 
 Defined results: null and empty texts get the score of the bias alone; repeated rows
 get equal scores; a doc_id with several labels counts as toxic if one is; without
@@ -150,7 +151,12 @@ def train(documents: DataFrame, labels: DataFrame, held_out: tuple[int, int] | N
     chosen = known.where(" or ".join(f"(toxic = {k} and pmod(xxhash64(doc_id), 1000000) < {min(1.0, sample / n) * 1_000_000:.0f})" for k, n in sizes.items()))
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.length("text") <= SAMPLE_CHARS)
     rows = texts.join(small(chosen, 4 * sample), "doc_id").orderBy(draw, "doc_id", "text").limit(3 * sample).collect()
-    return fit([r["text"] for r in rows], [r["toxic"] for r in rows])
+    machine = fit([r["text"] for r in rows], [r["toxic"] for r in rows])
+    if len({r["toxic"] for r in rows}) == 2:
+        # The classes are thinned by different rates; without this the odds would grow by their ratio.
+        rate = {k: min(1.0, sample / n) for k, n in sizes.items()}
+        machine.bias -= float(np.log(rate[1] / rate[0]))
+    return machine
 
 
 def score(documents: DataFrame, machine: Machine, column: str = "score") -> DataFrame:
