@@ -8,6 +8,7 @@ Python worker remembers the ids of those it has met.
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from functools import lru_cache
 
@@ -25,6 +26,16 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: White space of str.split that the vocabulary doesn't drop.
+KEPT_CONTROLS = "\x1c\x1d\x1e\x1f"
+_PIECE = re.compile(rf"[\S{KEPT_CONTROLS}]+")
+
+
+def pieces_of(text: str) -> list[str]:
+    """What stands between the vocabulary's white space."""
+    return _PIECE.findall(text) if any(c in text for c in KEPT_CONTROLS) else text.split()
+
+
 class PieceEncoder:
     """Little-endian 32-bit ids of pieces, as bytes."""
 
@@ -78,7 +89,7 @@ class PieceEncoder:
             known.clear()
             self.words.clear()
             self.runs.clear()
-        pieces = (text or "").split()
+        pieces = pieces_of(text or "")
         try:
             return b"".join(map(known.__getitem__, pieces))
         except KeyError:
