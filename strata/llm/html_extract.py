@@ -1,8 +1,9 @@
 """Main text of pages by a suffix array over each host's token streams.
 
 A page is cut into blocks of text, each with the markup it stands in. The blocks'
-words of all pages of a host are concatenated (hosts are dealt in shards of bounded
-size) and a suffix array finds long word sequences that occur on several distinct
+words are concatenated, some pages at a time, and a suffix array finds the sequences of
+words of each host and on how many pages they are; summed over all pages of a host,
+these numbers tell which long word sequences occur on several distinct
 pages. Blocks that such sequences cover for the most part are boilerplate and go,
 unique ones stay, on every page. Markup has the last word where it is explicit:
 blocks in navigation, headers, footers, side columns, notices, adverts, forms,
@@ -20,22 +21,30 @@ from __future__ import annotations
 import html as entities
 import re
 from collections import Counter
+from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from strata.llm.common import small, stored
+from strata.llm.common import BROADCAST_ROWS, per_row, small, stored
 
-#: Pages of a host that are compared with each other, on average; a larger host is dealt to several shards.
+#: Pages of one suffix array; their runs are summed over all shards.
 SHARD_PAGES = 64
+#: Pages of a run from which it is joined by broadcast.
+HEAVY_PAGES = 5_000
 #: Words a repeated sequence needs, and distinct pages it must be on.
 REPEAT_WORDS = 4
 REPEAT_PAGES = 2
 #: Share of a block's words that repeats must cover for the block to go.
 COVERED = 0.6
 
+BLOCKS_TYPE = ArrayType(StructType([StructField("role", StringType()), StructField("text", StringType())]))
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
 # Element names by role.
 SKIPPED = {"script", "style", "noscript", "template", "svg", "iframe", "head", "object", "canvas", "textarea", "select", "button", "math"}
 CHROME = {"nav", "header", "footer", "aside", "form", "menu", "dialog"}
@@ -166,50 +175,143 @@ def repeated(tokens: np.ndarray, page: np.ndarray, limit: int) -> np.ndarray:
     return np.cumsum(covered)[:n] > 0
 
 
-def clean_shard(pages: list[list[tuple[str, str]]]) -> list[str]:
-    """The main text of each page of a shard, from its blocks."""
-    words: dict[str, int] = {}
-    coded, at_page, spans = [], [], []
-    size = 0
-    for p, blocks in enumerate(pages):
-        for b, (_, text) in enumerate(blocks):
-            ids = [words.setdefault(w, len(words)) for w in text.split()]
-            spans.append((p, b, size, size + len(ids)))
-            coded.append(ids)
-            size += len(ids) + 1
-    limit = len(words)
-    tokens = np.empty(size, dtype=np.int64)
-    page = np.empty(size, dtype=np.int64)
-    for k, ((p, _, lo, hi), ids) in enumerate(zip(spans, coded)):
-        tokens[lo:hi], tokens[hi], page[lo: hi + 1] = ids, limit + k, p
-    cover = np.concatenate([[0], np.cumsum(repeated(tokens, page, limit))]) if size else np.zeros(1, np.int64)
-    kept: list[list[str]] = [[] for _ in pages]
-    for p, b, lo, hi in spans:
-        role, text = pages[p][b]
-        boilerplate = hi - lo >= 1 and cover[hi] - cover[lo] >= COVERED * (hi - lo)
-        if role == "main" or role == "open" and not boilerplate:
-            kept[p].append(text)
-    return ["\n\n".join(k) for k in kept]
-
-
-def _shard(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    pages = [blocks_of(h) for h in rows["html"]]
-    texts = clean_shard(pages)
-    return pd.DataFrame({"page_id": rows["page_id"], "url": rows["url"], "text": texts, "n_chars": [len(t) for t in texts]})
+def _code(word: str, known: dict[str, int]) -> int:
+    got = known.get(word)
+    if got is None:
+        got = known[word] = int.from_bytes(blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+    return got
+
+
+def _names(codes: np.ndarray, at: np.ndarray, host: np.ndarray) -> np.ndarray:
+    """A 64-bit name of the REPEAT_WORDS words from each place on, the same in every task; hosts have names of their own."""
+    out = host.astype(np.uint64)
+    for i in range(REPEAT_WORDS):
+        out = (out ^ codes[at + i]) * _MIX
+        out ^= out >> np.uint64(31)
+    return out.view(np.int64)
+
+
+def _streams(hosts: list[str], pages: list[list], roles: tuple[str, ...], known: dict[str, int]) -> tuple[np.ndarray, ...]:
+    """The pages' blocks of some roles as one token stream, with a separator after each block, and where its whole runs begin.
+
+    Gives tokens, each one's page, block, code and openness, the first separator, and the starts.
+    """
+    words: dict[tuple[str, str], int] = {}
+    tokens, codes, page, block, is_open = [], [], [], [], []
+    for p, (host, blocks) in enumerate(zip(hosts, pages)):
+        for b, x in enumerate(blocks):
+            if x["role"] in roles:
+                part = x["text"].split()
+                tokens += [words.setdefault((host, w), len(words)) for w in part]
+                codes += [_code(w, known) for w in part]
+                tokens.append(-1), codes.append(0)
+                n = len(part) + 1
+                page += [p] * n
+                block += [b] * n
+                is_open += [x["role"] == "open"] * n
+    out = np.array(tokens, dtype=np.int64)
+    ends = np.flatnonzero(out < 0)
+    out[ends] = len(words) + np.arange(len(ends))
+    blank = np.concatenate([[0], np.cumsum(out >= len(words))])
+    last = max(0, len(out) - REPEAT_WORDS + 1)
+    starts = np.flatnonzero(blank[REPEAT_WORDS: REPEAT_WORDS + last] == blank[:last])
+    return out, np.array(page, dtype=np.int64), np.array(block, dtype=np.int64), np.array(codes, dtype=np.uint64), np.array(is_open, dtype=bool), starts
+
+
+def shard_runs(hosts: list[str], pages: list[list], roles: tuple[str, ...], known: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Names of the distinct runs of REPEAT_WORDS words of a shard, the pages with the run in an open block, and the other pages with it.
+
+    Equal runs are neighbours in the suffix array; each of a run's pages counts once.
+    """
+    tokens, page, _, codes, is_open, starts = _streams(hosts, pages, roles, known)
+    if not len(starts):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    order, rank = suffix_array(tokens)
+    whole = np.zeros(len(tokens), dtype=bool)
+    whole[starts] = True
+    at = order[whole[order]]
+    pair, which = np.unique(rank[at] * len(pages) + page[at], return_inverse=True)
+    opens = np.bincount(which, weights=is_open[at], minlength=len(pair)) > 0
+    first = np.full(len(pair), len(tokens))
+    np.minimum.at(first, which, at)
+    heads = np.flatnonzero(np.concatenate([[True], np.diff(pair // len(pages)) > 0]))
+    places = first[heads]
+    own = np.array([_code(h, known) for h in hosts], dtype=np.uint64)[page[places]]
+    return _names(codes, places, own), np.add.reduceat(opens.astype(np.int64), heads), np.add.reduceat((~opens).astype(np.int64), heads)
+
+
+def _counted(roles: tuple[str, ...], column: str):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            known: dict[str, int] = {}
+            for lo in range(0, len(batch), SHARD_PAGES):
+                part = batch.iloc[lo: lo + SHARD_PAGES]
+                names, opens, others = shard_runs(part["host"].tolist(), part["blocks"].tolist(), roles, known)
+                n = opens if column == "open" else others
+                yield pd.DataFrame({"run": names[n > 0], "n": n[n > 0]})
+
+    return run
+
+
+def _open_runs(hosts: list[str], pages: list[list]) -> list[list[int]]:
+    """The distinct runs in each page's open blocks."""
+    known: dict[str, int] = {}
+    out = []
+    for host, blocks in zip(hosts, pages):
+        _, _, _, codes, _, starts = _streams([host], [blocks], ("open",), known)
+        out.append(np.unique(_names(codes, starts, np.full(len(starts), _code(host, known), np.uint64))).tolist())
+    return out
+
+
+def clean_page(host: str, blocks: list, repeats: list[int] | None) -> str:
+    """The main text of a page, from its blocks and the repeated runs of its open ones."""
+    gone: set[int] = set()
+    if repeats:
+        known: dict[str, int] = {}
+        tokens, _, block, codes, _, starts = _streams([host], [blocks], ("open",), known)
+        hit = starts[np.isin(_names(codes, starts, np.full(len(starts), _code(host, known), np.uint64)), np.array(repeats, dtype=np.int64))]
+        cover = np.zeros(len(tokens) + 1, dtype=np.int64)
+        np.add.at(cover, hit, 1)
+        np.add.at(cover, hit + REPEAT_WORDS, -1)
+        covered = np.cumsum(cover)[:-1] > 0
+        words, of = np.bincount(block) - 1, np.bincount(block, weights=covered)
+        gone = {b for b in np.unique(block).tolist() if words[b] >= 1 and of[b] >= COVERED * words[b]}
+    return "\n\n".join(x["text"] for b, x in enumerate(blocks) if x["role"] == "main" or x["role"] == "open" and b not in gone)
+
+
+def _semi(runs: DataFrame, repeated: DataFrame) -> DataFrame:
+    """(row, run) whose run is in ``repeated`` (run, n). Runs of very many pages meet them by broadcast, so no task gets one run's pages."""
+    if repeated.count() <= BROADCAST_ROWS:
+        return runs.join(F.broadcast(repeated), "run", "left_semi")
+    heavy = F.col("n") > HEAVY_PAGES
+    return runs.join(repeated.where(~heavy), "run", "left_semi").unionByName(runs.join(small(repeated.where(heavy)), "run", "left_semi"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every row of ``pages`` (page_id, url, html).
 
-    Pages meet by host and shard. The number of shards of a host follows from its
-    counted pages, so a host with a third of all pages is spread like any other.
+    Pages are read once, in shards as they lie, and their blocks are stored. Each shard's
+    suffix array gives its runs of words with their numbers of pages; the sums over all
+    shards of a host say which runs are repeated, whatever the host's size. Only runs of
+    open blocks can decide anything, so others are counted only where they may add to those.
     """
     host = F.lower(F.regexp_extract(F.coalesce(F.col("url").cast("string"), F.lit("")), r"^[a-zA-Z]+://([^/?#]*)", 1))
-    # Ids travel as text through pandas, which would turn a column of numbers with a null into floats.
-    rows = pages.select(F.col("page_id").cast("long").cast("string").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host.alias("host"))
-    # The counts are read from urls alone; pages are shuffled once, unless there are too many hosts to broadcast.
-    sizes = small(stored(rows.groupBy("host").agg(F.ceil(F.count("*") / SHARD_PAGES).cast("int").alias("shards")), "hosts"))
-    # What tells rows apart includes the page itself: rows without an id or url are spread, too.
-    spread = F.pmod(F.xxhash64("page_id", "url", F.length("html"), F.substring("html", -200, 200)), F.col("shards"))
-    dealt = rows.join(sizes, "host").withColumn("shard", spread.cast("int"))
-    return dealt.select("host", "shard", "page_id", "url", "html").groupBy("host", "shard").applyInPandas(_shard, "page_id string, url string, text string, n_chars long").withColumn("page_id", F.col("page_id").cast("long"))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host.alias("host"))
+    read = per_row(rows, ["html"], [StructField("blocks", BLOCKS_TYPE)], lambda: lambda html: ([[{"role": r, "text": t} for r, t in blocks_of(h)] for h in html],))
+    parsed = stored(read.drop("html").withColumn("row", F.monotonically_increasing_id()), "pages")
+    loose = F.exists("blocks", lambda b: b["role"] == "open")
+    mixed = parsed.where(loose)
+    runs = "run long, n long"
+    opened = stored(mixed.select("host", "blocks").mapInPandas(_counted(("open",), "open"), runs).groupBy("run").agg(F.sum("n").alias("n")), "open-runs")
+    # Pages that have the run, but not in an open block, count for runs that lack pages.
+    lacking = opened.where(F.col("n") < REPEAT_PAGES)
+    repeated = opened.where(F.col("n") >= REPEAT_PAGES)
+    if not lacking.isEmpty():
+        others = parsed.select("host", "blocks").mapInPandas(_counted(("open", "main", "chrome"), "other"), runs).groupBy("run").agg(F.sum("n").alias("more"))
+        found = others.join(small(lacking), "run").where(F.col("n") + F.col("more") >= REPEAT_PAGES)
+        repeated = stored(repeated.unionByName(found.select("run", "n")), "repeated-runs")
+    each = per_row(mixed.select("row", "host", "blocks"), ["host", "blocks"], [StructField("runs", ArrayType(LongType()))], lambda: lambda h, b: (_open_runs(h, b),)).select("row", F.explode("runs").alias("run"))
+    hits = stored(_semi(each, repeated).groupBy("row").agg(F.collect_list("run").alias("repeats")), "repeats")
+    told = mixed.join(small(hits), "row", "left").unionByName(parsed.where(~loose).withColumn("repeats", F.lit(None).cast("array<bigint>")))
+    out = per_row(told, ["host", "blocks", "repeats"], [StructField("text", StringType())], lambda: lambda h, b, r: ([clean_page(*x) for x in zip(h, b, r)],))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
