@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from hashlib import sha256
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StringType, StructField, StructType
 
 from strata.functions import text as T
 from strata.operators.ranking import budget_skip, global_rank
@@ -90,11 +96,34 @@ def verified_text(files: DataFrame, expected: DataFrame) -> DataFrame:
     return rows.select("path", same.alias("text"))
 
 
+def _running_digest(by: list[str], schema: pa.Schema):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, digest = None, None
+        for batch in batches:
+            done = []
+            keys = zip(*[batch.column(batch.schema.get_field_index(c)).to_pylist() for c in by])
+            for key, line in zip(keys, batch.column(batch.schema.get_field_index("l")).to_pylist()):
+                if digest is None or key != held:
+                    if digest is not None:
+                        done.append((*held, digest.hexdigest()))
+                    held, digest = key, sha256()
+                digest.update(line.encode())
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*done), schema.types)], schema=schema)
+        if digest is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((*held, digest.hexdigest()), schema.types)], schema=schema)
+
+    return run
+
+
 def inventory_digest(files: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """One digest over path NUL size NUL sha256 LF of all files in path order; of each group, if named. A snapshot's list of digests is one array."""
+    """One digest over path NUL size NUL sha256 LF of all files in path order; of each group, if named. A task streams its sorted rows and holds no list."""
     line = F.concat(F.concat_ws("\x00", "path", F.col("size").cast("string"), "sha256"), F.lit("\n"))
-    out = files.groupBy(*(by or [])).agg(F.sort_array(F.collect_list(F.struct("path", line.alias("l")))).alias("x"))
-    return out.select(*(by or []), F.sha2(F.array_join(F.transform("x", lambda r: r["l"]), ""), 256).alias("digest"))
+    keys = by or ["_all"]
+    rows = (files if by else files.withColumn("_all", F.lit(0))).select(*keys, F.col("path").alias("p"), line.alias("l"))
+    schema = StructType([*rows.select(*keys).schema.fields, StructField("digest", StringType())])
+    out = rows.repartition(*keys).sortWithinPartitions(*keys, "p", "l").mapInArrow(_running_digest(keys, to_arrow_schema(schema)), schema)
+    return out if by else out.agg(F.coalesce(F.max("digest"), F.sha2(F.lit(""), 256)).alias("digest"))
 
 
 def text_lines(df: DataFrame, key: list[str], text: str = "text") -> DataFrame:
