@@ -22,7 +22,7 @@ from functools import lru_cache
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
 from strata.llm.common import crc_mod, per_row
 
@@ -34,6 +34,8 @@ SMOOTH = 0.5
 #: What a switch costs, in log units, and the most that one word may tell.
 SWITCH, WORD_LIMIT = 12.0, 4.0
 
+SPANS = ArrayType(StructType([StructField("begin", IntegerType()), StructField("end", IntegerType()), StructField("lang", StringType())]))
+
 # First and last code point of scripts.
 SCRIPTS = {
     "Latin": [(0x41, 0x5A), (0x61, 0x7A), (0xAA, 0xAA), (0xBA, 0xBA), (0xC0, 0x24F), (0x1E00, 0x1EFF)],
@@ -74,6 +76,7 @@ class Words:
     first: np.ndarray  # of each word, its first place in the slots
     pairs: np.ndarray
     triples: np.ndarray
+    begin: np.ndarray  # of each word, its first character in its text
 
 
 def words_of(texts: list[str | None]) -> Words:
@@ -98,9 +101,11 @@ def words_of(texts: list[str | None]) -> Words:
     begins = np.flatnonzero(start)
     first = np.searchsorted(at, begins)
     ends = np.append(np.cumsum([1 + len(t or "") for t in texts]), np.iinfo(np.int64).max)
+    of = np.searchsorted(ends, begins, side="right")
     return Words(
-        np.searchsorted(ends, begins, side="right"), np.diff(np.append(first, len(at))) - 1, np.where(raw[begins] <= 0xFFFF, kind[np.minimum(raw[begins], 0xFFFF)], len(SCRIPTS)),
+        of, np.diff(np.append(first, len(at))) - 1, np.where(raw[begins] <= 0xFFFF, kind[np.minimum(raw[begins], 0xFFFF)], len(SCRIPTS)),
         first, (pair >> np.uint64(40)).astype(np.int64) & (SLOTS - 1), (triple >> np.uint64(24)).astype(np.int64) & (SLOTS - 1),
+        begins - np.append(0, ends[:-1])[of] - 1,
     )
 
 
@@ -195,18 +200,26 @@ class Labeller:
         return names[_many(scores[:, names])]
 
     def __call__(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        languages, scores = ["und"] * len(texts), [0.0] * len(texts)
+        return self.labelled(texts)[:2]
+
+    def labelled(self, texts: list[str | None]) -> tuple[list[str], list[float], list[list[dict]]]:
+        """Each text's language, that language's share of the letters, and the spans of words of one language."""
+        languages, scores, spans = ["und"] * len(texts), [0.0] * len(texts), [[] for _ in texts]
         if self.n:
             w = words_of(texts)
             told = self.word_scores(w)
             edges = np.searchsorted(w.text, np.arange(len(texts) + 1))
+            end = w.begin + w.letters
             for t in range(len(texts)):
                 lo, hi = edges[t], edges[t + 1]
                 if hi > lo:
-                    share = np.bincount(self.path(told[lo:hi]), weights=w.letters[lo:hi], minlength=self.n) / w.letters[lo:hi].sum()
+                    path = self.path(told[lo:hi])
+                    share = np.bincount(path, weights=w.letters[lo:hi], minlength=self.n) / w.letters[lo:hi].sum()
                     k = int(share.argmax())
                     languages[t], scores[t] = self.model.languages[k], float(min(1.0, share[k]))
-        return languages, scores
+                    turns = [0, *(np.flatnonzero(np.diff(path)) + 1).tolist(), hi - lo]
+                    spans[t] = [{"begin": int(w.begin[lo + a]), "end": int(end[lo + b - 1]), "lang": self.model.languages[path[a]]} for a, b in zip(turns, turns[1:])]
+        return languages, scores, spans
 
 
 def train(documents: DataFrame) -> Model:
@@ -223,8 +236,8 @@ def train(documents: DataFrame) -> Model:
 
 
 def identify(documents: DataFrame) -> DataFrame:
-    """doc_id, held_out, lang_pred and score of every row."""
+    """doc_id, held_out, lang_pred, score and spans (begin, end, lang; in characters, from the first letter to behind the last) of every row."""
     shared = documents.sparkSession.sparkContext.broadcast(train(documents))
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("whole_text"))
-    found = per_row(rows, ["whole_text"], [StructField("lang_pred", StringType()), StructField("score", DoubleType())], lambda: Labeller(shared.value))
-    return found.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
+    found = per_row(rows, ["whole_text"], [StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("spans", SPANS)], lambda: Labeller(shared.value).labelled)
+    return found.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score", "spans")

@@ -27,12 +27,14 @@ from strata.llm import tokens
 
 WINDOW = 2048
 END_ID = 1
+#: The vocabulary's <|endoftext|>; it fills what a sequence leaves.
+PAD_ID = 49407
 #: Items that one shard holds on average; it bounds what a task sorts and keeps.
 SHARD_ITEMS = 8192
 
 # Ids travel as text through pandas, which would turn a column of numbers with a null into floats.
-PIECES = "doc_id string, start long, length long, ids_crc32 long, doc_tokens long, shard long"
-PACKED = "doc_id string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+PIECES = "doc_id string, start long, length long, ids_crc32 long, doc_tokens long, ids binary, shard long"
+PACKED = "doc_id string, start long, length long, ids_crc32 long, doc_tokens long, ids binary, sequence_id long, offset long"
 
 
 def best_fill(counts: dict[int, int], room: int) -> dict[int, int]:
@@ -101,8 +103,8 @@ def _pieces(path: str, window: int, shards: int):
                 for start in range(0, total, window):
                     part = ids[4 * start: 4 * (start + window)]
                     turn += 1
-                    rows.append((doc_id, start, len(part) // 4, zlib.crc32(part), total, turn % shards))
-            yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "shard"])
+                    rows.append((doc_id, start, len(part) // 4, zlib.crc32(part), total, part, turn % shards))
+            yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids", "shard"])
 
     return run
 
@@ -128,11 +130,10 @@ def _pack_shard(window: int):
     return run
 
 
-def pack(documents: DataFrame, window: int = WINDOW, tokenizer: str | None = None, shard_items: int = SHARD_ITEMS) -> DataFrame:
-    """Pieces of all ``documents`` (doc_id, text) with their places in sequences of at most ``window`` tokens.
+def pack_ids(documents: DataFrame, window: int = WINDOW, tokenizer: str | None = None, shard_items: int = SHARD_ITEMS) -> DataFrame:
+    """Pieces of all ``documents`` (doc_id, text) with their ids (little-endian, 32 bits each) and places in sequences of at most ``window`` tokens.
 
-    Only lengths and checksums are shuffled, never ids: the cuts are known where a
-    text is encoded. Sequence ids are unique across shards.
+    Sequence ids are unique across shards.
     """
     shards = max(1, -(-documents.count() // shard_items))
     # Full windows need no company, so a shard's pieces stay in proportion to its items.
@@ -140,3 +141,35 @@ def pack(documents: DataFrame, window: int = WINDOW, tokenizer: str | None = Non
         _pieces(tokenizer or tokens.default_path(), window, shards), PIECES
     )
     return made.groupBy("shard").applyInPandas(_pack_shard(window), PACKED).withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
+def sequences(pieces: DataFrame, window: int = WINDOW, pad_id: int = PAD_ID) -> DataFrame:
+    """sequence_id, n_tokens and ids (always ``window`` of them, padded behind) of what ``pack_ids`` gave."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, parts = None, []
+
+        def whole() -> tuple:
+            ids = np.frombuffer(b"".join(parts), dtype="<u4")
+            return held, len(ids), np.append(ids, np.full(window - len(ids), pad_id)).astype(np.int32)
+
+        for batch in batches:
+            rows = []
+            for sequence, ids in zip(batch["sequence_id"].tolist(), batch["ids"]):
+                if parts and sequence != held:
+                    rows.append(whole())
+                    parts = []
+                held = sequence
+                parts.append(bytes(ids))
+            yield pd.DataFrame(rows, columns=["sequence_id", "n_tokens", "ids"])
+        if parts:
+            yield pd.DataFrame([whole()], columns=["sequence_id", "n_tokens", "ids"])
+
+    placed = pieces.select("sequence_id", "offset", "ids").repartition("sequence_id").sortWithinPartitions("sequence_id", "offset")
+    return placed.mapInPandas(run, "sequence_id long, n_tokens long, ids array<int>")
+
+
+def pack(documents: DataFrame, window: int = WINDOW, tokenizer: str | None = None, shard_items: int = SHARD_ITEMS) -> DataFrame:
+    """The packed pieces with a checksum in place of their ids."""
+    packed = pack_ids(documents, window, tokenizer, shard_items)
+    return packed.withColumn("ids_crc32", F.crc32("ids")).drop("ids")

@@ -47,7 +47,7 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language_id.identify(table(spark, sf_dir, "documents"))
+    return language_id.identify(table(spark, sf_dir, "documents")).drop("spans")
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
