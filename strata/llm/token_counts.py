@@ -5,8 +5,8 @@ distinct length) answers, for every context limit, how many documents fit, how
 many tokens remain after truncation, and every quantile of the lengths.
 
 Defined results: null and empty texts have zero tokens and are counted; repeated
-rows count once each; an empty table gives an empty histogram; further columns are
-ignored.
+rows count once each; ties (equal lengths) are one row; very long texts are encoded
+whole; an empty table gives an empty histogram; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata.llm import tokens
+from strata.llm.common import stored
 
 #: Lengths in a block of the two-level suffix sums.
 BLOCK = 256
@@ -33,9 +34,12 @@ def _lengths(path: str):
 
 
 def histogram(documents: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    """(n_tokens, n_docs): documents by encoded length. Map-side counts, then one small shuffle."""
+    """(n_tokens, n_docs): documents by encoded length. Map-side counts, then one small shuffle.
+
+    The few rows are stored, as every report reads them more than once and texts are to be encoded once.
+    """
     lengths = documents.select(F.col("text").cast("string").alias("text")).mapInPandas(_lengths(tokenizer or tokens.default_path()), "n_tokens long")
-    return lengths.groupBy("n_tokens").agg(F.count("*").alias("n_docs"))
+    return stored(lengths.groupBy("n_tokens").agg(F.count("*").alias("n_docs")), "lengths")
 
 
 def suffix_report(counts: DataFrame, block: int = BLOCK) -> DataFrame:
