@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-#: Rows up to which a small side may be broadcast; beyond it a shuffled join is used.
+#: Rows and estimated bytes up to which a small side may be broadcast; beyond either a shuffled join is used.
 BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 64 << 20
 
 #: What separates words: the ASCII space and the controls from tab to carriage return.
 WORD_GAP = r"[\x20\x09-\x0D]+"
@@ -23,12 +24,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see. A folder of our own is made only where none is configured."""
+    """The folder all executors see. In local mode, as in tests, one is made where none is configured; on a cluster that is an error."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured is None:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         configured = known.get() if known.isDefined() else None
     if configured is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="strata-checkpoint-")
         spark.sparkContext.setCheckpointDir(configured)
     return configured.rstrip("/")
@@ -62,12 +65,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if its counted rows are within ``limit``; else as it is.
+def small(df: DataFrame, limit: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if its counted rows are within ``limit`` and their bytes within ``most_bytes``; else as it is.
 
-    Call it on stored frames only, as the count is a job of its own.
+    Bytes are the rows times a row's declared width, and what its texts, binaries and arrays
+    hold in fact. Call it on stored frames only, as counting is a job of its own.
     """
-    return F.broadcast(df) if df.count() <= limit else df
+    fixed = sum(8 for _ in df.schema)
+    long = [f"octet_length(`{f.name}`)" for f in df.schema if f.dataType.typeName() in ("string", "binary")]
+    long += [f"8 * size(`{f.name}`)" for f in df.schema if f.dataType.typeName() == "array"]
+    got = df.agg(F.count("*").alias("n"), F.expr(f"sum({' + '.join(f'coalesce({x}, 0)' for x in long) or '0'})").alias("b")).first()
+    return F.broadcast(df) if got["n"] <= limit and got["n"] * fixed + (got["b"] or 0) <= most_bytes else df
 
 
 def crc_mod(column: str, modulus: int) -> Column:

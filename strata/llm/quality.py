@@ -1,18 +1,21 @@
 """Quality rules with adaptive thresholds, in DataFrame operations only.
 
-Every document gets a few counts. Three of them become rates, and for each
-language and source the distribution of each rate is kept as a mergeable sketch:
-counts by logarithmic bucket (64 exact small values, then 32 buckets per power of
-two, so a quantile is off by at most 1/32 of itself). Sketches are sums, so partial
-ones combine map-side and a hot source costs no more than any other. A rate above
-its group's upper fence (median plus a multiple of the distance to the upper
-quantile, and never under a floor) rejects the document; the fences are joined
-back and filter.
+Every document gets a few counts, which give four rates. For each language and source
+the distribution of each rate is kept as a mergeable sketch: counts by logarithmic
+bucket (64 exact small values, then 32 buckets per power of two, so a quantile is off
+by at most 1/32 of itself). Sketches are sums, so partial ones combine map-side and a
+hot source costs no more than any other. A group's quantiles are drawn towards those
+of its language, and these towards the corpus's, as if PRIOR rows of the wider one had
+been added; so a group of any size has fences of its own and small ones lean on the
+wider sketch. A rate farther from its group's median than a multiple of the distance
+to an outer quantile rejects the document: fences rise and fall with the group's
+spread. The fences are joined back and filter.
 
 Defined results: null and empty texts have no words, so they fail the base rule;
-null language or source is a group of its own; repeated rows give one result row
-each; groups with few rows use their language's sketch, then the corpus's; an
-empty table gives no rows; further columns pass unseen.
+null language or source is a group of its own; very long texts are counted whole;
+ties (a rate on its fence) are kept; repeated rows give one result row each; rows of
+a group in which nothing passes the base rule have null fences; an empty table gives
+no rows; further columns pass unseen.
 """
 
 from __future__ import annotations
@@ -27,14 +30,18 @@ REPEAT_WINDOW = 8
 MIN_WORDS = 20
 #: Rates are counted in parts of so many.
 SCALE = 10_000
-#: Rows a group needs for fences of its own.
-MIN_GROUP = 200
-#: The fence of a rate: median + REACH * (upper quantile - median), at least the floor.
-UPPER = 0.75
-REACH = 6
-#: Floors in parts of SCALE: rates that a clean text of any source may have. They only keep a fence from closing on a group without spread.
-FLOORS = {"symbol_rate": 300, "dup_line_rate": 5000, "repeat_rate": 3000}
-RATES = tuple(FLOORS)
+#: Rows of the wider group that a group's quantiles are mixed with.
+PRIOR = 200
+#: For each rate: percent point of the lower fence's quantile (none: no lower fence) and of the upper one's, the
+#: multiple of the distance from the median, and the least distance, which only keeps a fence from closing on a group whose rows are all alike.
+RULES: dict[str, tuple[int | None, int, int, int]] = {
+    "symbol_rate": (None, 75, 6, 15),
+    "dup_line_rate": (None, 98, 3, 60),
+    "repeat_rate": (None, 98, 3, 60),
+    "word_length": (25, 75, 8, 16),
+}
+RATES = tuple(RULES)
+LOWER = tuple(r for r in RATES if RULES[r][0] is not None)
 SYMBOLS = "#*$%&|<>"
 
 
@@ -77,11 +84,11 @@ def stats(documents: DataFrame) -> DataFrame:
 
 
 def rates(counted: DataFrame) -> DataFrame:
-    """The three rates as whole parts of SCALE, exact integers on every engine."""
-    per = lambda part, of: F.expr(f"cast({SCALE} * {part} div greatest({of}, 1) as bigint)")
+    """The rates as whole numbers, exact on every engine: shares in parts of SCALE, the mean length of words in hundredths."""
+    per = lambda part, of, scale=SCALE: F.expr(f"cast({scale} * {part} div greatest({of}, 1) as bigint)")
     return counted.select(
         "*", per("n_symbols", "word_chars").alias("symbol_rate"), per("n_dup_lines * 8", "n_words").alias("dup_line_rate"), per("n_repeat_words", "n_words").alias("repeat_rate"),
-        F.expr(f"n_words < {MIN_WORDS} or 100 * n_repeat_words > 30 * n_words").alias("base_failed"),
+        per("word_chars", "n_words", 100).alias("word_length"), F.expr(f"n_words < {MIN_WORDS} or 100 * n_repeat_words > 30 * n_words").alias("base_failed"),
     )
 
 
@@ -102,19 +109,38 @@ def merge(sketches: DataFrame, by: list[str]) -> DataFrame:
     return sketches.groupBy(*by, "rate", "bucket").agg(F.sum("n").alias("n"))
 
 
-def quantiles(sketches: DataFrame, by: list[str], points: dict[str, float]) -> DataFrame:
-    """(by..., rate, rows, point...) of sketches: each point is the least bucket that reaches its rank."""
+def quantiles(sketches: DataFrame, by: list[str]) -> DataFrame:
+    """(by..., rate, rows, low, mid, up) of sketches: each point is the least bucket that reaches its rank."""
     part = Window.partitionBy(*by, "rate")
     ranked = sketches.select("*", F.sum("n").over(part.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)).alias("upto"), F.sum("n").over(part).alias("rows"))
-    return ranked.groupBy(*by, "rate").agg(F.max("rows").alias("rows"), *[F.min(F.when(F.col("upto") >= F.col("rows") * p, F.col("bucket"))).alias(name) for name, p in points.items()])
 
+    def point(percent: Column) -> Column:
+        return F.min(F.when(100 * F.col("upto") >= percent * F.col("rows"), F.col("bucket")))
 
-def fences(sketches: DataFrame, by: list[str]) -> DataFrame:
-    """(by..., rows, fence of each rate)."""
-    q = quantiles(sketches, by, {"mid": 0.5, "up": UPPER})
-    floor = F.create_map(*[F.lit(x) for pair in FLOORS.items() for x in pair])
-    q = q.withColumn("fence", F.greatest(F.col("mid") + REACH * (F.col("up") - F.col("mid")), floor[F.col("rate")]))
-    return q.groupBy(*by).agg(F.max("rows").alias("rows"), *[F.max(F.when(F.col("rate") == r, F.col("fence"))).alias(f"fence_{r}") for r in RATES])
+    of = lambda k: F.create_map(*[F.lit(x) for r in RATES for x in (r, RULES[r][k] or 50)])[F.col("rate")]
+    return ranked.groupBy(*by, "rate").agg(F.max("rows").alias("rows"), point(of(0)).alias("low"), point(F.lit(50)).alias("mid"), point(of(1)).alias("up"))
+
+
+def _drawn(own: DataFrame, wider: DataFrame, on: list[str]) -> DataFrame:
+    """Quantiles mixed with PRIOR rows of the wider group's."""
+    other = wider.select(*on, *[F.col(c).alias(f"w_{c}") for c in ("low", "mid", "up")])
+    mixed = [F.expr(f"(rows * {c} + {PRIOR} * w_{c}) div (rows + {PRIOR})").alias(c) for c in ("low", "mid", "up")]
+    return own.join(other, on).select(*[c for c in own.columns if c not in ("low", "mid", "up")], *mixed)
+
+
+def fences(sketches: DataFrame) -> DataFrame:
+    """(g_lang, g_source, fences) of the sketches of all groups: ``high_`` of each rate and ``low_`` where there is a lower one."""
+    own = quantiles(sketches, ["g_lang", "g_source"])
+    by_lang = quantiles(merge(sketches, ["g_lang"]), ["g_lang"])
+    corpus = quantiles(merge(sketches, []), [])
+    q = _drawn(own, _drawn(by_lang, corpus, ["rate"]), ["g_lang", "rate"])
+    made = []
+    for r, (low, _, reach, least) in RULES.items():
+        here = F.col("rate") == r
+        made.append(F.max(F.when(here, F.col("mid") + reach * F.greatest(F.col("up") - F.col("mid"), F.lit(least)))).cast("long").alias(f"high_{r}"))
+        if low is not None:
+            made.append(F.max(F.when(here, F.col("mid") - reach * F.greatest(F.col("mid") - F.col("low"), F.lit(least)))).cast("long").alias(f"low_{r}"))
+    return q.groupBy("g_lang", "g_source").agg(*made)
 
 
 def filter_quality(documents: DataFrame) -> DataFrame:
@@ -124,46 +150,45 @@ def filter_quality(documents: DataFrame) -> DataFrame:
     joined filter read them; texts are read once.
     """
     rated = stored(rates(stats(documents)), "quality")
-    # Groups meet by a text that can't be null: length-prefixed, so that no two pairs look alike.
+    # Groups meet by a text that can't be null: marked, so that no two pairs look alike.
     keyed = rated.withColumn("g_lang", F.coalesce(F.concat(F.lit("="), "lang"), F.lit("-"))).withColumn("g_source", F.coalesce(F.concat(F.lit("="), "source"), F.lit("-")))
     fine = stored(sketch(keyed.where(~F.col("base_failed")), ["g_lang", "g_source"]), "quality-sketch")
-    own = fences(fine, ["g_lang", "g_source"]).where(F.col("rows") >= MIN_GROUP)
-    by_lang = fences(merge(fine, ["g_lang"]), ["g_lang"]).where(F.col("rows") >= MIN_GROUP)
-    everywhere = merge(fine.withColumn("g", F.lit(0)), ["g"])
-    corpus = fences(everywhere, ["g"])
-
-    def named(df: DataFrame, prefix: str) -> DataFrame:
-        return df.select(*[c for c in df.columns if c.startswith("g")], *[F.col(f"fence_{r}").alias(f"{prefix}_{r}") for r in RATES])
-
-    out = keyed.withColumn("g", F.lit(0))
-    for df, prefix, on in ((own, "a", ["g_lang", "g_source"]), (by_lang, "b", ["g_lang"]), (corpus, "c", ["g"])):
-        out = out.join(small(stored(named(df, prefix), f"quality-{prefix}")), on, "left")
-    fence = {r: F.coalesce(f"a_{r}", f"b_{r}", f"c_{r}") for r in RATES}
-    passed = F.lit(True)
+    out = keyed.join(small(stored(fences(fine), "quality-fences")), ["g_lang", "g_source"], "left")
+    passed = ~F.col("base_failed")
     for r in RATES:
-        passed = passed & (F.col(r) <= F.coalesce(fence[r], F.lit(FLOORS[r])))
+        passed = passed & F.coalesce(F.col(r) <= F.col(f"high_{r}"), F.lit(False))
+    for r in LOWER:
+        passed = passed & F.coalesce(F.col(r) >= F.col(f"low_{r}"), F.lit(False))
     return out.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & passed).alias("kept"),
-        *RATES, *[F.coalesce(fence[r], F.lit(FLOORS[r])).cast("long").alias(f"fence_{r}") for r in RATES],
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", passed.alias("kept"), *RATES, *[f"high_{r}" for r in RATES], *[f"low_{r}" for r in LOWER],
     )
 
 
 def oracle() -> str:
     """The same filter of ``documents`` as DuckDB SQL."""
     gap, k = r"[\x20\x09-\x0D]+", REPEAT_WINDOW
-    levels = {"a": ["lang", "source"], "b": ["lang"], "c": []}
-    ctes, joins = [], []
+    levels = {"own": ["lang", "source"], "wide": ["lang"], "corpus": []}
+
+    def of(k: int) -> str:
+        return "CASE rate " + " ".join(f"WHEN '{r}' THEN {RULES[r][k] or 50}" for r in RATES) + " END"
+
+    ctes = []
     for name, by in levels.items():
         cols = "".join(f"{c}, " for c in by)
         part = f"PARTITION BY {cols}rate"
+        points = ", ".join(f"min(CASE WHEN 100 * upto >= {p} * total THEN bucket END) AS {c}" for c, p in (("low", of(0)), ("mid", "50"), ("up", of(1))))
         ctes.append(f"""
 {name}_bins AS (SELECT {cols}rate, bucket, count(*) AS n FROM long GROUP BY {cols}rate, bucket),
 {name}_cum AS (SELECT *, sum(n) OVER ({part} ORDER BY bucket) AS upto, sum(n) OVER ({part}) AS total FROM {name}_bins),
-{name}_q AS (SELECT {cols}rate, max(total) AS total, min(CASE WHEN upto >= total * 0.5 THEN bucket END) AS mid, min(CASE WHEN upto >= total * {UPPER} THEN bucket END) AS up FROM {name}_cum GROUP BY {cols}rate),
-{name}_f AS (SELECT {cols}max(total) AS total, {', '.join(f"max(CASE WHEN rate = '{r}' THEN greatest(mid + {REACH} * (up - mid), {FLOORS[r]}) END) AS {r}" for r in RATES)} FROM {name}_q {('GROUP BY ' + ', '.join(by)) if by else ''})""")
-        on = " AND ".join([f"s.{c} IS NOT DISTINCT FROM {name}_f.{c}" for c in by] + ([f"{name}_f.total >= {MIN_GROUP}"] if by else ["true"]))
-        joins.append(f"LEFT JOIN {name}_f ON {on}")
-    fence = {r: f"coalesce(a_f.{r}, b_f.{r}, c_f.{r}, {FLOORS[r]})" for r in RATES}
+{name}_q AS (SELECT {cols}rate, max(total) AS total, {points} FROM {name}_cum GROUP BY {cols}rate)""")
+    mix = lambda a, b: ", ".join(f"({a}.total * {a}.{c} + {PRIOR} * {b}.{c}) // ({a}.total + {PRIOR}) AS {c}" for c in ("low", "mid", "up"))
+    made = [f"max(CASE WHEN rate = '{r}' THEN mid + {reach} * greatest(up - mid, {least}) END)::BIGINT AS high_{r}" for r, (_, _, reach, least) in RULES.items()]
+    made += [f"max(CASE WHEN rate = '{r}' THEN mid - {RULES[r][2]} * greatest(mid - low, {RULES[r][3]}) END)::BIGINT AS low_{r}" for r in LOWER]
+    ctes.append(f"""
+lang_q AS (SELECT w.lang, w.rate, {mix('w', 'c')} FROM wide_q w JOIN corpus_q c USING (rate)),
+drawn AS (SELECT o.lang, o.source, o.rate, {mix('o', 'l')} FROM own_q o JOIN lang_q l ON o.rate = l.rate AND o.lang IS NOT DISTINCT FROM l.lang),
+f AS (SELECT lang, source, {', '.join(made)} FROM drawn GROUP BY lang, source)""")
+    tests = [f"coalesce(s.{r} <= f.high_{r}, false)" for r in RATES] + [f"coalesce(s.{r} >= f.low_{r}, false)" for r in LOWER]
     return f"""
 WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS text, list_filter(string_split_regex(coalesce(text, ''), '{gap}'), lambda w: w <> '') AS words FROM documents),
 windows AS (SELECT doc_id, unnest(list_transform(range(1, len(words) - {k - 2}), lambda i: struct_pack(pos := i, body := array_to_string(words[i:i + {k - 1}], ' ')))) AS w FROM d WHERE len(words) >= {k}),
@@ -174,12 +199,12 @@ base AS (SELECT d.doc_id, lang, source, len(words)::BIGINT AS n_words, length(re
   (length(text) - length(translate(text, '{SYMBOLS}', '')))::BIGINT AS n_symbols,
   (len(list_filter(string_split(text, chr(10)), lambda s: regexp_replace(s, '{gap}', '', 'g') <> '')) - len(list_distinct(list_filter(string_split(text, chr(10)), lambda s: regexp_replace(s, '{gap}', '', 'g') <> ''))))::BIGINT AS n_dup_lines,
   coalesce(r.n, 0)::BIGINT AS n_repeat_words FROM d LEFT JOIN repeats r ON r.doc_id = d.doc_id),
-s AS (SELECT *, {SCALE} * n_symbols // greatest(word_chars, 1) AS symbol_rate, {SCALE} * n_dup_lines * 8 // greatest(n_words, 1) AS dup_line_rate, {SCALE} * n_repeat_words // greatest(n_words, 1) AS repeat_rate,
+s AS (SELECT *, {SCALE} * n_symbols // greatest(word_chars, 1) AS symbol_rate, {SCALE} * n_dup_lines * 8 // greatest(n_words, 1) AS dup_line_rate, {SCALE} * n_repeat_words // greatest(n_words, 1) AS repeat_rate, 100 * word_chars // greatest(n_words, 1) AS word_length,
   n_words < {MIN_WORDS} OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM base),
 long AS (SELECT lang, source, rate, ((value >> greatest(length(bin(value)) - 6, 0)) << greatest(length(bin(value)) - 6, 0)) AS bucket
   FROM (SELECT lang, source, unnest([{', '.join(f"'{r}'" for r in RATES)}]) AS rate, unnest([{', '.join(RATES)}]) AS value FROM s WHERE NOT base_failed) x),
 {','.join(ctes)}
 SELECT s.doc_id, s.n_words, s.word_chars, s.n_symbols, s.n_dup_lines, s.n_repeat_words, s.base_failed,
-  NOT s.base_failed AND {' AND '.join(f's.{r} <= {fence[r]}' for r in RATES)} AS kept,
-  {', '.join(f's.{r}' for r in RATES)}, {', '.join(f'({fence[r]})::BIGINT AS fence_{r}' for r in RATES)}
-FROM s {' '.join(joins)}"""
+  NOT s.base_failed AND {' AND '.join(tests)} AS kept,
+  {', '.join(f's.{r}' for r in RATES)}, {', '.join(f'f.high_{r}' for r in RATES)}, {', '.join(f'f.low_{r}' for r in LOWER)}
+FROM s LEFT JOIN f ON s.lang IS NOT DISTINCT FROM f.lang AND s.source IS NOT DISTINCT FROM f.source"""

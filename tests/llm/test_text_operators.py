@@ -374,14 +374,14 @@ def test_quality_counts_equal_plain(spark):
 def test_sketch_merges_and_stays_close(spark):
     rng = random.Random(13)
     values = [int(rng.paretovariate(0.7)) for _ in range(4000)]
-    df = spark.createDataFrame([("g", v, v, v) for v in values], "g string, symbol_rate long, dup_line_rate long, repeat_rate long")
+    df = spark.createDataFrame([("g", v, v, v, v) for v in values], "g string, symbol_rate long, dup_line_rate long, repeat_rate long, word_length long")
     halves = [quality.sketch(df.limit(1500), ["g"]), quality.sketch(df.exceptAll(df.limit(1500)), ["g"])]
     whole = quality.sketch(df, ["g"])
     merged = quality.merge(halves[0].unionByName(halves[1]), ["g"])
     assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, merged.collect()))
-    q = quality.quantiles(whole, ["g"], {"mid": 0.5, "up": 0.75}).where("rate = 'symbol_rate'").first()
+    q = quality.quantiles(whole, ["g"]).where("rate = 'word_length'").first()
     exact = sorted(values)
-    for name, p in (("mid", 0.5), ("up", 0.75)):
+    for name, p in (("low", 0.25), ("mid", 0.5), ("up", 0.75)):
         true = exact[int(np.ceil(len(exact) * p)) - 1]
         assert true * (1 - 1 / 32) <= q[name] <= true
 
