@@ -2,9 +2,10 @@
 
 A term is a distinct lower-case word of a text; it adds the features of the word
 and of its first four, five and six characters, hashed to a fixed number of slots.
-Slots that occur equally often in both classes of the sample, up to chance, have
-neither weight nor factors: a long text has thousands of them, and their noise
-would add up.
+A slot has a weight and factors if the classes of the sample differ, beyond chance, in
+how often it occurs or in how often it occurs together with another slot (their
+covariance, so that two slots count as a pair even if neither tells anything alone).
+All others have none: a long text has thousands of them, and their noise would add up.
 The score is a logistic function of a bias, the features' weights, and all pairwise
 interactions <v_i, v_j> of term features, so two terms that are harmless alone can
 count together.
@@ -15,8 +16,9 @@ whole text is scored. A worker keeps the summed weight and factors of each word
 
 Defined results: null and empty texts get the score of the bias alone; repeated rows
 get equal scores; a doc_id with several labels counts as toxic if one is; without
-labels of both kinds every score is the share of toxic labels (0 if none); an empty
-table gives no rows; further columns pass unseen.
+labels of both kinds every score is the share of toxic labels (0 if none); very long
+texts are scored whole; ties (a score on the cut) are toxic; an empty table gives no
+rows; further columns pass unseen.
 """
 
 from __future__ import annotations
@@ -36,6 +38,11 @@ SLOTS = 1 << 28
 FACTORS = 4
 #: Standard errors by which a slot's share of documents must differ between the classes.
 EVIDENCE = 5.0
+#: The same for the difference of two slots' covariance, and for which slots pairs are looked at: those that at least
+#: this share of the sample's rows of a class has, at most so many (the most even ones).
+PAIR_EVIDENCE = 7.0
+PAIR_SHARE = 0.02
+PAIR_SLOTS = 4096
 PREFIXES = (4, 5, 6)
 #: Labelled rows of each class in the fitted sample, about.
 SAMPLE = 2500
@@ -68,14 +75,47 @@ def terms(text: str | None) -> list[str]:
 
 
 def _telling(rows: list[np.ndarray], y: np.ndarray) -> dict[int, int]:
-    """The slots whose share of documents differs between the classes, numbered from 1."""
+    """The slots that tell the classes apart, alone or in pairs, numbered from 1."""
     sizes = np.array([(y == 0).sum(), (y == 1).sum()])
     names, which = np.unique(np.concatenate(rows), return_inverse=True)
-    cls = np.repeat(y, [len(r) for r in rows])
+    of = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    cls = y[of]
     n = np.stack([np.bincount(which[cls == k], minlength=len(names)) for k in (0, 1)])
     p, both = n / sizes[:, None], n.sum(axis=0) / sizes.sum()
     z = np.abs(p[1] - p[0]) / np.sqrt(np.maximum(both * (1 - both), 1e-12) * (1 / sizes).sum())
-    return {int(s): k for k, s in enumerate(names[z >= EVIDENCE], 1)}
+    chosen = z >= EVIDENCE
+    chosen[_paired(which, of, y, p)] = True
+    return {int(s): k for k, s in enumerate(names[chosen], 1)}
+
+
+def _paired(which: np.ndarray, of: np.ndarray, y: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """The slots that have a partner with a covariance which differs between the classes.
+
+    ``which`` and ``of`` are the slot and the row of each occurrence, ``p`` the shares of
+    rows by class and slot. Rows are few (a bounded sample), so the counts of all pairs
+    are products of matrices, a stripe at a time.
+    """
+    able = np.flatnonzero((p.max(axis=0) >= PAIR_SHARE) & (p.min(axis=0) <= 1 - PAIR_SHARE))
+    mean = p[:, able].mean(axis=0)
+    able = np.sort(able[np.argsort(-mean * (1 - mean), kind="stable")[:PAIR_SLOTS]])
+    column = np.full(p.shape[1], -1)
+    column[able] = np.arange(len(able))
+    kept = column[which] >= 0
+    x = np.zeros((len(y), len(able)), dtype=np.float32)
+    x[of[kept], column[which[kept]]] = 1
+    found = np.zeros(len(able), dtype=bool)
+    for lo in range(0, len(able), 512):
+        gap, spread = 0.0, 0.0
+        for k in (0, 1):
+            own, n = x[y == k], (y == k).sum()
+            a, b = p[k, able[lo: lo + 512]][:, None], p[k, able][None, :]
+            together = own[:, lo: lo + 512].T @ own / n
+            cov = together - a * b
+            fourth = (1 - 2 * a) * (1 - 2 * b) * together + (1 - 2 * a) * b * b * a + (1 - 2 * b) * a * a * b + a * a * b * b
+            gap = gap + (2 * k - 1) * cov
+            spread = spread + np.maximum(fourth - cov * cov, 1 / n) / n
+        found[lo: lo + 512] |= (np.abs(gap) >= PAIR_EVIDENCE * np.sqrt(spread)).any(axis=1)
+    return able[found]
 
 
 def fit(texts: list[str], labels: list[int], seed: int = 7) -> Machine:
@@ -147,8 +187,8 @@ def train(documents: DataFrame, labels: DataFrame, held_out: tuple[int, int] | N
     sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return fit([], [])
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
-    chosen = known.where(" or ".join(f"(toxic = {k} and pmod(xxhash64(doc_id), 1000000) < {min(1.0, sample / n) * 1_000_000:.0f})" for k, n in sizes.items()))
+    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
+    chosen = known.where(" or ".join(f"(toxic = {k} and pmod(xxhash64(doc_id), {1 << 40}L) < {int(min(1.0, sample / n) * (1 << 40))}L)" for k, n in sizes.items()))
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.length("text") <= SAMPLE_CHARS)
     rows = texts.join(small(chosen, 4 * sample), "doc_id").orderBy(draw, "doc_id", "text").limit(3 * sample).collect()
     machine = fit([r["text"] for r in rows], [r["toxic"] for r in rows])
