@@ -1,18 +1,22 @@
 """Personal data by patterns and a character-level bidirectional LSTM with CRF transitions.
 
-The patterns give the base spans. A tagger (numpy only) is trained from the base
-spans of a bounded sample of texts and labels characters in overlapping windows.
-The windows' marginal probabilities are blended, each weighing most in its middle,
-and one Viterbi pass over the joined region reconciles them. Decoded spans that
-touch no base span and are certain and plausible enough are added.
-
-Every kind has a digit or an at sign in it, so characters farther than half a window
-from any of these can only be outside; windows are laid over all the rest of every
-whole text.
+The patterns give the base spans. A tagger (numpy only) is trained on labelled spans
+of a bounded sample of texts: the spans that patterns find there (numbers of a card's
+form whether or not their check digit is right), and rewritten forms of half of them
+(spaced, dotted, slashed, bracketed or spelled), whose places are known because they
+were put there. It labels characters in overlapping windows; their emissions and
+marginal probabilities are blended, each weighing most in its window's middle, and one
+Viterbi pass with the learned transitions reconciles a whole region. Decoded spans
+that touch no base span, are certain enough and look like their kind are added.
+
+Every form has a digit, an at sign or a spelled or bracketed one in it, so characters
+farther than half a window from any of these can only be outside; windows are laid
+over all the rest of every whole text.
 
 Defined results: null and empty texts have no spans; repeated rows get equal result
-rows; ties do not arise (spans of a kind never overlap); an empty table gives no
-rows; further columns pass unseen.
+rows; very long texts are read whole, in time proportional to their length; ties do
+not arise (spans of a kind never overlap); without a span in the sample nothing is
+added; an empty table gives no rows; further columns pass unseen.
 """
 
 from __future__ import annotations
@@ -30,24 +34,28 @@ from pyspark.sql.types import LongType, StringType, StructField
 from strata.llm.common import fresh, per_row
 
 KINDS = ("email", "ip", "card", "phone")
+# The base forms. The first two are found in pieces below, as runs of letters or digits would cost their square.
+EMAIL_NAME = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-"
+EMAIL_HOST = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP_RUN = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 PATTERNS = {
-    "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
-    "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
     "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
     "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
-GATE = re.compile(r"[0-9@]")
+_SPELLED = r"[\[({<]\s?(?:at|dot)\s?[\])}>]|\bdot\b"
+GATE = re.compile(rf"[0-9@]|{_SPELLED}", re.I)
+_BASE_GATE = re.compile(r"[0-9@]")
 NOT_DIGIT = re.compile(r"[^0-9]")
 
 WINDOW, STRIDE = 64, 32
 EMBED, HIDDEN = 8, 16
 #: Texts of the training sample, and windows taken from them.
-SAMPLE_TEXTS, SAMPLE_WINDOWS = 600, 1500
+SAMPLE_TEXTS, SAMPLE_WINDOWS = 600, 4000
 #: Longest text, in characters, that the training sample takes.
 SAMPLE_CHARS = 20_000
-STEPS, BATCH, RATE = 200, 32, 0.02
-#: Mean probability that an added span needs.
-CERTAIN = 0.9
+STEPS, BATCH, RATE = 240, 32, 0.025
+#: Mean probability that an added span needs; above a half, so a region in which no character is rather inside than outside has none.
+CERTAIN = 0.7
 
 Span = tuple[str, int, int]
 
@@ -63,19 +71,45 @@ def luhn(digits: str) -> bool:
 
 
 def _holds(kind: str, found: str) -> bool:
-    if kind == "email":
-        return True
-    if kind == "ip":
-        return all(int(p) <= 255 for p in found.split("."))
     digits = NOT_DIGIT.sub("", found)
     return 16 <= len(digits) <= 19 and luhn(digits) if kind == "card" else 8 <= len(digits) <= 15
 
 
+def _emails(text: str) -> list[Span]:
+    """Around each at sign: the name is the run of its characters before it, down to the last match's end."""
+    out, low, at = [], 0, text.find("@")
+    while at >= 0:
+        before = text[low:at]
+        name = len(before) - len(before.rstrip(EMAIL_NAME))
+        host = EMAIL_HOST.match(text, at) if name else None
+        if host:
+            out.append(("email", at - name, host.end()))
+        low = host.end() if host else at + 1
+        at = text.find("@", low)
+    return out
+
+
+def _addresses(text: str) -> list[Span]:
+    """Of each run of numbers joined by dots, every four numbers are a match."""
+    out = []
+    for m in IP_RUN.finditer(text):
+        if m.group().count(".") >= 3:
+            parts, at = m.group().split("."), m.start()
+            for k in range(0, len(parts) - 3, 4):
+                four = parts[k: k + 4]
+                size = sum(map(len, four)) + 3
+                if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in four):
+                    out.append(("ip", at, at + size))
+                at += size + 1
+    return out
+
+
 def base_spans(text: str | None) -> list[Span]:
     """Pattern matches by kind, then start; a match that fails its test is dropped without another try."""
-    if not text or not GATE.search(text):
+    if not text or not _BASE_GATE.search(text):
         return []
-    return [(k, m.start(), m.end()) for k in KINDS if k != "email" or "@" in text for m in PATTERNS[k].finditer(text) if _holds(k, m.group())]
+    found = (_emails(text) if "@" in text else []) + _addresses(text)
+    return found + [(k, m.start(), m.end()) for k, pattern in PATTERNS.items() for m in pattern.finditer(text) if _holds(k, m.group())]
 
 
 def joined(spans: list[Span]) -> str:
@@ -83,7 +117,7 @@ def joined(spans: list[Span]) -> str:
 
 
 # Characters fall into classes: letters by themselves, digits together, marks that occur in the kinds, and the rest.
-_MARKS = "@.+-_%() \n:/,=\"'"
+_MARKS = "@.+-_%() \n:/,=\"'[]{}<>"
 _CLASS = {c: i for i, c in enumerate(_MARKS, 3)}
 _CLASSES = 3 + len(_MARKS) + 26 + 1
 TAGS = ["O", *[f"{p}-{k}" for k in KINDS for p in "BI"]]
@@ -194,10 +228,11 @@ def _marginals(p: dict[str, np.ndarray], e: np.ndarray) -> tuple[np.ndarray, np.
     return ahead, back, z
 
 
-def probabilities(p: dict[str, np.ndarray], ids: np.ndarray) -> np.ndarray:
+def probabilities(p: dict[str, np.ndarray], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Marginal probabilities and emissions of windows (T, B): each (T, B, K)."""
     e, _ = _emissions(p, ids)
     ahead, back, z = _marginals(p, e)
-    return np.exp(ahead + back - z[None, :, None])
+    return np.exp(ahead + back - z[None, :, None]), e
 
 
 def _gradients(p: dict[str, np.ndarray], ids: np.ndarray, gold: np.ndarray) -> dict[str, np.ndarray]:
@@ -264,11 +299,54 @@ def tags_of(length: int, spans: list[Span]) -> np.ndarray:
     return tags
 
 
-def training_windows(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Windows over the regions of texts and their tags by the base spans (a card outranks an overlapping phone or address)."""
+def _separated(rng: np.random.Generator, parts: list[str]) -> str:
+    return str(rng.choice([".", "/", " - ", "  ", " . ", "_", "-"])).join(parts)
+
+
+def rewritten(kind: str, found: str, rng: np.random.Generator) -> str:
+    """A form of a span that the base patterns don't take."""
+    digits = NOT_DIGIT.sub("", found)
+    if kind == "email":
+        name, _, host = found.rpartition("@")
+        at, dot = [(" [at] ", " [dot] "), ("[at]", "[dot]"), (" (at) ", "."), (" at ", " dot "), (" @ ", "."), ("{at}", "{dot}"), ("<at>", ".")][rng.integers(7)]
+        return name + at + host.replace(".", dot)
+    if kind == "ip":
+        return [" . ", "[.]", "(.)", " dot ", "[dot]"][rng.integers(5)].join(found.split("."))
+    if kind == "card":
+        return _separated(rng, [digits[i: i + 4] for i in range(0, len(digits), 4)])
+    tail = [digits[-10:-7], digits[-7:-4], digits[-4:]]
+    return [lambda: f"({tail[0]}) {tail[1]}-{tail[2]}", lambda: f"00{digits[:-10]} " + " ".join(tail), lambda: _separated(rng, tail), lambda: f"({tail[0]}){tail[1]}.{tail[2]}"][rng.integers(4)]()
+
+
+def seen_spans(text: str) -> list[Span]:
+    """The spans a text is labelled with: base ones and numbers of a card's form whose check digit is wrong, none over another (the longest count)."""
+    spans = base_spans(text) + [("card", m.start(), m.end()) for m in PATTERNS["card"].finditer(text) if 16 <= len(NOT_DIGIT.sub("", m.group())) <= 19]
+    out: list[Span] = []
+    for kind, a, b in sorted(set(spans), key=lambda s: (s[1] - s[2], s[1])):
+        if all(b <= x or y <= a for _, x, y in out):
+            out.append((kind, a, b))
+    return sorted(out, key=lambda s: s[1])
+
+
+def labelled(text: str, rng: np.random.Generator, share: float = 0.5) -> tuple[str, list[Span]]:
+    """A text with about ``share`` of its spans rewritten, and where all of them are now."""
+    made, spans, at, size = [], [], 0, 0
+    for kind, a, b in seen_spans(text):
+        form = rewritten(kind, text[a:b], rng) if rng.random() < share else text[a:b]
+        made += [text[at:a], form]
+        size += a - at
+        spans.append((kind, size, size + len(form)))
+        size, at = size + len(form), b
+    return "".join([*made, text[at:]]), spans
+
+
+def training_windows(texts: list[str], seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Windows over the regions of texts whose spans were partly rewritten, and their tags."""
+    rng = np.random.default_rng(seed)
     ids, gold = [], []
-    for text in texts:
-        c, tags = classes(text), tags_of(len(text), sorted(base_spans(text), key=lambda s: s[2] - s[1]))
+    for raw in texts:
+        text, spans = labelled(raw, rng)
+        c, tags = classes(text), tags_of(len(text), spans)
         for lo, hi in regions(text):
             for a in window_starts(lo, hi):
                 pad = (0, WINDOW - len(c[a: a + WINDOW]))
@@ -285,35 +363,38 @@ for _a in range(K):
             _ALLOWED[_a, _b] = 0.0
 
 
-def reconcile(blend: np.ndarray) -> np.ndarray:
-    """The best tag sequence under blended probabilities in which every inside tag follows its own kind."""
-    score = np.log(np.maximum(blend, 1e-12))
-    if score.argmax(axis=1).max() == 0:
-        return np.zeros(len(score), dtype=np.int64)
-    start = score[0].copy()
-    start[2::2] = -1e9
-    back, best = np.zeros(score.shape, dtype=np.int64), start
-    for t in range(1, len(score)):
-        step = best[:, None] + _ALLOWED
+def reconcile(blend: np.ndarray, scores: np.ndarray, p: dict[str, np.ndarray]) -> np.ndarray:
+    """The best tag sequence of a region under blended emissions and the learned transitions, in which every inside tag follows its own kind."""
+    path = np.zeros(len(scores), dtype=np.int64)
+    if blend.argmax(axis=1).max() == 0:
+        return path
+    move = p["move"] + _ALLOWED
+    best = scores[0] + p["first"]
+    best[2::2] = -1e9
+    back = np.zeros(scores.shape, dtype=np.int64)
+    for t in range(1, len(scores)):
+        step = best[:, None] + move
         back[t] = step.argmax(axis=0)
-        best = step.max(axis=0) + score[t]
-    path = np.zeros(len(score), dtype=np.int64)
+        best = step.max(axis=0) + scores[t]
     path[-1] = int(best.argmax())
-    for t in range(len(score) - 1, 0, -1):
+    for t in range(len(scores) - 1, 0, -1):
         path[t - 1] = back[t, path[t]]
     return path
 
 
+# What an added span may be made of, by kind.
+_LOOKS = {
+    "email": re.compile(r"[\w.%+-]+\s*(?:@|[\[({<]\s?at\s?[\])}>]|\bat\b)\s*[\w.()\[\]{}<>\s-]+", re.I),
+    "ip": re.compile(r"[0-9]{1,3}(?:(?:[\s.\[\](){}<>]|dot){1,9}[0-9]{1,3}){3}", re.I),
+    "card": re.compile(r"[0-9][0-9\s./_-]+[0-9]"),
+    "phone": re.compile(r"[+(]?[0-9][0-9\s()./_-]+[0-9]"),
+}
+
+
 def plausible(kind: str, found: str) -> bool:
-    """What an added span needs besides certainty."""
+    """Whether a decoded span looks like its kind."""
     digits = len(NOT_DIGIT.sub("", found))
-    if kind == "email":
-        return found.count("@") == 1 and len(found) >= 6 and not re.search(r"\s", found)
-    if kind == "ip":
-        return re.fullmatch(r"[0-9]+(\.[0-9]+){3}", found) is not None and _holds("ip", found)
-    if kind == "card":
-        return 13 <= digits <= 19 and re.fullmatch(r"[0-9 .-]+", found) is not None and luhn(NOT_DIGIT.sub("", found))
-    return 8 <= digits <= 15 and re.fullmatch(r"[+(]?[0-9 ().-]+", found) is not None and ("+" in found or "(" in found)
+    return len(found) <= 320 and _LOOKS[kind].fullmatch(found) is not None and (kind in ("email", "ip") or (13 <= digits <= 19 if kind == "card" else 7 <= digits <= 15))
 
 
 def added_spans(texts: list[str | None], bases: list[list[Span]], tagger: Tagger, batch: int = 512) -> list[list[Span]]:
@@ -328,13 +409,13 @@ def added_spans(texts: list[str | None], bases: list[list[Span]], tagger: Tagger
                     jobs.append(np.pad(c[a: a + WINDOW], (0, WINDOW - len(c[a: a + WINDOW])))), owners.append((n, lo, hi, a))
     out: list[list[Span]] = [[] for _ in texts]
     bell = np.minimum(np.arange(1, WINDOW + 1), np.arange(WINDOW, 0, -1)).astype(np.float64)
-    blends: dict[tuple[int, int, int], tuple[np.ndarray, np.ndarray]] = {}
+    blends: dict[tuple[int, int, int], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
 
     def close(key: tuple[int, int, int]) -> None:
         n, lo, hi = key
-        total, weight = blends.pop(key)
+        total, scores, weight = blends.pop(key)
         blend = total / np.maximum(weight, 1e-9)[:, None]
-        path, t = reconcile(blend), 0
+        path, t = reconcile(blend, scores / np.maximum(weight, 1e-9)[:, None], tagger.p), 0
         while t < len(path):
             if path[t] % 2:
                 end = t + 1
@@ -349,16 +430,17 @@ def added_spans(texts: list[str | None], bases: list[list[Span]], tagger: Tagger
                 t += 1
 
     for at in range(0, len(jobs), batch):
-        probs = probabilities(tagger.p, np.array(jobs[at: at + batch]).T)
+        probs, emitted = probabilities(tagger.p, np.array(jobs[at: at + batch]).T)
         for k, (n, lo, hi, a) in enumerate(owners[at: at + batch]):
             key = (n, lo, hi)
             if key not in blends:
                 for other in list(blends):
                     close(other)
-                blends[key] = (np.zeros((hi - lo, K)), np.zeros(hi - lo))
-            total, weight = blends[key]
+                blends[key] = (np.zeros((hi - lo, K)), np.zeros((hi - lo, K)), np.zeros(hi - lo))
+            total, scores, weight = blends[key]
             size = min(WINDOW, hi - a)
             total[a - lo: a - lo + size] += probs[:size, k] * bell[:size, None]
+            scores[a - lo: a - lo + size] += emitted[:size, k] * bell[:size, None]
             weight[a - lo: a - lo + size] += bell[:size]
     for key in list(blends):
         close(key)
