@@ -1,17 +1,22 @@
 """Main text of pages by a suffix array over each host's token streams.
 
 A page is cut into blocks of text, each with the markup it stands in. The blocks'
-words are concatenated, some pages at a time, and a suffix array finds the sequences of
-words of each host and on how many pages they are; summed over all pages of a host,
-these numbers tell which long word sequences occur on several distinct
-pages. Blocks that such sequences cover for the most part are boilerplate and go,
-unique ones stay, on every page. Markup has the last word where it is explicit:
-blocks in navigation, headers, footers, side columns, notices, adverts, forms,
-comments, scripts or styles never count, and blocks in an article or main element are
-kept even if other pages repeat them, since copied passages are part of a page's text.
+words are concatenated, some pages at a time, and a suffix array sorts all places by
+what follows them, so equal runs of REPEAT_WORDS words are neighbours and their pages
+are counted; summed over all pages of a host, these numbers tell which runs occur on
+several distinct pages. The places that repeated runs cover are exactly those that
+maximal repeats of REPEAT_WORDS words or more cover, as every window of such a repeat
+is a repeated run, and a chain of repeated runs is what a page shares; a block with
+fewer words counts as one run, filled up. Blocks that are covered for the most part are
+boilerplate and go, unique ones stay, on every page. Markup has the last word where it
+is explicit: blocks in navigation, headers, footers, side columns, notices, adverts,
+forms, comments, scripts or styles never count, and blocks in an article or main
+element are kept even if other pages repeat them, since copied passages are part of a
+page's text.
 
 Defined results: null and empty pages have empty text; repeated rows get equal
-result rows; a host of one page has no repeats; broken markup is read as far as it
+result rows and, like pages of one host with the same blocks, count as one page; a host of one page
+has no repeats; very long pages are read whole; ties do not arise; broken markup is read as far as it
 goes (an unfinished tag is dropped, an unfinished reference stays as it is written);
 an empty table gives no rows; further columns are ignored.
 """
@@ -36,8 +41,8 @@ from strata.llm.common import BROADCAST_ROWS, per_row, small, stored
 SHARD_PAGES = 64
 #: Pages of a run from which it is joined by broadcast.
 HEAVY_PAGES = 5_000
-#: Words a repeated sequence needs, and distinct pages it must be on.
-REPEAT_WORDS = 4
+#: Words a repeated sequence needs (a power of two), and distinct pages it must be on.
+REPEAT_WORDS = 8
 REPEAT_PAGES = 2
 #: Share of a block's words that repeats must cover for the block to go.
 COVERED = 0.6
@@ -61,16 +66,32 @@ CHROME_NAMES = {
 }
 CHROME_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "menu"}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[a-zA-Z/!?][^>]*(?:>|\Z)|[^<]+|<", re.S | re.I)
+#: Parts of compound class names that say nothing about their role.
+NEUTRAL_NAMES = {
+    "site", "page", "main", "global", "top", "bottom", "left", "right", "primary", "secondary", "box", "bar", "wrap", "wrapper", "container", "block", "inner", "links", "list", "item", "items", "slot", "unit",
+    "section", "area", "button", "buttons", "form", "text", "message", "policy", "icon", "icons", "media", "content", "widget", "posts", "articles", "stories", "mobile", "desktop",
+}
+#: Elements that hold a page's text, whatever their classes say.
+HOLDERS = {"html", "body", "main", "article"}
+
+# What stands in a tag; a quoted value may hold a closing bracket.
+_INSIDE = r"""(?:[^>=]|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+"""
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea)\b{_INSIDE}>.*?(?:</\1\s*>|\Z)|<[a-zA-Z/!?]{_INSIDE}(?:>|\Z)|[^<]+|<", re.S | re.I)
 _NAME = re.compile(r"</?\s*([a-zA-Z][a-zA-Z0-9-]*)")
 _MARKED = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 _PART = re.compile(r"[a-z]+")
 
 
+def _is_chrome_name(name: str) -> bool:
+    """A name of the list, or a compound of such names and neutral ones (site-header, but not post-header or has-sidebar)."""
+    parts = _PART.findall(name)
+    return name in CHROME_NAMES or any(p in CHROME_NAMES and p not in NEUTRAL_NAMES for p in parts) and all(p in CHROME_NAMES or p in NEUTRAL_NAMES for p in parts)
+
+
 def _is_chrome(tag: str) -> bool:
     for m in _MARKED.finditer(tag):
         name, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
-        if name in ("class", "id") and any(p in CHROME_NAMES for p in _PART.findall(value)):
+        if name in ("class", "id") and any(map(_is_chrome_name, value.split())):
             return True
         if name == "role" and value in CHROME_ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
             return True
@@ -117,7 +138,7 @@ def blocks_of(page: str | None) -> list[tuple[str, str]]:
         elif tag not in VOID and token[-2] != "/":
             if tag == "p" and stack and stack[-1][0] == "p":
                 leave()
-            gives = "chrome" if tag in CHROME or tag in SKIPPED or _is_chrome(token) else "main" if tag in MAIN else ""
+            gives = "main" if tag in MAIN else "" if tag in HOLDERS else "chrome" if tag in CHROME or tag in SKIPPED or _is_chrome(token) else ""
             if tag == "header" and depth["main"] and not _is_chrome(token):
                 gives = ""  # an article's own heading
             stack.append((tag, gives))
@@ -202,6 +223,7 @@ def _streams(hosts: list[str], pages: list[list], roles: tuple[str, ...], known:
         for b, x in enumerate(blocks):
             if x["role"] in roles:
                 part = x["text"].split()
+                part += [""] * (REPEAT_WORDS - len(part))  # a short block is one run, filled up
                 tokens += [words.setdefault((host, w), len(words)) for w in part]
                 codes += [_code(w, known) for w in part]
                 tokens.append(-1), codes.append(0)
@@ -287,6 +309,14 @@ def _semi(runs: DataFrame, repeated: DataFrame) -> DataFrame:
     return runs.join(repeated.where(~heavy), "run", "left_semi").unionByName(runs.join(small(repeated.where(heavy)), "run", "left_semi"))
 
 
+def _without_repeats(parsed: DataFrame) -> DataFrame:
+    """One row of each group of equal pages of a host; only digests of pages are shuffled for that, and only the further rows' numbers are joined."""
+    digest = [F.xxhash64("host", "blocks").alias("d1"), F.xxhash64(F.lit(1), "host", "blocks").alias("d2")]
+    groups = parsed.select("row", *digest).groupBy("d1", "d2").agg(F.min("row").alias("first"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
+    further = stored(parsed.select("row", *digest).join(small(stored(groups, "equal-pages")), ["d1", "d2"]).where(F.col("row") != F.col("first")).select("row"), "further-pages")
+    return parsed if further.isEmpty() else parsed.join(small(further), "row", "left_anti")
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every row of ``pages`` (page_id, url, html).
 
@@ -302,12 +332,13 @@ def extract(pages: DataFrame) -> DataFrame:
     loose = F.exists("blocks", lambda b: b["role"] == "open")
     mixed = parsed.where(loose)
     runs = "run long, n long"
-    opened = stored(mixed.select("host", "blocks").mapInPandas(_counted(("open",), "open"), runs).groupBy("run").agg(F.sum("n").alias("n")), "open-runs")
+    counted = _without_repeats(parsed) if not mixed.isEmpty() else parsed
+    opened = stored(counted.where(loose).select("host", "blocks").mapInPandas(_counted(("open",), "open"), runs).groupBy("run").agg(F.sum("n").alias("n")), "open-runs")
     # Pages that have the run, but not in an open block, count for runs that lack pages.
     lacking = opened.where(F.col("n") < REPEAT_PAGES)
     repeated = opened.where(F.col("n") >= REPEAT_PAGES)
     if not lacking.isEmpty():
-        others = parsed.select("host", "blocks").mapInPandas(_counted(("open", "main", "chrome"), "other"), runs).groupBy("run").agg(F.sum("n").alias("more"))
+        others = counted.select("host", "blocks").mapInPandas(_counted(("open", "main", "chrome"), "other"), runs).groupBy("run").agg(F.sum("n").alias("more"))
         found = others.join(small(lacking), "run").where(F.col("n") + F.col("more") >= REPEAT_PAGES)
         repeated = stored(repeated.unionByName(found.select("run", "n")), "repeated-runs")
     each = per_row(mixed.select("row", "host", "blocks"), ["host", "blocks"], [StructField("runs", ArrayType(LongType()))], lambda: lambda h, b: (_open_runs(h, b),)).select("row", F.explode("runs").alias("run"))
