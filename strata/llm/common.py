@@ -78,6 +78,23 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS, most_bytes: int = BROADCAS
     return F.broadcast(df) if got["n"] <= limit and got["n"] * fixed + (got["b"] or 0) <= most_bytes else df
 
 
+#: Parts into which the rows of one key are dealt where a value of their group is attached to them.
+SALTS = 256
+
+
+def attach(df: DataFrame, key: str, spread: str, parts: list[Column], wholes: list[Column]) -> DataFrame:
+    """``df`` with values of each row's group (rows of one ``key``); no task gets all rows of a group.
+
+    Rows of a key are dealt into SALTS parts by a hash of ``spread``. ``parts`` are
+    aggregates of one part, ``wholes`` aggregates of these; what they give is joined back
+    by key and part, so the other side has one row for each part that there is.
+    """
+    salt, salts = fresh(df, "salt"), fresh(df, "salts")
+    dealt = df.withColumn(salt, F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("short"))
+    total = dealt.groupBy(key, salt).agg(*parts).groupBy(key).agg(*wholes, F.collect_list(salt).alias(salts))
+    return dealt.join(total.withColumn(salt, F.explode(salts)).drop(salts), [key, salt]).drop(salt)
+
+
 def crc_mod(column: str, modulus: int) -> Column:
     """crc32 of a column's text, modulo ``modulus``; a null counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus

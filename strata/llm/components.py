@@ -2,8 +2,9 @@
 
 Each round replaces every edge by edges to the smallest known neighbour (large star,
 then small star) until nothing changes; the number of rounds grows with the
-logarithm of the longest chain. Rounds are reliable checkpoints, and only two sums
-per round reach the driver.
+logarithm of the longest chain. A node's least neighbour reaches its edges by parts of
+them, so that the centre of a large star is no task of its own. Rounds are reliable
+checkpoints, and only two sums per round reach the driver.
 """
 
 from __future__ import annotations
@@ -11,19 +12,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import cut
+from strata.llm.common import attach, cut
+
+
+def _with_least(edges: DataFrame) -> DataFrame:
+    """(a, b, m): edges with the least ``b`` of all edges of their ``a``."""
+    return attach(edges, "a", "b", [F.min("b").alias("m")], [F.min("m").alias("m")])
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.union(edges.select("b", "a"))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+    both = _with_least(edges.union(edges.select("b", "a")))
+    return both.where("b > a").select(F.col("b").alias("a"), F.least("m", "a").alias("b")).where("a <> b").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    return down.join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+    down = _with_least(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    return down.select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -15,11 +15,14 @@ similarity of their sets is 0.8 or more. Steps:
    every pair of different texts is verified exactly on whole shingle sets, which
    gives the number of links and the edges of the final classes.
 
-Pairs are counted where they are found and never written out one by one.
+Pairs are counted where they are found and never written out one by one. Verifying all
+pairs of n near copies takes a number of comparisons quadratic in n by nature; the
+shuffle before it copies a set at most DEALT times, unless a group's sets together are so
+large that a task could not hold a block of them.
 
 Defined results: null counts as the empty text; a text of one to four words has one
 shingle, all its words; texts without words are linked to nothing, equal ones are
-copies; repeated rows get equal result rows; ties take the least doc_id (nulls
+copies; very long texts are compared whole; repeated rows get equal result rows; ties take the least doc_id (nulls
 last); an empty table gives no rows; further columns are ignored.
 """
 
@@ -30,10 +33,10 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import small, stored
+from strata.llm.common import attach, fresh, small, stored
 from strata.llm.components import components
 
 WORDS = 5
@@ -47,8 +50,13 @@ TOLERANCE = 1e-6
 #: Nodes in a block of a large bucket, and of a large group in the exact step.
 BUCKET_BLOCK = 4096
 EXACT_BLOCK = 512
-#: Shingles whose columns are held at once while a block pair is verified.
-EXACT_COLUMNS = 8192
+#: Blocks of a group up to which they grow in number, then in size; and shingles that a block holds at most, on average.
+DEALT = 16
+EXACT_SHINGLES = 2_000_000
+#: Sets and columns of shingles that are multiplied at once while a block pair is verified.
+EXACT_ROWS, EXACT_COLUMNS = 512, 8192
+#: Copies of one text from which its rows meet their class by broadcast.
+HOT_COPIES = 10_000
 
 _MASK = (1 << 64) - 1
 
@@ -230,7 +238,7 @@ _GROUP = ["root", "i", "j"]
 
 def _shingle_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        yield pd.DataFrame({"node": batch["node"], "root": batch["root"], "n": batch["n"], "hashes": [shingles(t).tobytes() for t in batch["text"]]})
+        yield pd.DataFrame({"node": batch["node"], "root": batch["root"], "n": batch["n"], "shingles": batch["shingles"], "hashes": [shingles(t).tobytes() for t in batch["text"]]})
 
 
 def overlaps(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -241,11 +249,15 @@ def overlaps(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return row[keep[column]], (np.cumsum(keep) - 1)[column[keep[column]]], np.asarray(keep.sum())
 
 
-def linked(sets: list[np.ndarray], threshold: float = THRESHOLD) -> np.ndarray:
-    """Boolean matrix of the pairs with Jaccard similarity of ``threshold`` or more, verified on whole sets."""
+def linked(sets: list[np.ndarray], threshold: float = THRESHOLD, split: int | None = None) -> np.ndarray:
+    """Boolean matrix of the pairs with Jaccard similarity of ``threshold`` or more, verified on whole sets.
+
+    With ``split`` only the pairs of a set before and one from there on are compared.
+    """
     n = len(sets)
+    left, right = (slice(None), slice(None)) if split is None else (slice(None, split), slice(split, None))
     size = np.array([len(s) for s in sets], dtype=np.float64)
-    shared = np.zeros((n, n), dtype=np.float64)
+    shared = np.zeros((len(size[left]), len(size[right])), dtype=np.float64)
     row, column, columns = overlaps(sets)
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
@@ -253,14 +265,27 @@ def linked(sets: list[np.ndarray], threshold: float = THRESHOLD) -> np.ndarray:
         lo, hi = np.searchsorted(column, [at, at + EXACT_COLUMNS])
         part = np.zeros((n, min(EXACT_COLUMNS, int(columns) - at)), dtype=np.float32)
         part[row[lo:hi], column[lo:hi] - at] = 1
-        shared += part @ part.T
-    union = size[:, None] + size[None, :] - shared
+        shared += part[left] @ part[right].T
+    union = size[left][:, None] + size[right][None, :] - shared
     out = shared >= threshold * union - 1e-9
     out[union == 0] = False
-    np.fill_diagonal(out, False)
+    if split is None:
+        np.fill_diagonal(out, False)
     return out
 
 
+def _matches(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Numbers of the linked pairs among ``left`` (right None) or across the two, EXACT_ROWS sets of each at a time; every pair once."""
+    cuts = lambda x: [x[k: k + EXACT_ROWS] for k in range(0, len(x), EXACT_ROWS)]
+    for k, one in enumerate(cuts(left)):
+        if right is None:
+            x, y = np.nonzero(np.triu(linked([sets[i] for i in one])))
+            yield one[x], one[y]
+        for other in cuts(left)[k + 1:] if right is None else cuts(right):
+            x, y = np.nonzero(linked([sets[i] for i in one] + [sets[i] for i in other], split=len(one)))
+            yield one[x], other[y]
+
+
 def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Per node its links in this block pair; and edges that span the linked nodes (rows with ``b``)."""
     for frame in _runs(batches, _GROUP):
@@ -270,28 +295,27 @@ def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for lo, hi in zip(starts[:-1], starts[1:]):
             if hi - lo < 2:
                 continue
-            match = linked([np.frombuffer(x, dtype=np.uint64) for x in frame["hashes"].iloc[lo:hi]])
-            if i[lo] != j[lo]:  # pairs inside a block are another task's
-                match &= block[lo:hi, None] != block[None, lo:hi]
-            parent = np.arange(hi - lo)
-            for x in range(hi - lo):
-                near = np.flatnonzero(match[x])
-                if len(near):
-                    a.append(node[lo + x]), b.append(None), links.append(len(near))
-                for y in near[near > x]:
-                    p, q = _root(parent, x), _root(parent, int(y))
-                    if p != q:
-                        parent[p] = q
-                        a.append(node[lo + x]), b.append(node[lo + y]), links.append(0)
+            sets = [np.frombuffer(x, dtype=np.uint64) for x in frame["hashes"].iloc[lo:hi]]
+            own = block[lo:hi]
+            count, parent = np.zeros(hi - lo, dtype=np.int64), np.arange(hi - lo)
+            # Pairs inside a block are another task's.
+            for x, y in _matches(sets, np.flatnonzero(own == i[lo]), None if i[lo] == j[lo] else np.flatnonzero(own == j[lo])):
+                count += np.bincount(x, minlength=hi - lo) + np.bincount(y, minlength=hi - lo)
+                for p, q in zip(x.tolist(), y.tolist()):
+                    r, s = _root(parent, p), _root(parent, q)
+                    if r != s:
+                        parent[r] = s
+                        a.append(node[lo + p]), b.append(node[lo + q]), links.append(0)
+            for x in np.flatnonzero(count):
+                a.append(node[lo + x]), b.append(None), links.append(int(count[x]))
         yield pd.DataFrame({"a": a, "b": b, "links": np.array(links, dtype=np.int64)})
 
 
-def _dealt(df: DataFrame, key: str, size: int) -> DataFrame:
-    """Rows of groups (``key``, ``n`` members) for every pair of blocks that they take part in."""
-    blocks = F.ceil(F.col("n") / size).cast("int")
-    df = df.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+def _dealt(df: DataFrame, key: str, blocks: Column) -> DataFrame:
+    """Rows of groups (``key``) for every pair of the group's ``blocks`` that they take part in."""
+    df = df.withColumn("blocks", blocks.cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     df = df.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    df = df.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other", "blocks", "n")
+    df = df.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other", "blocks")
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(parts, key, "i", "j").sortWithinPartitions(key, "i", "j")
 
@@ -312,30 +336,38 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     # Ids travel as text through pandas, which would turn a column of numbers with a null into floats.
     made = rows.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(_sketch_rows, "doc_id string, node binary, n_shingles int, sig binary, bands array<bigint>")
     sketched = stored(made.withColumn("doc_id", F.col("doc_id").cast("long")), "sketches")
-    texts = stored(sketched.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n_copies"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "texts")
+    texts = stored(sketched.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n_copies"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "texts")
 
     banded = texts.select("node", F.explode("bands").alias("band"))
     crowded = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     shared = banded.join(crowded, "band").join(texts.select("node", "sig"), "node")
-    tight = stored(_dealt(shared, "band", BUCKET_BLOCK).mapInPandas(_candidates, "a binary, b binary").distinct(), "candidates")
-    groups = stored(components(tight), "groups")
-    sized = groups.join(groups.groupBy("root").agg(F.count("*").alias("n")), "root")
-    wanted = stored(sized.join(texts.select("node", "first_id"), "node"), "wanted")
+    dealt = _dealt(shared, "band", F.ceil(F.col("n") / BUCKET_BLOCK)).drop("n")
+    tight = stored(dealt.mapInPandas(_candidates, "a binary, b binary").distinct(), "candidates")
+    members = components(tight).join(texts.select("node", "first_id", "n_shingles"), "node")
+    wanted = stored(attach(members, "root", "node", [F.count("*").alias("n"), F.sum("n_shingles").alias("shingles")], [F.sum("n").alias("n"), F.sum("shingles").alias("shingles")]).drop("n_shingles"), "wanted")
 
     # Only texts in groups are read again, one row of each.
     again = rows.alias("r").join(small(wanted).alias("w"), (F.col("r.node") == F.col("w.node")) & F.col("r.doc_id").eqNullSafe(F.col("w.first_id")))
-    again = again.select("r.node", "w.root", "w.n", "r.text").dropDuplicates(["node"])
-    sets = again.mapInPandas(_shingle_sets, "node binary, root binary, n long, hashes binary")
-    verified = stored(_dealt(sets, "root", EXACT_BLOCK).mapInPandas(_verify, "a binary, b binary, links long"), "verified")
+    again = again.select("r.node", "w.root", "w.n", "w.shingles", "r.text").dropDuplicates(["node"])
+    sets = again.mapInPandas(_shingle_sets, "node binary, root binary, n long, shingles long, hashes binary")
+    blocks = F.greatest(F.ceil(F.col("shingles") / EXACT_SHINGLES), F.least(F.ceil(F.col("n") / EXACT_BLOCK), F.lit(DEALT)))
+    verified = stored(_dealt(sets, "root", blocks).drop("n", "shingles").mapInPandas(_verify, "a binary, b binary, links long"), "verified")
     links = verified.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("n_links"))
-    classes = components(verified.where("b is not null"))
-
-    labelled = texts.select("node", "first_id", "n_copies").join(classes, "node", "left").join(links, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    heads = labelled.groupBy("root").agg(F.min(F.struct(F.col("first_id").isNull().alias("null_id"), "first_id", "node")).alias("head"))
-    final = labelled.join(heads, "root").select(
-        "node", F.col("head.first_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies", (F.col("node") == F.col("head.node")).alias("is_head"), "first_id"
-    )
-    found = sketched.select("doc_id", "node").join(stored(final, "classes"), "node")
+    classes = components(verified.where("b is not null")).join(texts.select("node", "first_id"), "node")
+    first = F.struct(F.col("first_id").isNull().alias("null_id"), "first_id", "node")
+    headed = attach(classes, "root", "node", [F.min(first).alias("head")], [F.min("head").alias("head")])
+    headed = headed.select("node", F.col("head.first_id").alias("head_id"), (F.col("node") == F.col("head.node")).alias("is_head"))
+    labelled = texts.select("node", "first_id", "n_copies").join(headed, "node", "left").join(links, "node", "left")
+    final = stored(labelled.select(
+        "node", F.when(F.col("is_head").isNull(), F.col("first_id")).otherwise(F.col("head_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies",
+        F.coalesce("is_head", F.lit(True)).alias("is_head"), "first_id",
+    ), "classes")
+    # Rows of a text with very many copies meet its class without a shuffle.
+    ids, hot = sketched.select("doc_id", "node"), stored(final.where(F.col("n_copies") >= HOT_COPIES), "hot-classes")
+    if hot.isEmpty():
+        found = ids.join(final, "node")
+    else:
+        found = ids.join(small(hot.select("node")), "node", "left_anti").join(final.where(F.col("n_copies") < HOT_COPIES), "node").unionByName(ids.join(small(hot), "node"))
     return found.select("doc_id", "node", "class_id", "n_links", "n_copies", (F.col("is_head") & F.col("doc_id").eqNullSafe(F.col("first_id"))).alias("representative"))
 
 
@@ -349,13 +381,14 @@ def _sketch_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def keep_one(documents: DataFrame) -> DataFrame:
     """``documents`` with one row of each class: the one with the least doc_id, and one of its repeats."""
     found = stored(near_duplicates(documents), "found")
+    of, own_id, own = fresh(documents, "gone_node"), fresh(documents, "gone_id"), fresh(documents, "gone_own")
     counts = found.groupBy("node", "doc_id", "representative").agg(F.count("*").alias("rows"))
-    gone = stored(counts.where(~F.col("representative") | (F.col("rows") > 1)).select(F.col("node").alias("_node"), F.col("doc_id").alias("_id"), F.col("representative").alias("_own")), "gone")
+    gone = stored(counts.where(~F.col("representative") | (F.col("rows") > 1)).select(F.col("node").alias(of), F.col("doc_id").alias(own_id), F.col("representative").alias(own)), "gone")
     node = F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    same = (node == F.col("_node")) & documents["doc_id"].cast("long").eqNullSafe(F.col("_id"))
+    same = (node == F.col(of)) & documents["doc_id"].cast("long").eqNullSafe(F.col(own_id))
     kept = documents.join(small(gone), same, "left_anti")
-    repeats = gone.where("_own")
+    repeats = gone.where(F.col(own))
     if repeats.isEmpty():
         return kept
-    one = documents.join(small(repeats.select("_node", "_id")), same, "left_semi").dropDuplicates(["doc_id", "text"])
+    one = documents.join(small(repeats.select(of, own_id)), same, "left_semi").dropDuplicates(["doc_id", "text"])
     return kept.unionByName(one)

@@ -203,6 +203,7 @@ def test_links_and_classes_equal_brute_force(spark, monkeypatch):
     texts += [edited(rng, base, 1) for _ in range(60)]
     monkeypatch.setattr(ngram_join, "BUCKET_BLOCK", 16)
     monkeypatch.setattr(ngram_join, "EXACT_BLOCK", 16)
+    monkeypatch.setattr(ngram_join, "HOT_COPIES", 2)
     want = brute_near(texts)
     rows = ngram_join.near_duplicates(frame(spark, texts)).collect()
     assert len(rows) == len(texts)
