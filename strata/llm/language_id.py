@@ -5,12 +5,13 @@ language. The scripts of a word's letters narrow the languages it can be scored
 for. A Viterbi pass with a penalty for switching labels each word, so mixed texts
 fall into spans; the language with most labelled letters is the text's.
 
-Texts in which no stretch of words could repay a switch (checked exactly from the
-running sums) need no pass, as a single language is the best path.
+Texts in which no stretch of words could repay its switches (checked exactly from the
+running sums) need no pass, as a single language is the best path; in others, languages
+that no word favours over the best single one stay out, as they can't improve a path.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0;
 repeated rows get equal result rows; ties take the language that sorts first;
-without learned languages everything is ``und``; an empty table gives no rows;
+very long texts are labelled whole; without learned languages everything is ``und``; an empty table gives no rows;
 further columns pass unseen.
 """
 
@@ -184,19 +185,21 @@ class Labeller:
     def path(self, scores: np.ndarray) -> np.ndarray:
         """The best language for each word under the switching penalty.
 
-        Languages that no stretch of words favours by more than a switch over the best single one stay out.
+        Against the best single language a path of k segments gains at most what its
+        first, last and middle segments can, less k - 1 switches. If no stretch gains more
+        than a switch, and no beginning and end together do, none gains anything.
         """
         total = scores.cumsum(axis=0, dtype=np.float64)
         best = int(total[-1].argmax())
         gain = total - total[:, best: best + 1]
-        low = np.minimum.accumulate(gain, axis=0)
-        rise = np.maximum((gain - low).max(axis=0), gain.max(axis=0))
-        others = np.flatnonzero(rise > SWITCH)
-        if not len(others):
+        low = np.minimum(np.minimum.accumulate(gain, axis=0), 0)
+        opening, closing = max(0.0, gain.max()), max(0.0, (gain[-1] - low[-1]).max())
+        if (gain - low).max() <= SWITCH and opening + closing <= SWITCH:
             return np.full(len(scores), best)
-        if len(others) == 1:
-            return np.where(_two(scores[:, others[0]] - scores[:, best]), others[0], best)
-        names = np.append(best, others)
+        names = np.flatnonzero((scores > scores[:, best: best + 1]).any(axis=0))
+        if len(names) == 1:
+            return np.where(_two(scores[:, names[0]] - scores[:, best]), names[0], best)
+        names = np.append(best, names)
         return names[_many(scores[:, names])]
 
     def __call__(self, texts: list[str | None]) -> tuple[list[str], list[float]]:

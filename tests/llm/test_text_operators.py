@@ -499,15 +499,23 @@ def value(scores, path):
 
 def test_paths_are_the_best():
     rng = np.random.default_rng(17)
-    for n in (2, 3):
+    for n in (2, 3, 4, 5):
         labeller = language_id.Labeller(language_id.Model([str(i) for i in range(n)], None, None, None))
-        for _ in range(100):
-            scores = -np.abs(rng.normal(0, 2, (60, n)))
-            for k in range(0, 60, 20):
-                scores[k: k + 20, rng.integers(0, n)] += 1.5
-            got = value(scores, labeller.path(scores))
-            best = plain_path(scores)
-            assert got <= best + 1e-9 and (got >= best - 1e-9 if n == 2 else got >= best - language_id.SWITCH)
+        for turn in range(200):
+            size = int(rng.integers(1, 60))
+            scores = -np.abs(rng.normal(0, rng.choice([0.5, 2]), (size, n)))
+            for k in range(0, size, int(rng.integers(3, 21))):
+                scores[k: k + 20, rng.integers(0, n)] += rng.choice([0.3, 1.5])
+            assert abs(value(scores, labeller.path(scores)) - plain_path(scores)) < 1e-9
+
+
+def test_short_stretches_between_others_count():
+    labeller = language_id.Labeller(language_id.Model(["a", "b", "c"], None, None, None))
+    scores = np.full((31, 3), -2.0)
+    scores[:4] = -4
+    scores[:4, 2], scores[4:14, 1], scores[14:, 0] = 0, 0, 0
+    assert abs(value(scores, labeller.path(scores)) - plain_path(scores)) < 1e-9
+    assert value(scores, labeller.path(scores)) == -24
 
 
 def test_words_of_texts():
