@@ -25,7 +25,7 @@ def test_every_whole_text_is_found_whatever_its_form(spark):
     cases = [(k, restyled(x, n)) for k, x in licenses.FULL_TEXTS.items() for n in range(3)]
     got = {r["doc_id"]: r["text_license"] for r in licenses.scan(frame(spark, [x for _, x in cases]), licenses.catalog(spark)).collect()}
     assert got == {i: k for i, (k, _) in enumerate(cases)}
-    changed = [x.replace("PERMISSION", "permission").replace(" the ", " a ", 1) for _, x in cases]
+    changed = [x.replace(" the ", " a ", 1) for _, x in cases]
     assert all(r["text_license"] is None for r, (_, x), y in zip(licenses.scan(frame(spark, changed), licenses.catalog(spark)).orderBy("doc_id").collect(), cases, changed) if x != y)
 
 
