@@ -99,11 +99,14 @@ def term_set(text: Column) -> Column:
 
 
 def has_any(text: Column, words: tuple[str, ...]) -> Column:
-    low = F.lower(text)
-    out = F.lit(False)
-    for w in words:
-        out = out | F.contains(low, F.lit(w))
-    return out
+    """Whether a text has one of some lower-case words, whatever their case. The lower-case text is made once, as the only element of an array."""
+    def found(low: Column) -> Column:
+        out = F.lit(False)
+        for w in words:
+            out = out | F.contains(low, F.lit(w))
+        return out
+
+    return F.exists(F.array(F.lower(text)), found)
 
 
 def sensitive_key(key: Column) -> Column:
@@ -111,7 +114,8 @@ def sensitive_key(key: Column) -> Column:
 
 
 def restricted(text: Column) -> Column:
-    return text.rlike(PEM_HEADER) | text.rlike(URL_CREDENTIAL)
+    """Searched only where a plain text that every match holds is found."""
+    return (F.contains(text, F.lit("-----BEGIN ")) & text.rlike(PEM_HEADER)) | (F.contains(text, F.lit("://")) & text.rlike(URL_CREDENTIAL))
 
 
 def bare_base64(text: Column) -> Column:
@@ -120,7 +124,8 @@ def bare_base64(text: Column) -> Column:
 
 
 def has_base64_run(text: Column) -> Column:
-    return text.rlike(r"[A-Za-z0-9+/]{32,}={0,2}")
+    """A run of 32 characters or more; it is tried only where a run begins."""
+    return text.rlike(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{32}")
 
 
 def classify_text(text: Column) -> Column:

@@ -139,6 +139,20 @@ def related_members(items: DataFrame, top: int = 4) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= top).select("a_id", "b_id", "rank")
 
 
+def pipeline_neighbours(items: DataFrame, top: int = 4) -> DataFrame:
+    """For each pipeline step its ``top`` fellow steps of the same path, class and category, by score and line. Items also have a boolean ``pipeline``."""
+    steps = items.where("pipeline and cls <> ''")
+    keys = ["path", "cls", "category"]
+    pairs = steps.select(*keys, F.col("id").alias("a_id")).join(steps.select(*keys, F.col("id").alias("b_id"), "score", "line"), keys).where("a_id <> b_id")
+    rank = Window.partitionBy("a_id").orderBy(F.desc("score"), "line", "b_id")
+    return pairs.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= top).select("a_id", "b_id", "rank")
+
+
+def strict_semi(found: DataFrame, targets: DataFrame) -> DataFrame:
+    """Found rows whose weakness, path and symbol all equal a target's."""
+    return found.join(targets.select("cwe", "path", "symbol"), ["cwe", "path", "symbol"], "left_semi")
+
+
 def snapshot_diff(old: DataFrame, new: DataFrame, key: str = "path", digest: str = "sha256") -> DataFrame:
     """(key, change) of keys that were added, modified or removed between two snapshots."""
     o, n = old.select(key, F.col(digest).alias("_o")), new.select(key, F.col(digest).alias("_n"))

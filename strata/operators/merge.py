@@ -93,3 +93,8 @@ def adjudicate(findings: DataFrame, verdicts: DataFrame) -> DataFrame:
     """Findings with the last model verdict for (path, symbol); without one, needs_review."""
     last = verdicts.groupBy("path", "symbol").agg(F.max_by("verdict", "seq").alias("disposition"))
     return findings.join(last, ["path", "symbol"], "left").withColumn("disposition", F.coalesce("disposition", F.lit("needs_review")))
+
+
+def first_seen(df: DataFrame, value: str, seq: str = "seq") -> DataFrame:
+    """Distinct values, each with the place where it was first seen; ordering by it restores first-seen order."""
+    return df.groupBy(value).agg(F.min(seq).alias(seq))

@@ -171,3 +171,8 @@ def capped_with_gap(df: DataFrame, order: list[Column], most: int, gap: Callable
 
 def keep_first(df: DataFrame, identity: list[str], order: list[Column]) -> DataFrame:
     return top_per_group(df, identity, order, 1, "_n").drop("_n")
+
+
+def by_signal(items: DataFrame, group: list[str], k: int) -> DataFrame:
+    """The first k of each group: those outside tests first, then by falling score, path, line and name."""
+    return top_per_group(items, group, [F.asc("is_test"), F.desc("score"), F.asc("path"), F.asc("line"), F.asc("name")], k)

@@ -85,3 +85,8 @@ def dossiers(findings: DataFrame) -> DataFrame:
     line = lambda name, c: F.concat(F.lit(f"- {name}: `"), cell(c), F.lit("`"))
     body = F.concat_ws("\n", F.concat(F.lit("# "), cell("title")), F.lit(""), line("Rule", "rule_id"), line("Severity", "severity"), line("Weakness", "cwe"), line("Place", "path"), line("Line", "line"), F.lit(""), cell("explanation"))
     return findings.select("finding_id", body.alias("body"))
+
+
+def trust_boundaries(entrypoints: DataFrame, sources: DataFrame) -> DataFrame:
+    """The distinct paths that have an entry point or an outside source."""
+    return entrypoints.select("path").unionByName(sources.select("path")).distinct()

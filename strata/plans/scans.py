@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from strata.functions import digests
 from strata.functions import text as T
-from strata.operators import lookups, merge, metrics, privacy
+from strata.operators import lookups, merge, metrics, privacy, rules
 from strata.plans.catalog import query
 from strata.sources import corpus
 
 # Rules that the generated documents hit: (id, severity, source, weakness, pattern).
 DOCUMENT_RULES = [
+    *rules.SOURCE_RULES,
     ("TXT-KEYWORD", "medium", "local-rules", "CWE-200", r"(?i)(password|secret|token)"),
     ("TXT-ASSIGNED-SECRET", "high", "local-rules", "CWE-798", r"(?i)\b(password|token|secret)\s*=\s*\S{8,}"),
     ("TXT-CLOUD-KEY", "critical", "privacy-rules", "CWE-798", r"AKIA[0-9A-Z]{16}"),
@@ -20,26 +21,23 @@ DOCUMENT_RULES = [
     ("TXT-EMAIL", "low", "privacy-rules", "CWE-359", r"[a-z0-9.]+@[a-z0-9.]+\.com"),
     ("TXT-CARD", "high", "privacy-rules", "CWE-359", r"[0-9]{16}"),
 ]
-SKIPPED = "(?i)[^\\n]*lorem ipsum"
 
 
-def rule_hits(lines: DataFrame, rules: list[tuple[str, str, str, str, str]] = DOCUMENT_RULES) -> DataFrame:
-    """A finding for each line and rule that match; rules are literals, so the scan stays one narrow stage."""
-    hits = F.array_compact(F.array(*[
-        F.when(F.col("content").rlike(pattern), F.struct(F.lit(i).alias("rule_seq"), F.lit(rule).alias("rule_id"), F.lit(severity).alias("severity"), F.lit(source).alias("source"), F.lit(cwe).alias("cwe")))
-        for i, (rule, severity, source, cwe, pattern) in enumerate(rules)
-    ]))
-    found = lines.select("*", F.explode(hits).alias("hit")).select(*lines.columns, "hit.*")
-    return found.withColumns({"confidence": F.lit(T.RULE_CONFIDENCE), "evidence": T.evidence_clip(F.col("content")), "seq": F.col("rule_seq").cast("long"), "verification_state": F.lit("unverified"), "evidence_kind": F.lit("rule")})
+def rule_hits(lines: DataFrame) -> DataFrame:
+    return rules.line_hits(lines, DOCUMENT_RULES)
 
 
 def _lines(t) -> DataFrame:
     return corpus.text_lines(t("documents").select(F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"), "text"), ["path"])
 
 
+def _quoted(pattern: str) -> str:
+    return pattern.replace("'", "''")
+
+
 _LINES = "lines AS (SELECT path, i AS line, ls[i] AS content FROM (SELECT source || '/' || doc_id AS path, string_split(text, chr(10)) AS ls FROM documents WHERE text <> '') d, unnest(range(1, len(ls) + 1)) u(i) WHERE NOT (i = len(ls) AND ls[i] = ''))"
 _HITS = "hits AS (" + " UNION ALL ".join(
-    f"SELECT path, line, content, {i} AS seq, '{r}' AS rule_id, '{s}' AS severity, '{src}' AS source, '{cwe}' AS cwe FROM lines WHERE regexp_matches(content, '{p}')" for i, (r, s, src, cwe, p) in enumerate(DOCUMENT_RULES)
+    f"SELECT path, line, content, {i} AS seq, '{r}' AS rule_id, '{s}' AS severity, '{src}' AS source, '{cwe}' AS cwe FROM lines WHERE regexp_matches(content, '{_quoted(p)}')" for i, (r, s, src, cwe, p) in enumerate(DOCUMENT_RULES)
 ) + ")"
 _RANK = "CASE severity WHEN 'critical' THEN 3 WHEN 'high' THEN 2 WHEN 'medium' THEN 1 ELSE 0 END"
 
@@ -121,9 +119,57 @@ def classified_turns(t):
     return t("conversations").select("role", T.classify_text(F.col("text")).alias("classification")).groupBy("role", "classification").agg(F.count("*").alias("n"))
 
 
-@query("SELECT doc_id, regexp_replace(text, 'AKIA[0-9A-Z]{16}', '[REDACTED]', 'g') AS text FROM documents WHERE contains(text, 'AKIA')")
+@query("""
+SELECT doc_id, CASE doc_id % 4 WHEN 3 THEN '' ELSE '[REDACTED]' END || ' ' || substr(text, 1, 100) AS text FROM documents""")
 def masked_documents(t):
-    return t("documents").where(F.contains("text", F.lit("AKIA"))).select("doc_id", T.masked_secrets(F.col("text")).alias("text"))
+    """Documents behind a secret of one of three well-known forms, or none, with secrets masked."""
+    mark = F.sha2(F.col("doc_id").cast("string"), 256)
+    secret = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("AKIA"), F.upper(F.substring(mark, 1, 16)))).when(F.col("doc_id") % 4 == 1, F.concat(F.lit("ghp_"), mark)).when(F.col("doc_id") % 4 == 2, F.concat(F.lit("xoxb-"), mark)).otherwise("")
+    return t("documents").select("doc_id", T.masked_secrets(F.concat_ws(" ", secret, F.substring("text", 1, 100))).alias("text"))
+
+
+_CODE = [
+    "result = eval(request)", "run(command, shell=True)", "password = 'correct horse'", "db.execute(f'select {x}')", "except Exception:", "print(value)", "total = a + b", "# a comment",
+]
+_SUFFIXES = [".py", ".c", ".js", ".lock", ".min.js", ".CPP", ".map", ".txt"]
+_SOURCES = f"""files AS (SELECT 'src/' || doc_id || ([{', '.join(f"'{x}'" for x in _SUFFIXES)}])[(doc_id % 8 + 1)::INT] AS path,
+  ([{', '.join("'" + _quoted(x) + "'" for x in _CODE)}])[(doc_id % 7 + 1)::INT] || chr(10) || ([{', '.join("'" + _quoted(x) + "'" for x in _CODE)}])[(doc_id // 8 % 8 + 1)::INT] || chr(10) || text AS text FROM documents),
+slines AS (SELECT path, i AS line, ls[i] AS content FROM (SELECT path, string_split(text, chr(10)) AS ls FROM files) d, unnest(range(1, len(ls) + 1)) u(i) WHERE NOT (i = len(ls) AND ls[i] = ''))"""
+
+
+def _source_lines(t) -> DataFrame:
+    code = lambda k: F.element_at(F.lit(_CODE), k.cast("int"))
+    i = F.col("doc_id")
+    path = F.concat(F.lit("src/"), i.cast("string"), F.element_at(F.lit(_SUFFIXES), (i % 8 + 1).cast("int")))
+    files = t("documents").select(path.alias("path"), F.concat_ws("\n", code(i % 7 + 1), code(F.floor(i / 8) % 8 + 1), "text").alias("text"))
+    return corpus.text_lines(files, ["path"])
+
+
+_SHITS = " UNION ALL ".join(
+    f"SELECT path, line, content, '{r}' AS rule_id, '{s}' AS severity, '{cwe}' AS cwe FROM slines WHERE regexp_matches(content, '{_quoted(p)}') AND NOT regexp_matches(lower(path), '\\.(lock|min\\.js|map)$')"
+    + (" AND NOT regexp_matches(lower(path), '\\.(c|cc|cpp|cxx|h|hh|hpp|hxx)$')" if r == "SEC-EVAL" else "") for r, s, src, cwe, p in rules.SOURCE_RULES
+)
+
+
+@query(f"WITH {_SOURCES} SELECT path, line, rule_id, severity, cwe, substr(regexp_replace(content, '^\\s+|\\s+$', '', 'g'), 1, 240) AS evidence, 0.9::DOUBLE AS confidence FROM ({_SHITS})")
+def source_rule_findings(t):
+    """The six line rules over sources of eight suffixes; locked, generated and, for one rule, native files are passed over."""
+    hits = rules.line_hits(_source_lines(t), rules.SOURCE_RULES)
+    return hits.select("path", F.col("line").cast("long").alias("line"), "rule_id", "severity", "cwe", "evidence", "confidence")
+
+
+@query(f"""
+WITH {_SOURCES}, r(rule_id, include, exclude, literal, fold) AS (VALUES ('D1', ['src/1', 'src/2'], ['src/11'], 'EVAL(', true), ('D2', []::VARCHAR[], ['src/3'], 'Shell', false), ('D3', ['src/'], []::VARCHAR[], 'shell', false), ('D4', ['lib/'], []::VARCHAR[], 'print', true))
+SELECT path, line, rule_id FROM slines, r WHERE (len(include) = 0 OR len(list_filter(include, lambda p: starts_with(path, p))) > 0) AND len(list_filter(exclude, lambda p: starts_with(path, p))) = 0
+  AND CASE WHEN fold THEN contains(lower(content), lower(literal)) ELSE contains(content, literal) END""")
+def declared_rule_findings(t):
+    """Rules that are rows: prefixes to include and exclude, a literal, and whether its case matters."""
+    lines = _source_lines(t)
+    declared = lines.sparkSession.createDataFrame(
+        [("D1", ["src/1", "src/2"], ["src/11"], "EVAL(", True), ("D2", [], ["src/3"], "Shell", False), ("D3", ["src/"], [], "shell", False), ("D4", ["lib/"], [], "print", True)],
+        "rule_id string, include array<string>, exclude array<string>, literal string, fold boolean",
+    )
+    return rules.declared_hits(lines, declared).select("path", F.col("line").cast("long").alias("line"), "rule_id")
 
 
 @query("SELECT doc_id, CASE WHEN strlen(text) = 0 THEN 0 ELSE greatest(1, ceil(strlen(text) / 4)) END::BIGINT AS tokens, substr(sha256(source || chr(0) || doc_id || chr(0) || lang), 1, 16) AS identity FROM documents")
@@ -187,9 +233,14 @@ def _flag(c: Column) -> Column:
     return F.coalesce(c, F.lit(False))
 
 
-@query("SELECT event_type, count(*) FILTER (WHERE contains(lower(props), 'key') OR contains(lower(props), 'k')) AS hits FROM events GROUP BY event_type")
+_KEYS = ["userName", "apiKEY", "Session_Token", "city", "passWord", "note", "Credentials", "clientSecret", "id"]
+
+
+@query(f"SELECT event_type, count(*) FILTER (WHERE regexp_matches(lower(key), 'secret|token|key|password|credential')) AS hits, count(*) AS n FROM (SELECT event_type, ([{', '.join(f"'{k}'" for k in _KEYS)}])[(event_id % {len(_KEYS)} + 1)::INT] AS key FROM events) GROUP BY event_type")
 def sensitive_keys(t):
-    return t("events").groupBy("event_type").agg(F.count_if(_flag(T.sensitive_key(F.col("props")) | F.contains(F.lower("props"), F.lit("k")))).alias("hits"))
+    """Fields of events by name: how many names are sensitive, whatever their case."""
+    key = F.element_at(F.lit(_KEYS), (F.col("event_id") % len(_KEYS) + 1).cast("int"))
+    return t("events").groupBy("event_type").agg(F.count_if(_flag(T.sensitive_key(key))).alias("hits"), F.count("*").alias("n"))
 
 
 @query("""
@@ -200,10 +251,17 @@ def base64_runs(t):
     return rows.select("doc_id", F.size("s").cast("long").alias("spans"), F.array_join("s", " ").alias("body"))
 
 
-@query("SELECT event_type, CASE WHEN event_type = 'error' THEN 'sensitive' ELSE 'internal' END AS classification, count(*) AS n FROM events GROUP BY ALL")
+@query("""
+SELECT event_type, CASE WHEN k % 5 IN (0, 3) THEN 'sensitive' WHEN k % 5 = 1 THEN 'restricted' WHEN k % 5 = 4 AND k % 2 = 0 THEN 'sensitive' ELSE 'internal' END AS classification, count(*) AS n
+FROM (SELECT event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events) GROUP BY ALL""")
 def structured_payloads(t):
-    """Event payloads, wrapped under a sensitive key for errors, classified by a walk of their JSON."""
-    payload = F.when(F.col("event_type") == "error", F.concat(F.lit('{"meta": {"session_token": '), "props", F.lit("}}"))).otherwise(F.col("props"))
+    """Event payloads in five wrappings, by their own number, classified by a walk of their JSON: under a sensitive key, beside an address with a password, plain, broken, and with a long run for even numbers."""
+    k = F.get_json_object("props", "$.k").cast("long")
+    run = F.when(k % 2 == 0, F.sha2(F.col("event_id").cast("string"), 256)).otherwise(F.lit("short"))
+    payload = (
+        F.when(k % 5 == 0, F.concat(F.lit('{"meta": {"session_token": '), "props", F.lit("}}"))).when(k % 5 == 1, F.concat(F.lit('[{"url": "http://u:p@h/", "x": '), "props", F.lit("}]")))
+        .when(k % 5 == 2, F.col("props")).when(k % 5 == 3, F.concat(F.lit("{"), "props")).otherwise(F.concat(F.lit('{"a": [1, {"b": "'), run, F.lit('"}]}')))
+    )
     rows = t("events").select("event_id", "event_type", payload.alias("payload"))
     found = privacy.classified(rows, "event_id", "payload")
     return rows.select("event_id", "event_type").join(found, "event_id").groupBy("event_type", "classification").agg(F.count("*").alias("n"))

@@ -128,7 +128,9 @@ def inventory_digest(files: DataFrame, by: list[str] | None = None) -> DataFrame
 
 def text_lines(df: DataFrame, key: list[str], text: str = "text") -> DataFrame:
     """(key..., line, content): every line with its number from 1."""
-    return df.select(*key, F.posexplode(T.lines(F.col(text))).alias("pos", "content")).select(*key, (F.col("pos") + 1).alias("line"), "content")
+    parts = df.select(*key, F.split(F.coalesce(F.col(text), F.lit("")), T.LINE_END).alias("_parts"))
+    rows = parts.select(*key, F.size("_parts").alias("_n"), F.posexplode("_parts").alias("pos", "content"))
+    return rows.where((F.col("pos") + 1 < F.col("_n")) | (F.col("content") != "")).select(*key, (F.col("pos") + 1).alias("line"), "content")
 
 
 def numbered(df: DataFrame, order: list[str], name: str = "seq") -> DataFrame:
