@@ -13,12 +13,20 @@ from pyspark.sql import functions as F
 
 ALIAS_KINDS = ("alias-copy", "points-to", "rebind")
 USE_KINDS = ("dereference", "member-access")
+# Allocation calls whose effect is known, and gaps of an extraction that break the order of its blocks.
+ALLOCATION_APIS = ("new", "malloc", "calloc", "realloc")
+CFG_GAPS = (
+    "cfg-loop", "cfg-switch", "cfg-goto", "cfg-exception", "short-circuit-side-effect", "destructor-control-flow", "lambda-body", "coroutine", "indirect-call", "template-instantiation", "macro-expansion", "cfg-unsupported",
+)
+UNREACHABLE_GAP, RESTART_GAP = "clang-constant-unreachable", "lifetime-restart"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """An eager reliable checkpoint in the configured folder; one of our own is made only where none is."""
+    """An eager reliable checkpoint in the configured folder. In local mode, as in tests, one is made where none is; on a cluster that is an error."""
     spark = df.sparkSession
     if spark.conf.get("spark.checkpoint.dir", None) is None and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="strata-checkpoint-"))
     return df.checkpoint(eager=True)
 
@@ -82,30 +90,60 @@ def generation_stats(facts: DataFrame, found: DataFrame) -> DataFrame:
     return units.join(found.agg(F.count("*").alias("pair_count")), F.lit(True)).join(loose, F.lit(True))
 
 
-def obligations(found: DataFrame, facts: DataFrame, complete: DataFrame) -> DataFrame:
-    """Three-valued obligations of each candidate, in long form (candidate_id, obligation, status).
+def bound(questions: DataFrame, facts: DataFrame) -> DataFrame:
+    """The questions (translation_unit, function_usr, root, pointer, line, ...) whose pointer is the root or reached from it by alias facts up to the line."""
+    starts = questions.where("root <> pointer").select("translation_unit", "function_usr", "root", F.col("line").alias("use_line"), F.col("root").alias("node")).distinct()
+    reached = reach(starts, alias_edges(facts).drop("fact_id"), ["translation_unit", "function_usr"], F.col("edge_line") <= F.col("use_line"))
+    hits = reached.select("translation_unit", "function_usr", "root", F.col("use_line").alias("line"), F.col("node").alias("pointer"))
+    return questions.where("root = pointer").unionByName(questions.where("root <> pointer").join(hits, ["translation_unit", "function_usr", "root", "line", "pointer"], "left_semi").select(*questions.columns))
 
-    An obligation is refuted by a fact, satisfied if none can exist, and unknown where the unit's alias graph has gaps.
-    P6: no rebind of the use's pointer in (release, use]; P7: no lifetime restart of the root there.
-    """
-    window = facts.select("translation_unit", "function_usr", F.col("kind").alias("f_kind"), F.col("pointer_id").alias("f_pointer"), F.col("source_range").alias("f_range"))
-    window = window.where(F.col("f_kind").isin("rebind", "lifetime-restart"))
-    inside = found.join(window, ["translation_unit", "function_usr"]).where((F.col("f_range") > F.col("release_range")) & (F.col("f_range") <= F.col("use_range")))
-    refuted = inside.groupBy("candidate_id").agg(
-        F.bool_or((F.col("f_kind") == "rebind") & (F.col("f_pointer") == F.col("target"))).alias("p6"), F.bool_or((F.col("f_kind") == "lifetime-restart") & (F.col("f_pointer") == F.col("root"))).alias("p7")
-    )
-    rows = found.join(refuted, "candidate_id", "left").join(complete, "translation_unit", "left")
-    whole = F.coalesce("complete", F.lit(False))
-    yes, maybe = F.lit("SATISFIED"), F.lit("UNKNOWN")
 
-    def status(flag: str) -> Column:
-        return F.when(F.coalesce(F.col(flag), F.lit(False)), "REFUTED").when(whole, yes).otherwise(maybe)
+def obligations(found: DataFrame, facts: DataFrame, complete: DataFrame, coverage: DataFrame | None = None) -> DataFrame:
+    """Three-valued obligations of each candidate, in long form (candidate_id, obligation, status).
 
-    listed = F.array(
-        F.struct(F.lit("P1").alias("obligation"), yes.alias("status")), F.struct(F.lit("P2").alias("obligation"), F.when((F.col("root") == F.col("target")) | whole, yes).otherwise(maybe).alias("status")),
-        F.struct(F.lit("P3").alias("obligation"), yes.alias("status")), F.struct(F.lit("P6").alias("obligation"), status("p6").alias("status")), F.struct(F.lit("P7").alias("obligation"), status("p7").alias("status")),
-    )
-    return rows.select("candidate_id", F.inline(listed))
+    P1: a known allocation call with a whole identity. P2: the release's and the use's pointers are bound to the object.
+    P3: the release names the allocation. P4: a use comes after the release. P5: blocks lead from the release to the use,
+    feasibly: both in one block of a whole, plain flow graph. P6: the use's pointer isn't rebound in (release, use] to what
+    isn't bound to the object. P7: the object isn't made anew there. Absence of a binding refutes only where the unit's
+    alias facts are whole. ``coverage`` has translation_unit, cfg_complete and semantic_gaps; units without a row aren't covered.
+    """
+    unit = ["translation_unit"]
+    fact = lambda key, **columns: facts.select("translation_unit", F.col("fact_id").alias(key), *[F.expr(x).alias(c) for c, x in columns.items()])
+    rows = found.join(fact("allocation_fact_id", a_kind="kind", a_api="api", a_pointer="pointer_id"), [*unit, "allocation_fact_id"], "left")
+    rows = rows.join(fact("release_fact_id", r_kind="kind", r_related="related_fact_ids", r_pointer="pointer_id", r_block="cfg_block"), [*unit, "release_fact_id"], "left")
+    rows = rows.join(fact("use_fact_id", u_kind="kind", u_block="cfg_block"), [*unit, "use_fact_id"], "left").join(complete, "translation_unit", "left")
+    if coverage is None:
+        rows = rows.withColumns({"cfg_complete": F.lit(False), "semantic_gaps": F.array().cast("array<string>")})
+    else:
+        rows = rows.join(coverage.select("translation_unit", "cfg_complete", "semantic_gaps"), "translation_unit", "left")
+    scope = ["candidate_id", "translation_unit", "function_usr", "root"]
+    asked = found.join(fact("release_fact_id", pointer="pointer_id"), [*unit, "release_fact_id"]).select(*scope, "pointer", F.col("release_range.start").alias("line"), F.lit("release").alias("what"))
+    moves = facts.where(F.col("kind").isin("rebind", "lifetime-restart")).select("translation_unit", "function_usr", F.col("kind").alias("m_kind"), F.col("pointer_id").alias("m_pointer"), F.col("source_pointer_id").alias("m_source"), F.col("source_range.start").alias("m_line"))
+    inside = found.join(moves, ["translation_unit", "function_usr"]).where((F.col("m_line") > F.col("release_range.start")) & (F.col("m_line") <= F.col("use_range.start")))
+    rebinds = inside.where((F.col("m_kind") == "rebind") & (F.col("m_pointer") == F.col("target"))).select(*scope, F.coalesce("m_source", F.lit("")).alias("pointer"), F.col("m_line").alias("line"), F.lit("rebind").alias("what"))
+    answers = bound(asked.unionByName(rebinds), facts).groupBy("candidate_id").agg(F.count_if(F.col("what") == "release").alias("n_release"), F.count_if(F.col("what") == "rebind").alias("n_kept"))
+    moved = rebinds.groupBy("candidate_id").agg(F.count("*").alias("n_rebinds"))
+    renewed = inside.where((F.col("m_kind") == "lifetime-restart") & (F.col("m_pointer") == F.col("root"))).select("candidate_id", F.lit(True).alias("renewed")).distinct()
+    for side in (answers, moved, renewed):
+        rows = rows.join(side, "candidate_id", "left")
+
+    yes, no, maybe = F.lit("SATISFIED"), F.lit("REFUTED"), F.lit("UNKNOWN")
+    true = lambda c: F.coalesce(c, F.lit(False))
+    n = lambda c: F.coalesce(c, F.lit(0))
+    whole, flow, gaps = true(F.col("complete")), true(F.col("cfg_complete")), F.coalesce("semantic_gaps", F.array().cast("array<string>"))
+    plain = flow & ~F.arrays_overlap(gaps, F.lit(list(CFG_GAPS)))
+    known = true(F.col("a_api").isin(*ALLOCATION_APIS)) & true(F.col("a_pointer") != "") & true(F.col("function_usr") != "")
+    path = F.when((plain & true(F.col("u_block") < F.col("r_block"))) | F.array_contains(gaps, UNREACHABLE_GAP), no).when(plain & true(F.col("u_block") == F.col("r_block")), yes).otherwise(maybe)
+    statuses = {
+        "P1": F.when(~true(F.col("a_kind") == "allocation"), no).when(known, yes).otherwise(maybe),
+        "P2": F.when(n("n_release") > 0, yes).when(whole, no).otherwise(maybe),
+        "P3": F.when(true(F.col("r_kind") == "release") & true(F.expr("array_contains(r_related, allocation_fact_id)")), yes).otherwise(no),
+        "P4": F.when(true(F.col("u_kind").isin(*USE_KINDS)) & (F.col("use_range") > F.col("release_range")), yes).otherwise(no),
+        "P5": path,
+        "P6": F.when(~whole, maybe).when(n("n_rebinds") > n("n_kept"), no).otherwise(yes),
+        "P7": F.when(F.array_contains(gaps, RESTART_GAP), maybe).when(true(F.col("renewed")), no).otherwise(yes),
+    }
+    return rows.select("candidate_id", F.inline(F.array(*[F.struct(F.lit(p).alias("obligation"), x.alias("status")) for p, x in statuses.items()])))
 
 
 def verdicts(statuses: DataFrame, ready: Column | None = None) -> DataFrame:

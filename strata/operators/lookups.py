@@ -30,8 +30,10 @@ def comparable(value: Column) -> Column:
 
     A boolean is never a number.
     """
+    # Whole numbers beyond what a double holds exactly are compared digit by digit.
+    whole = value.rlike(r"\A-?[1-9]\d{15,36}\z")
     number = value.rlike(r"\A-?(0|[1-9]\d*)(\.\d+)?([eE][+-]?\d+)?\z")
-    return F.when(number, F.concat(F.lit("n:"), (value.cast("double") + F.lit(0.0)).cast("string"))).otherwise(F.concat(F.lit("v:"), value))
+    return F.when(number, F.concat(F.lit("n:"), F.when(whole, value.cast("decimal(38,0)").cast("string")).otherwise((value.cast("double") + F.lit(0.0)).cast("string")))).otherwise(F.concat(F.lit("v:"), value))
 
 
 def conflicting_fields(values: DataFrame) -> DataFrame:

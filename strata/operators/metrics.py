@@ -198,14 +198,14 @@ def distribution(statuses: DataFrame, dimensions: list[str], obligations: DataFr
 
     One grouping-sets aggregation; ``slice`` names the dimension (``all`` for none) and ``slice_value`` its value.
     """
-    sets = ", ".join(["(obligation)", *[f"(obligation, {d})" for d in dimensions]])
-    statuses.where("counted").createOrReplaceTempView("_strata_statuses")
-    name = " ".join(f"WHEN grouping({d}) = 0 THEN '{d}'" for d in dimensions)
-    value = " ".join(f"WHEN grouping({d}) = 0 THEN cast({d} AS string)" for d in dimensions)
-    counts = ", ".join(f"count_if(status = '{s}') AS {s.lower()}" for s in ("SATISFIED", "REFUTED", "UNKNOWN"))
-    out = statuses.sparkSession.sql(
-        f"SELECT obligation, CASE {name} ELSE 'all' END AS slice, CASE {value} ELSE '' END AS slice_value, {counts}, count(*) AS total FROM _strata_statuses GROUP BY GROUPING SETS ({sets})"
-    )
+    counted = statuses.where("counted")
+    name, value = F.lit("all"), F.lit("")
+    for d in reversed(dimensions):
+        here = F.grouping(d) == 0
+        name, value = F.when(here, d).otherwise(name), F.when(here, F.col(d).cast("string")).otherwise(value)
+    sets = [[F.col("obligation")], *[[F.col("obligation"), F.col(d)] for d in dimensions]]
+    counts = [F.count_if(F.col("status") == s).alias(s.lower()) for s in ("SATISFIED", "REFUTED", "UNKNOWN")]
+    out = counted.groupingSets(sets, "obligation", *dimensions).agg(name.alias("slice"), value.alias("slice_value"), *counts, F.count("*").alias("total")).drop(*dimensions)
     slices = out.select("slice", "slice_value").distinct()
     full = slices.join(obligations.select("obligation"), F.lit(True)).join(out, ["slice", "slice_value", "obligation"], "left")  # slices times the few fixed obligations
     filled = full.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("satisfied", "refuted", "unknown", "total")})
@@ -278,3 +278,18 @@ def repository_profile(files: DataFrame) -> DataFrame:
     )
     kinds = F.array_compact(F.array(*[F.when(F.col(k), F.lit(k)) for k in ("docs", "test", "build")]))
     return t.select("repository", F.when(F.size("declared_languages") > 0, F.col("declared_languages")).otherwise(F.col("languages")).alias("languages"), kinds.alias("kinds"))
+
+
+def platform_scores(revisions: DataFrame) -> DataFrame:
+    """Rates of an evaluation in one row, each with its own denominator, null where that is zero.
+
+    Revisions: case_id, revision (vulnerable or fixed), found, abstained, completed, seconds. A case passes if a vulnerable
+    revision is found and no fixed one is; it is stable if all its vulnerable revisions gave the same answer.
+    """
+    v, f, n = F.col("revision") == "vulnerable", F.col("revision") == "fixed", F.count("*")
+    whole = revisions.agg(
+        ratio(F.count_if(v & F.col("found")), F.count_if(v), None).alias("detection_rate"), ratio(F.count_if(f & F.col("found")), F.count_if(f), None).alias("false_positive_rate"),
+        ratio(F.count_if("abstained"), n, None).alias("abstention_rate"), ratio(F.count_if("completed"), n, None).alias("completion_rate"), F.avg("seconds").alias("mean_seconds"), nearest_rank("seconds", 0.95).alias("p95_seconds"),
+    )
+    cases = revisions.groupBy("case_id").agg((F.bool_or(v & F.col("found")) & ~F.bool_or(f & F.col("found"))).alias("passed"), (F.count_distinct(F.when(v, F.col("found"))) < 2).alias("stable"))
+    return whole.join(cases.agg(ratio(F.count_if("passed"), n, None).alias("pair_rate"), ratio(F.count_if("stable"), n, None).alias("stability_rate")), F.lit(True))

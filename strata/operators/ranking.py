@@ -57,7 +57,8 @@ def budget_skip(df: DataFrame, group: list[str], order: list[str], size: str, bu
     """Rows kept while they fit a budget: a row that doesn't fit is passed over, later smaller ones may still fit.
 
     This isn't a running sum. Rows of a group are folded in order in batches inside the group's task, with only the
-    running total as state, so a group of any size needs little memory.
+    running total as state, so a group of any size needs little memory. A row without a size takes no room; rows whose
+    group is null or not a number are one group.
     """
     columns = df.columns
 
@@ -66,7 +67,8 @@ def budget_skip(df: DataFrame, group: list[str], order: list[str], size: str, bu
         for batch in batches:
             take = []
             for values in zip(*[batch[g] for g in group], batch[size]):
-                here, need = values[:-1], int(values[-1])
+                here = tuple(None if pd.isna(v) else v for v in values[:-1])
+                need = 0 if pd.isna(values[-1]) else int(values[-1])
                 if here != key:
                     key, used, kept = here, 0, 0
                 good = used + need <= budget and (most is None or kept < most)

@@ -152,3 +152,9 @@ def progress(experiments: DataFrame, key: str = "run_id") -> DataFrame:
     """Calls, tokens and completed cases of persisted experiment rows."""
     n = lambda path: F.coalesce(F.sum(F.get_json_object("result", path).cast("long")), F.lit(0))
     return experiments.groupBy(key).agg(n("$.calls").alias("calls"), n("$.tokens").alias("tokens"), F.count_if(F.col("status") == "completed").alias("completed"))
+
+
+def operation_ledger(log: DataFrame, key: str = "operation_id") -> DataFrame:
+    """Operations with their first intent, and the last staged content and result that are known. The log has intent, staged, result and seq."""
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(c)
+    return log.groupBy(key).agg(F.min_by("intent", "seq").alias("intent"), last("staged"), last("result"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strata.plans import ranked, relational, review, scans, scored, stateful  # noqa: F401  registration
+from strata.plans import proofs, ranked, relational, review, scans, scored, stateful  # noqa: F401  registration
 from strata.plans.catalog import ORACLES, QUERIES, Query
 
 

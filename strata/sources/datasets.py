@@ -52,8 +52,17 @@ def read_pairs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_bandit(spark: SparkSession, path: str) -> DataFrame:
-    """Findings of report files, one row each: path, line, rule_id, severity, confidence, cwe, evidence."""
-    rows = spark.read.schema(BANDIT).option("multiLine", "true").json(path).select(F.explode("results").alias("r"))
+    """Findings of report files, one report a file: path, line, rule_id, severity, confidence, cwe, evidence."""
+    return _bandit(spark.read.schema(BANDIT).option("multiLine", "true").json(path))
+
+
+def read_bandit_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The same of files with a report on each line, which Spark can split."""
+    return _bandit(spark.read.schema(BANDIT).json(path))
+
+
+def _bandit(reports: DataFrame) -> DataFrame:
+    rows = reports.select(F.explode("results").alias("r"))
     confidence = F.element_at(F.create_map(F.lit("HIGH"), F.lit(0.9), F.lit("MEDIUM"), F.lit(0.7), F.lit("LOW"), F.lit(0.5)), F.upper("r.issue_confidence"))
     return rows.select(
         F.col("r.filename").alias("path"), F.col("r.line_number").alias("line"), F.col("r.test_id").alias("rule_id"), F.lower("r.issue_severity").alias("severity"), confidence.alias("confidence"),
@@ -84,8 +93,13 @@ def checked_facts(df: DataFrame, most: int = 1_000_000) -> DataFrame:
 
 
 def read_issue_index(spark: SparkSession, path: str) -> DataFrame:
-    """Index rows with exactly six fields; an empty commit means unknown."""
-    return spark.read.schema(ISSUES).option("multiLine", "true").option("mode", "FAILFAST").json(path).dropDuplicates(["cve_id", "component"])
+    """Index rows; an empty commit means unknown. Other fields than the six known ones, and an entry stated twice, raise."""
+    raw = spark.read.option("multiLine", "true").option("mode", "FAILFAST").json(path)
+    known = {c.split()[0] for c in ISSUES.split(", ")}
+    if raw.columns and set(raw.columns) != known:
+        raise ValueError(f"an index entry has the fields {sorted(known)}")
+    df = spark.read.schema(ISSUES).option("multiLine", "true").option("mode", "FAILFAST").json(path)
+    return _checked(df, df.groupBy("cve_id", "component").count().where("count > 1").select("cve_id"), "an index entry is stated twice")
 
 
 def _manifest(path: str, text: str) -> list[tuple[str, str, str]]:

@@ -183,10 +183,15 @@ def test_use_after_release(spark, facts, uses):
 def test_obligations(spark):
     base = [fact("a", "allocation", 10, "p"), fact("r", "release", 20, "p", ["a"]), fact("u", "dereference", 30, "p")]
     for extra, verdict in ((), "PASS"), ((fact("b", "rebind", 25, "p", source="z"),), "REFUTED"), ((fact("b", "rebind", 31, "p", source="z"),), "PASS"), ((fact("b", "lifetime-restart", 30, "p"),), "REFUTED"), ((fact("b", "alias-copy", 5, "q"),), "UNKNOWN"):
-        df = spark.createDataFrame([*base, *extra], FACT)
+        df = spark.createDataFrame([*base, *extra], FACT).withColumn("cfg_block", F.lit(1))
         found = graph.candidates(df)
-        got = graph.verdicts(graph.obligations(found, df, graph.graph_complete(df))).collect()
+        covered = spark.createDataFrame([("u", True, [])], "translation_unit string, cfg_complete boolean, semantic_gaps array<string>")
+        got = graph.verdicts(graph.obligations(found, df, graph.graph_complete(df), covered)).collect()
         assert [r["verdict"] for r in got] == [verdict], extra
+        if verdict == "PASS":  # nothing passes without coverage, or if the allocation call isn't a known one
+            assert graph.verdicts(graph.obligations(found, df, graph.graph_complete(df))).first()["verdict"] == "UNKNOWN"
+            other = df.withColumn("api", F.lit("pool_get"))
+            assert graph.verdicts(graph.obligations(found, other, graph.graph_complete(other), covered)).first()["verdict"] == "UNKNOWN"
     stats = graph.generation_stats(df, found).first()
     assert (stats["tu_count"], stats["allocation_count"], stats["pair_count"], stats["unattached_release_count"]) == (1, 1, 1, 0)
 
