@@ -64,21 +64,23 @@ def greedy_match(expected: DataFrame, predicted: DataFrame) -> DataFrame:
     rank = lambda c: F.coalesce(T.severity_rank(F.col(c)), F.lit(0))
     left = expected.select("case_id", "e", "path", "line", F.coalesce("rule_id", F.lit("")).alias("want"), rank("min_severity").alias("least"))
     right = predicted.select("case_id", "path", "line", "rule_id", rank("severity").alias("rank")).distinct()
-
-    def run(key, truths: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        free = {(r.rule_id): r.rank for r in found.itertuples()}
-        out = []
-        for t in truths.sort_values("e").itertuples():
-            able = [r for r in free if not t.want or r == t.want]
-            if able:
-                best = min(able, key=lambda r: (-free[r], r))
-                out.append((key[0], t.e, t.path, t.line, best, bool(free.pop(best) >= t.least), bool(t.least >= 2)))
-        return pd.DataFrame(out, columns=["case_id", "e", "path", "line", "rule_id", "severity_ok", "high"])
-
-    kind = {f.name: f.dataType.simpleString() for f in left.schema}
-    schema = f"case_id {kind['case_id']}, e {kind['e']}, path string, line {kind['line']}, rule_id string, severity_ok boolean, high boolean"
     keys = ["case_id", "path", "line"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, schema)
+    truths = left.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("e", "want", "least"))).alias("truths"))
+    found = right.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct((-F.col("rank")).alias("neg"), "rule_id"))).alias("free"))
+    e_type = left.schema["e"].dataType.simpleString()
+    start = F.struct(F.col("free").alias("free"), F.array().cast(f"array<struct<e:{e_type},rule_id:string,severity_ok:boolean,high:boolean>>").alias("out"))
+
+    def step(a: Column, t: Column) -> Column:
+        able = F.filter(a["free"], lambda f: (t["want"] == "") | (f["rule_id"] == t["want"]))
+        best = F.get(able, F.lit(0))
+        taken = F.struct(t["e"].alias("e"), best["rule_id"].alias("rule_id"), (-best["neg"] >= t["least"]).alias("severity_ok"), (t["least"] >= 2).alias("high"))
+        return F.struct(
+            F.when(best.isNull(), a["free"]).otherwise(F.filter(a["free"], lambda f: f["rule_id"] != best["rule_id"])).alias("free"),
+            F.when(best.isNull(), a["out"]).otherwise(F.concat(a["out"], F.array(taken))).alias("out"),
+        )
+
+    # A place has few truths and predictions; the fold runs in the JVM over their sorted arrays.
+    return truths.join(found, keys).select(*keys, F.inline(F.aggregate("truths", start, step)["out"])).select("case_id", "e", "path", "line", "rule_id", "severity_ok", "high")
 
 
 def totals(results: DataFrame, by: list[str] | None = None) -> DataFrame:

@@ -105,14 +105,21 @@ def recall(memories: DataFrame, queries: DataFrame, limit: int = 6, candidates:
     term only stay if their scope is semantic or the query is empty. Only the first ``candidates`` memories are considered.
     """
     order = [F.desc("importance"), F.desc("created_at"), F.asc("id")]
-    pool = memories.orderBy(*order).limit(candidates)
-    pool = pool.withColumn("bonus", F.lit(0.05) / F.row_number().over(Window.orderBy(*order))).withColumn("terms", F.array_union(F.coalesce("keywords", F.array().cast("array<string>")), T.term_set(F.col("content"))))
-    asked = queries.withColumn("q_terms", T.term_set(F.col("text")))
-    pairs = asked.join(F.broadcast(pool.drop("text")), F.lit(True))  # the pool is bounded by ``candidates``
-    shared = F.size(F.array_intersect("q_terms", "terms"))
-    score = 0.55 * shared / F.greatest(F.size("q_terms"), F.lit(1)) + 0.15 * shared / F.greatest(F.size("terms"), F.lit(1)) + 0.25 * F.coalesce("importance", F.lit(0.5)) + F.col("bonus")
-    kept = pairs.withColumn("score", score).where((F.size("q_terms") == 0) | (shared > 0) | (F.col("scope") == "semantic"))
-    return top_per_group(kept, ["query_id"], [F.desc("score"), F.asc("created_at"), F.asc("id")], limit).select("query_id", "id", "score", "rank")
+    none = F.array().cast("array<string>")
+    first = memories.orderBy(*order).limit(candidates).withColumn("bonus", F.lit(0.05) / F.row_number().over(Window.orderBy(*order)))
+    pool = cut(
+        first.repartition("id").withColumn("terms", F.array_union(F.coalesce("keywords", none), T.term_set(F.col("content"))))
+        .select("id", "scope", "created_at", "terms", "bonus", F.coalesce("importance", F.lit(0.5)).alias("importance"), F.size("terms").alias("n_terms"))
+    )
+    asked = cut(queries.select("query_id", T.term_set(F.col("text")).alias("q_terms")).withColumn("n_asked", F.size("q_terms")))
+    # Terms meet by equality; each of a query's terms is in at most ``candidates`` memories.
+    met = asked.select("query_id", F.explode("q_terms").alias("term")).join(pool.select("id", F.explode("terms").alias("term")), "term").groupBy("query_id", "id").agg(F.count("*").alias("shared"))
+    about = F.broadcast(pool.drop("terms"))  # bounded by ``candidates``
+    found = met.join(asked.drop("q_terms"), "query_id").join(about, "id")
+    apart = asked.drop("q_terms").join(about, (F.col("n_asked") == 0) | (F.col("scope") == "semantic")).join(met.select("query_id", "id"), ["query_id", "id"], "left_anti").withColumn("shared", F.lit(0).cast("long"))
+    pairs = found.unionByName(apart)
+    score = 0.55 * F.col("shared") / F.greatest("n_asked", F.lit(1)) + 0.15 * F.col("shared") / F.greatest("n_terms", F.lit(1)) + 0.25 * F.col("importance") + F.col("bonus")
+    return top_per_group(pairs.withColumn("score", score), ["query_id"], [F.desc("score"), F.asc("created_at"), F.asc("id")], limit).select("query_id", "id", "score", "rank")
 
 
 def line_windows(df: DataFrame, key: str, text: str, budget: int) -> DataFrame:

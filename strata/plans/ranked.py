@@ -55,20 +55,22 @@ def recency_bonus(t):
 
 
 @query("""
-WITH q AS (SELECT item_id AS query_id, list_distinct(list_transform(regexp_extract_all(text, '[A-Za-z0-9_./:-]{2,}'), lambda x: lower(x))) AS qt FROM benchmark),
-m AS (SELECT doc_id AS id, n_chars, list_distinct(list_transform(regexp_extract_all(text, '[A-Za-z0-9_./:-]{2,}'), lambda x: lower(x))) AS mt, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS i FROM documents QUALIFY i <= 200),
-p AS (SELECT query_id, id, len(list_intersect(qt, mt)) AS shared, len(qt) AS nq, len(mt) AS nm, i FROM q, m),
-s AS (SELECT query_id, id, shared, 0.55::DOUBLE * shared / greatest(nq, 1) + 0.15::DOUBLE * shared / greatest(nm, 1) + 0.25::DOUBLE * 0.5::DOUBLE + 0.05::DOUBLE / i AS score FROM p WHERE nq = 0 OR shared > 0)
-SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s QUALIFY rank <= 6""")
+WITH q AS (SELECT item_id AS query_id, list_distinct(list_transform(regexp_extract_all(CASE WHEN item_id % 25 = 0 THEN '' ELSE text END, '[A-Za-z0-9_./:-]{2,}'), lambda x: lower(x))) AS qt FROM benchmark),
+m AS (SELECT doc_id AS id, CASE WHEN doc_id % 9 = 0 THEN 'semantic' ELSE 'episodic' END AS scope, CASE WHEN doc_id % 5 = 0 THEN 0.5 ELSE (n_chars % 97) / 97.0::DOUBLE END::DOUBLE AS importance, n_chars AS created_at,
+  list_distinct(list_concat(CASE WHEN doc_id % 2 = 0 THEN [lang, 'the'] ELSE [] END, list_transform(regexp_extract_all(text, '[A-Za-z0-9_./:-]{2,}'), lambda x: lower(x)))) AS mt FROM documents),
+i AS (SELECT *, row_number() OVER (ORDER BY importance DESC, created_at DESC, id) AS i FROM m QUALIFY i <= 200),
+p AS (SELECT query_id, id, scope, created_at, len(list_intersect(qt, mt)) AS shared, len(qt) AS nq, len(mt) AS nm, importance, i FROM q, i),
+s AS (SELECT query_id, id, created_at, 0.55::DOUBLE * shared / greatest(nq, 1) + 0.15::DOUBLE * shared / greatest(nm, 1) + 0.25::DOUBLE * importance + 0.05::DOUBLE / i AS score FROM p WHERE nq = 0 OR shared > 0 OR scope = 'semantic')
+SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, created_at, id) AS rank FROM s QUALIFY rank <= 6""")
 def memory_recall(t):
-    """For each benchmark item the six best of the two hundred longest documents by shared terms."""
-    memories = t("documents").select(F.col("doc_id").alias("id"), F.lit("episodic").alias("scope"), F.col("text").alias("content"), F.array().cast("array<string>").alias("keywords"), F.col("n_chars").alias("importance"), F.lit("").alias("created_at"), F.lit("").alias("text"))
-    pool = memories.orderBy(F.desc("importance"), "id").limit(200)
-    pool = pool.withColumn("created_at", -F.col("importance")).withColumn("importance", F.lit(0.5))
-    queries = t("benchmark").select(F.col("item_id").alias("query_id"), "text")
-    # All importances are equal, so the pool keeps its order by length through ``created_at``.
-    ranked = ranking.recall(pool.withColumn("created_at", -F.col("created_at")), queries)
-    return ranked.select("query_id", "id", F.col("rank").cast("long").alias("rank"))
+    """For each benchmark item, some of them without text, the six best of two hundred memories by shared terms, keywords, importance and scope."""
+    d = F.col("doc_id")
+    memories = t("documents").select(
+        d.alias("id"), F.when(d % 9 == 0, "semantic").otherwise("episodic").alias("scope"), F.col("text").alias("content"), F.when(d % 2 == 0, F.array("lang", F.lit("the"))).alias("keywords"),
+        F.when(d % 5 == 0, F.lit(0.5)).otherwise((F.col("n_chars") % 97) / 97.0).alias("importance"), F.col("n_chars").alias("created_at"),
+    )
+    queries = t("benchmark").select(F.col("item_id").alias("query_id"), F.when(F.col("item_id") % 25 == 0, "").otherwise(F.col("text")).alias("text"))
+    return ranking.recall(memories, queries).select("query_id", "id", F.col("rank").cast("long").alias("rank"))
 
 
 @query("""
