@@ -39,10 +39,12 @@ FACTORS = 4
 #: Standard errors by which a slot's share of documents must differ between the classes.
 EVIDENCE = 5.0
 #: The same for the difference of two slots' covariance, and for which slots pairs are looked at: those that at least
-#: this share of the sample's rows of a class has, at most so many (the most even ones).
+#: this share of the sample's rows of a class has, at most so many (the most even ones). Of those with evidence the
+#: strongest are taken: a class of other length or language shifts nearly all covariances a little.
 PAIR_EVIDENCE = 7.0
 PAIR_SHARE = 0.02
-PAIR_SLOTS = 4096
+PAIR_SLOTS = 2048
+PAIR_KEPT = 256
 PREFIXES = (4, 5, 6)
 #: Labelled rows of each class in the fitted sample, about.
 SAMPLE = 2500
@@ -78,9 +80,10 @@ def _telling(rows: list[np.ndarray], y: np.ndarray) -> dict[int, int]:
     """The slots that tell the classes apart, alone or in pairs, numbered from 1."""
     sizes = np.array([(y == 0).sum(), (y == 1).sum()])
     names, which = np.unique(np.concatenate(rows), return_inverse=True)
-    of = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    cls = y[of]
-    n = np.stack([np.bincount(which[cls == k], minlength=len(names)) for k in (0, 1)])
+    which = which.astype(np.int32)
+    of = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
+    toxic = (y == 1)[of]
+    n = np.stack([np.bincount(which[~toxic], minlength=len(names)), np.bincount(which[toxic], minlength=len(names))])
     p, both = n / sizes[:, None], n.sum(axis=0) / sizes.sum()
     z = np.abs(p[1] - p[0]) / np.sqrt(np.maximum(both * (1 - both), 1e-12) * (1 / sizes).sum())
     chosen = z >= EVIDENCE
@@ -98,24 +101,33 @@ def _paired(which: np.ndarray, of: np.ndarray, y: np.ndarray, p: np.ndarray) ->
     able = np.flatnonzero((p.max(axis=0) >= PAIR_SHARE) & (p.min(axis=0) <= 1 - PAIR_SHARE))
     mean = p[:, able].mean(axis=0)
     able = np.sort(able[np.argsort(-mean * (1 - mean), kind="stable")[:PAIR_SLOTS]])
-    column = np.full(p.shape[1], -1)
+    column = np.full(p.shape[1], -1, dtype=np.int32)
     column[able] = np.arange(len(able))
-    kept = column[which] >= 0
-    x = np.zeros((len(y), len(able)), dtype=np.float32)
-    x[of[kept], column[which[kept]]] = 1
-    found = np.zeros(len(able), dtype=bool)
-    for lo in range(0, len(able), 512):
+    kept = np.flatnonzero(column[which] >= 0)
+    at, place = of[kept], column[which[kept]]
+    own = []
+    for k in (0, 1):
+        place_of = np.cumsum(y == k) - 1
+        mine = y[at] == k
+        x = np.zeros((int((y == k).sum()), len(able)), dtype=np.float32)
+        x[place_of[at[mine]], place[mine]] = 1
+        own.append(x)
+    strongest = np.zeros(len(able))
+    for lo in range(0, len(able), 128):
         gap, spread = 0.0, 0.0
         for k in (0, 1):
-            own, n = x[y == k], (y == k).sum()
-            a, b = p[k, able[lo: lo + 512]][:, None], p[k, able][None, :]
-            together = own[:, lo: lo + 512].T @ own / n
+            n = len(own[k])
+            a, b = p[k, able[lo: lo + 128]][:, None], p[k, able][None, :]
+            together = own[k][:, lo: lo + 128].T @ own[k] / n
             cov = together - a * b
             fourth = (1 - 2 * a) * (1 - 2 * b) * together + (1 - 2 * a) * b * b * a + (1 - 2 * b) * a * a * b + a * a * b * b
             gap = gap + (2 * k - 1) * cov
             spread = spread + np.maximum(fourth - cov * cov, 1 / n) / n
-        found[lo: lo + 512] |= (np.abs(gap) >= PAIR_EVIDENCE * np.sqrt(spread)).any(axis=1)
-    return able[found]
+        z = np.abs(gap) / np.sqrt(spread)
+        z[np.arange(len(z)), lo + np.arange(len(z))] = 0  # a slot is no pair with itself
+        strongest[lo: lo + 128] = z.max(axis=1)
+    best = np.argsort(-strongest, kind="stable")[:PAIR_KEPT]
+    return able[best[strongest[best] >= PAIR_EVIDENCE]]
 
 
 def fit(texts: list[str], labels: list[int], seed: int = 7) -> Machine:
