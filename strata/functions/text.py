@@ -50,6 +50,11 @@ SEVERITY_RANK = {"low": 0, "medium": 1, "high": 2, "critical": 3}
 SENSITIVE_TOKENS = ("secret", "token", "key", "password", "credential", "private_key")
 PEM_HEADER = r"-----BEGIN [A-Z ]*PRIVATE KEY-----"
 URL_CREDENTIAL = r"[A-Za-z][A-Za-z0-9+.\-]*://[^\s/:@]+:[^\s/@]+@"
+# Credential forms of progress records, their replacement, and the fields of a summary.
+PROGRESS_KEY = r"(?:token|secret|password|passwd|authorization|api[_-]?key|bearer)"
+PROGRESS_CREDENTIAL = r"(?:Bearer\s+\S+|(?:token|secret|password|api[_-]?key)\s*[=:]\s*\S+)"
+PROGRESS_MARK = "[redacted]"
+PROGRESS_FIELDS = "stage string, stage_index int, stage_total int, message string, attempt int, max_attempts int, current double, total double, unit string"
 #: Line ends as Python's splitlines knows them.
 LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C\x1D\x1E\x85  ]"
 TERM = r"[A-Za-z0-9_./:-]{2,}"

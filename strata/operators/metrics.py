@@ -295,3 +295,54 @@ def platform_scores(revisions: DataFrame) -> DataFrame:
     )
     cases = revisions.groupBy("case_id").agg((F.bool_or(v & F.col("found")) & ~F.bool_or(f & F.col("found"))).alias("passed"), (F.count_distinct(F.when(v, F.col("found"))) < 2).alias("stable"))
     return whole.join(cases.agg(ratio(F.count_if("passed"), n, None).alias("pair_rate"), ratio(F.count_if("stable"), n, None).alias("stability_rate")), F.lit(True))
+
+
+def _seconds(cases: DataFrame) -> DataFrame:
+    """One row: mean and nearest-rank p95 of scans, retrievals and model calls over both revisions, zero without any."""
+    sides = [F.struct(F.lit(kind).alias("kind"), F.col(f"{kind}.{side}_ms").alias("ms")) for kind in ("scan", "retrieval", "llm") for side in ("vulnerable", "fixed")]
+    timed = cases.select(F.explode(F.array(*sides)).alias("x")).select("x.*").where("ms is not null").groupBy("kind").agg(F.avg("ms").alias("mean"), nearest_rank("ms", 0.95).alias("p95"))
+    return timed.agg(*[rounded(F.coalesce(F.max(F.when(F.col("kind") == k, F.col(m))), F.lit(0.0)), 3).alias(f"{k}_ms_{m}") for k in ("scan", "retrieval", "llm") for m in ("mean", "p95")])
+
+
+def evaluation_report(cases: DataFrame, mode: str = "llm-retrieval") -> DataFrame:
+    """An evaluation in one row: rates of four digits with their own denominators (zero where that is zero), latencies and tokens.
+
+    Cases hold structs: scan (vulnerable_hit, fixed_clean, discriminated, verified, vulnerable_ms, fixed_ms), repair (policy, attempted,
+    patched), oracle (configured, executed, passed), and, null where not run, retrieval (path_hit, inventory_recall, symbol_hit,
+    packet_hit, fixed_symbol_hit, risk_hit, mitigation_hit, vulnerable_candidates, fixed_candidates, two ms) and llm (vulnerable_correct,
+    fixed_correct, fixed_clean, paired, snapshot_paired, vulnerable_status, fixed_status, vulnerable_valid, fixed_valid, non_clear,
+    auto_cleared, paired_safe, reviews, decisions, tokens_in, tokens_out, two ms). Rates bound to a mode are zero in the others.
+    """
+    n, n_llm, n_found = F.count("*"), F.count("llm"), F.count("retrieval")
+    executed = F.col("oracle.configured") & F.col("oracle.executed")
+    both = lambda test: F.count_if(test("vulnerable")) + F.count_if(test("fixed"))
+    localized, hybrid = (n_llm if mode == "llm" else F.lit(0)), (n_llm if mode == "llm-retrieval" else F.lit(0))
+    rates = {f"scan_{f}_rate": (F.count_if(f"scan.{f}"), n) for f in ("vulnerable_hit", "fixed_clean", "discriminated", "verified")}
+    rates |= {"repair_attempt_rate": (F.count_if("repair.attempted"), n), "verified_patch_rate": (F.count_if("repair.patched"), n)}
+    abstain = F.col("repair.policy") == "abstain"
+    rates |= {"abstention_adherence": (F.count_if(abstain & ~F.col("repair.patched")), F.count_if(abstain))}
+    rates |= {"oracle_coverage": (F.count_if("oracle.configured"), n), "oracle_executed_coverage": (F.count_if(executed), n), "oracle_pass_rate": (F.count_if(executed & F.col("oracle.passed")), F.count_if(executed))}
+    rates |= {f"retrieval_{f}_rate": (F.count_if(f"retrieval.{f}"), n_found) for f in ("path_hit", "symbol_hit", "packet_hit", "fixed_symbol_hit", "risk_hit", "mitigation_hit")}
+    rates |= {f"llm_{f}_rate": (F.count_if(f"llm.{f}"), n_llm) for f in ("vulnerable_correct", "fixed_correct", "fixed_clean", "paired", "snapshot_paired")}
+    rates |= {f"llm_localized_{f}_rate": (F.count_if(f"llm.{f}"), localized) for f in ("vulnerable_correct", "fixed_correct", "paired")}
+    rates |= {f"hybrid_{f}_rate": (F.count_if(f"llm.{f}"), hybrid) for f in ("non_clear", "auto_cleared", "paired_safe")}
+    rates |= {"hybrid_review_rate": (F.coalesce(F.sum("llm.reviews"), F.lit(0)), F.coalesce(F.sum("llm.decisions"), F.lit(0)))}
+    rates |= {"llm_success_rate": (both(lambda s: F.col(f"llm.{s}_status") == "completed"), n_llm * 2), "llm_valid_rate": (both(lambda s: F.col(f"llm.{s}_valid")), n_llm * 2)}
+    candidates = (F.sum("retrieval.vulnerable_candidates") + F.sum("retrieval.fixed_candidates")) / F.nullif(n_found * 2, F.lit(0))
+    whole = cases.agg(
+        n.alias("cases"), *[rounded(ratio(part, of, 0.0), 4).alias(name) for name, (part, of) in rates.items()], rounded(F.coalesce(F.avg("retrieval.inventory_recall"), F.lit(0.0)), 4).alias("retrieval_inventory_recall"),
+        rounded(F.coalesce(candidates, F.lit(0.0)), 3).alias("retrieval_candidates_mean"), F.coalesce(F.sum("llm.tokens_in"), F.lit(0)).alias("tokens_in"), F.coalesce(F.sum("llm.tokens_out"), F.lit(0)).alias("tokens_out"),
+    )
+    return whole.join(_seconds(cases), F.lit(True))
+
+
+def failure_categories(cases: DataFrame) -> DataFrame:
+    """(category, n) of an evaluation's failures; a case may have several, and one for each failed model call."""
+    failed = lambda side: F.col("llm").isNotNull() & ~F.equal_null(F.col(f"llm.{side}_status"), F.lit("completed"))
+    tests = [
+        ("detector-missed-known-vulnerable-file", ~F.col("scan.vulnerable_hit")), ("detector-alerted-on-fixed-pair", ~F.col("scan.fixed_clean")),
+        ("project-oracle-pair-failed", F.col("oracle.executed") & ~F.coalesce("oracle.passed", F.lit(False))), ("retrieval-inventory-missed-ground-truth-path", F.col("retrieval.inventory_recall") < 1),
+        ("retriever-missed-vulnerable-symbol", ~F.col("retrieval.symbol_hit")), ("llm-api-failed", failed("vulnerable")), ("llm-api-failed", failed("fixed")),
+        ("llm-pair-misclassified", F.col("llm").isNotNull() & ~F.coalesce("llm.paired", F.lit(False))),
+    ]
+    return cases.select(F.explode(F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in tests]))).alias("category")).groupBy("category").agg(F.count("*").alias("n"))

@@ -7,13 +7,14 @@ import hmac
 import json
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strata.functions import text as T
+from strata.functions.digests import canonical
 
 #: The leftmost longest run of whole quads, 32 characters or more, with up to two pads at its end.
 BASE64_SPAN = r"(?:[A-Za-z0-9+/]{4}){7,}(?:[A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=|[A-Za-z0-9+/]{4})"
@@ -26,21 +27,91 @@ def base64_spans(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(f"({BASE64_SPAN})"), F.lit(1))
 
 
-def redacted(text: Column, tenant: str, key: bytes) -> Column:
-    """NFC text with each base64 span replaced by its tenant's fingerprint. The key stays in the function's closure."""
+def _signer(tenant: str, key: bytes) -> Callable[[str], str]:
     derived = hmac.new(key, b"tenant\x00" + tenant.encode(), hashlib.sha256).digest()
-    span = re.compile(BASE64_SPAN)
+    return lambda text: hmac.new(derived, b"value\x00" + text.encode(), hashlib.sha256).digest()[:16].hex()
 
-    def mark(m: re.Match) -> str:
-        return f"[REDACTED:{hmac.new(derived, b'value' + bytes(1) + m.group().encode(), hashlib.sha256).digest()[:16].hex()}]"
+
+def redacted(text: Column, tenant: str, key: bytes) -> Column:
+    """NFC text with each base64 span replaced by its tenant's fingerprint. The key stays in the function's closure."""
+    sign, span = _signer(tenant, key), re.compile(BASE64_SPAN)
 
     @F.pandas_udf("string")
     def run(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: None if v is None else span.sub(mark, unicodedata.normalize("NFC", v)))
+        return values.map(lambda v: None if v is None else span.sub(lambda m: f"[REDACTED:{sign(m.group())}]", unicodedata.normalize("NFC", v)))
 
     return run(text.cast("string"))
 
 
+def rewritten_json(payload: Column, replace: Callable[[str | None, object], object]) -> Column:
+    """JSON texts with values replaced: ``replace(key, value)`` gives a new value, or the value itself, whose parts are then visited.
+
+    Null, texts that aren't JSON or are nested beyond Python's stack, and values that ``replace`` refuses by ValueError give null, so nothing passes unseen.
+    """
+
+    def visit(key: str | None, value: object) -> object:
+        new = replace(key, value)
+        if new is not value:
+            return new
+        if isinstance(value, dict):
+            return {unicodedata.normalize("NFC", k): visit(k, v) for k, v in value.items()}
+        return [visit(None, v) for v in value] if isinstance(value, list) else value
+
+    def one(text: str | None) -> str | None:
+        try:
+            return None if text is None else json.dumps(visit(None, json.loads(text)), ensure_ascii=False, separators=(",", ":"))
+        except (ValueError, RecursionError):
+            return None
+
+    @F.pandas_udf("string")
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(one)
+
+    return run(payload.cast("string"))
+
+
+def redacted_json(payload: Column, tenant: str, key: bytes) -> Column:
+    """JSON texts without sensitive values: whatever stands below a sensitive key, restricted texts and whole base64 values become
+    records (fingerprint, value_kind, length), base64 spans inside texts their fingerprints; other texts are in normal form C."""
+    sign, span = _signer(tenant, key), re.compile(BASE64_SPAN)
+    unsafe = re.compile(f"{T.PEM_HEADER}|{T.URL_CREDENTIAL}")
+
+    def record(value: object) -> dict:
+        text = unicodedata.normalize("NFC", value) if isinstance(value, str) else canonical(value)
+        kind = "null" if value is None else {str: "string", bool: "bool", int: "int"}.get(type(value), "structured")
+        return {"fingerprint": sign(text), "value_kind": kind, "length": len(text if isinstance(value, str) else text.encode())}
+
+    def replace(name: str | None, value: object) -> object:
+        if name is not None and any(t in name.lower() for t in T.SENSITIVE_TOKENS):
+            return record(value)
+        if not isinstance(value, str):
+            return value
+        text = unicodedata.normalize("NFC", value)
+        if unsafe.search(value) or span.fullmatch(text):
+            return record(value)
+        return span.sub(lambda m: f"[REDACTED:{sign(m.group())}]", text)
+
+    return rewritten_json(payload, replace)
+
+
+def sanitized_progress(payload: Column) -> Column:
+    """Progress JSON in which values of credential-like keys, and credentials inside texts, read [redacted]."""
+    names, forms = re.compile(T.PROGRESS_KEY, re.IGNORECASE), re.compile(T.PROGRESS_CREDENTIAL, re.IGNORECASE)
+
+    def replace(name: str | None, value: object) -> object:
+        if name is not None and names.search(name):
+            return T.PROGRESS_MARK
+        return forms.sub(T.PROGRESS_MARK, value) if isinstance(value, str) else value
+
+    return rewritten_json(payload, replace)
+
+
+def progress_summary(payload: Column) -> Column:
+    """The nine listed fields of progress JSON as a struct, absent ones null; null for null, broken or empty progress."""
+    parsed = F.from_json(payload, T.PROGRESS_FIELDS)
+    return F.when(~payload.rlike(r"^\s*(\{\s*\}|null)?\s*$") & F.get_json_object(payload, "$").isNotNull(), parsed)
+
+
 def _leaves(value: object, path: tuple[int, ...], key: str | None, depth: int) -> Iterator[tuple[str, str | None, str | None, bool]]:
     """(ordinal path, key, text, whole) of a value's strings, and of whole values below a sensitive key or beyond the depth."""
     here = ".".join(map(str, path))
