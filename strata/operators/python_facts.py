@@ -34,6 +34,12 @@ SHELL_SINKS = ("subprocess.run", "subprocess.call", "subprocess.Popen", "subproc
 QUERY_METHODS = ("execute", "executemany", "query", "raw")
 SANITIZERS = ("int", "float", "bool", "shlex.quote", "html.escape", "len")
 
+# Parts of names that matter to security.
+SECURITY_TERMS = (
+    "archive", "clause", "column", "command", "cmd", "directory", "exec", "file", "filename", "filter", "meta", "model_path", "option", "order", "partition", "path", "query", "root", "schema", "shell", "sort", "sql",
+    "table", "target", "template",
+)
+
 
 def _dotted(node: ast.AST) -> str:
     if isinstance(node, ast.Attribute):
@@ -53,6 +59,15 @@ def _names(node: ast.AST) -> Iterator[str]:
         yield from _names(child)
 
 
+def _form(arguments: list[ast.expr]) -> str:
+    """How a call's first two arguments are made, apart by a comma: constant, mixed (data inside a text), dynamic or none."""
+    out = []
+    for a in arguments[:2]:
+        mixed = isinstance(a, (ast.JoinedStr, ast.BinOp)) or isinstance(a, ast.Call) and _dotted(a.func).rpartition(".")[2].lower() in ("format", "format_map")
+        out.append("constant" if isinstance(a, ast.Constant) else "mixed" if mixed else "dynamic")
+    return ",".join((out + ["none", "none"])[:2])
+
+
 def _file_facts(path: str, text: str) -> Iterator[tuple]:
     try:
         tree = ast.parse(text)
@@ -67,8 +82,11 @@ def _file_facts(path: str, text: str) -> Iterator[tuple]:
             inner = f"{scope}.{node.name}" if scope else node.name
             kind = "class" if isinstance(node, ast.ClassDef) else "function"
             yield path, scope, kind, node.name, inner, node.lineno, ",".join(_dotted(d) for d in node.decorator_list)
-            for i, a in enumerate([] if kind == "class" else node.args.args):
-                yield path, inner, "parameter", a.arg, str(i), node.lineno, node.name
+            if kind == "function":
+                for i, a in enumerate([*node.args.posonlyargs, *node.args.args]):
+                    yield path, inner, "parameter", a.arg, str(i), node.lineno, node.name
+                for a in node.args.kwonlyargs:
+                    yield path, inner, "parameter", a.arg, "", node.lineno, node.name
         elif isinstance(node, (ast.Assign, ast.AnnAssign, ast.AugAssign)) and node.value is not None:
             for t in node.targets if isinstance(node, ast.Assign) else [node.target]:
                 for made in ast.walk(t):
@@ -82,9 +100,13 @@ def _file_facts(path: str, text: str) -> Iterator[tuple]:
         elif isinstance(node, (ast.Import, ast.ImportFrom)):
             for a in node.names:
                 yield path, scope, "import", a.asname or a.name, f"{getattr(node, 'module', None) or ''}.{a.name}".strip("."), node.lineno, ""
+        word = node.id if isinstance(node, ast.Name) else node.attr if isinstance(node, ast.Attribute) else node.arg if isinstance(node, ast.arg) else ""
+        if any(t in word.lower() for t in SECURITY_TERMS):
+            yield path, scope, "identifier", word.lower(), "", node.lineno, ""
         if isinstance(node, ast.Call):
             shell = any(k.arg == "shell" and isinstance(k.value, ast.Constant) and k.value.value is True for k in node.keywords)
             yield path, scope, "call", _dotted(node.func), scope, node.lineno, "shell" if shell else ""
+            yield path, scope, "form", _dotted(node.func), _form(node.args), node.lineno, ",".join([k.arg or "" for k in node.keywords] + ["shell=true"] * shell)
             for i, a in enumerate(node.args):
                 for name in _names(a):
                     yield path, scope, "argument", name, _dotted(node.func), node.lineno, f"{i}{'s' if shell else ''}"

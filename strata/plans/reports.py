@@ -6,7 +6,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from strata.operators import attempts, bundles, metrics, privacy
+from strata.operators import attempts, bundles, metrics, privacy, python_facts, signals
 from strata.plans.catalog import query
 from strata.plans.review import _INNER, _OUTER, _TENANT, _TENANT_KEY
 
@@ -174,3 +174,40 @@ SELECT 'ev-' || substr(d, 1, 12) || '-00' || i AS evidence_id, CASE WHEN i = 0 T
 def bundle_evidence(t):
     """All evidence records of the findings' bundles."""
     return bundles.to_bundles(_findings(t)).select(F.inline("evidence")).select("evidence_id", "subject_kind", "subject_id", "summary", F.col("location.path").alias("path"), F.col("location.start_line").alias("line"))
+
+
+_CODE = """@app.route('/x')
+def view(file_name, {p}):
+    value = request.args.get('q')
+    {a}
+    def inner(x):
+        return os.path.join(x, 'a')
+    return inner(value)
+
+class Store:
+    def find(self, *, sort_by):
+        {b}
+"""
+_LINES = ("eval(f'{value}')", "subprocess.run(value, shell=True)", "os.system('ls')", "pass")
+_BODY = ("return self.db.execute(sort_by)", "return getattr(json.loads('{}'), sort_by)", "return getattr(self, sort_by)")
+
+
+@query("""
+WITH p AS (SELECT p_partkey AS k, 'src/' || p_partkey || '.py' AS path FROM part), r AS (
+  SELECT path, 'view' AS symbol, 'path' AS category, 12 + 6 + 8 + 12 AS score, 'path-construction,path-parameter,request-argument-source,web-route-handler' AS signals FROM p
+  UNION ALL SELECT path, 'view.inner', 'path', 12, 'path-construction' FROM p
+  UNION ALL SELECT path, 'view', 'sql', 22 + CASE WHEN k % 2 = 0 THEN 8 ELSE 0 END, CASE WHEN k % 2 = 0 THEN 'request-argument-source,sql-structure-parameter' ELSE 'request-argument-source' END FROM p
+  UNION ALL SELECT path, 'view', 'command', 8 + CASE k % 4 WHEN 0 THEN 184 WHEN 1 THEN 68 WHEN 2 THEN 44 ELSE 0 END, CASE k % 4 WHEN 0 THEN 'interpreter-execution-sink,interpreter-template-expansion,request-argument-source'
+    WHEN 1 THEN 'command-execution-sink,dynamic-shell-sink,request-argument-source' WHEN 2 THEN 'command-execution-sink,request-argument-source' ELSE 'request-argument-source' END FROM p
+  UNION ALL SELECT path, 'Store', 'sql', 30, 'dynamic-sql-execute' FROM p WHERE k % 3 = 0 UNION ALL SELECT path, 'Store.find', 'sql', 38, 'dynamic-sql-execute,sql-structure-parameter' FROM p WHERE k % 3 = 0
+  UNION ALL SELECT path, s, 'command', 160, 'dynamic-dispatch-boundary' FROM p, (VALUES ('Store'), ('Store.find')) v(s) WHERE k % 3 = 1)
+SELECT path, symbol, category, score::BIGINT AS score, signals FROM r""")
+def symbol_signals(t):
+    """Weighted signals of the symbols of a source written for each part, in twelve forms."""
+    k = F.col("p_partkey")
+    sides = {"p": F.when(k % 2 == 0, "query").otherwise("other"), "a": F.element_at(F.lit(list(_LINES)), (k % 4 + 1).cast("int")), "b": F.element_at(F.lit(list(_BODY)), (k % 3 + 1).cast("int"))}
+    text = F.lit(_CODE)
+    for name, side in sides.items():
+        text = F.replace(text, F.lit(f"{{{name}}}"), side)
+    files = t("part").select(F.concat(F.lit("src/"), k.cast("string"), F.lit(".py")).alias("path"), text.alias("text"))
+    return signals.symbol_signals(python_facts.facts(files)).withColumn("signals", F.array_join("signals", ","))
