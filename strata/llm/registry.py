@@ -1,12 +1,13 @@
-"""Queries of the ten operators over their whole tables, and the SQL that checks those that SQL can express."""
+"""Queries of the corpus operators over their whole tables, and the SQL that checks those that SQL can express."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from strata.llm import decontamination, html_extract, language_id, licenses, ngram_join, packing, pii, quality, token_counts, toxicity
+from strata.llm import decontamination, html_extract, language_id, licenses, ngram_join, packing, periodic_runs, pii, quality, token_counts, topk, toxicity, whitening
 from strata.llm.common import table
 
 
@@ -50,6 +51,18 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digests(periodic_runs.find_runs(table(spark, sf_dir, "documents"), rewrite=periodic_runs.planted))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("key") % 50 == 0)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -57,9 +70,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_license_scan, op2_packing, op3_ngram_join, op4_decontamination, op5_toxicity, op6_token_counts, op7_quality_rules, op8_pii, op9_html_extraction, op10_language_id, pipeline)
+    named = (op1_license_scan, op2_packing, op3_ngram_join, op4_decontamination, op5_toxicity, op6_token_counts, op7_quality_rules, op8_pii, op9_html_extraction, op10_language_id, op11_periodic_runs, op12_whitening, op13_topk_search, pipeline)
     return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": licenses.oracle(), "op7_quality_rules": quality.oracle()}
+    return {"op1_license_scan": licenses.oracle(), "op7_quality_rules": quality.oracle(), "op13_topk_search": topk.oracle()}
