@@ -146,7 +146,7 @@ def test_whitening_of_ill_conditioned_and_huge_rows(spark):
     check_whitening(got, far)
     assert any(r["deviation"] is None for r in got)
     over = [(i, [x, float(i)]) for i, x in enumerate([1e300, -1e300, 5.0, 1e30, -2.0])]
-    assert whitening.whiten(spark.createDataFrame(over, VECTORS)).count() == 10
+    assert whitening.whiten(spark.createDataFrame(over, VECTORS)).count() == 5  # the second is below RANK
 
 
 def test_factor_of_graded_rows():
