@@ -49,6 +49,38 @@ def reach(starts: DataFrame, edges: DataFrame, scope: list[str], allowed: Column
     raise ValueError(f"reachability needs more than {rounds} rounds")
 
 
+def reach_back(starts: DataFrame, edges: DataFrame, scope: list[str], allowed: Column | None = None, rounds: int = 64) -> DataFrame:
+    """As ``reach``, with ``parent`` and ``edge``: the node and the edge (column ``edge`` of ``edges``) by which each node is first reached, null at a start."""
+    state = [c for c in starts.columns if c != "node"]
+    hops = edges.withColumnRenamed("src", "node")
+    kinds = dict(hops.dtypes)
+    seen = frontier = cut(starts.select(*state, "node").distinct().select("*", F.lit(None).cast(kinds["node"]).alias("parent"), F.lit(None).cast(kinds["edge"]).alias("edge")))
+    for _ in range(rounds):
+        step = frontier.drop("parent", "edge").join(hops, [*scope, "node"])
+        step = (step.where(allowed) if allowed is not None else step).groupBy(*state, F.col("dst").alias("_dst")).agg(F.min(F.struct("node", "edge")).alias("_by"))
+        step = step.select(*state, F.col("_dst").alias("node"), F.col("_by.node").alias("parent"), F.col("_by.edge").alias("edge"))
+        frontier = cut(step.join(seen, [*state, "node"], "left_anti"))
+        if frontier.isEmpty():
+            return seen
+        seen = cut(seen.unionByName(frontier))
+    raise ValueError(f"reachability needs more than {rounds} rounds")
+
+
+def witnesses(reached: DataFrame, targets: DataFrame, rounds: int = 64) -> DataFrame:
+    """(state..., node, path): the edges that lead from a start to each target that ``reach_back`` reached, walked back by its pointers."""
+    state = [c for c in reached.columns if c not in ("node", "parent", "edge")]
+    kind = dict(reached.dtypes)["edge"]
+    back = reached.withColumnRenamed("node", "_at")
+    ends = targets.select(*state, "node").distinct()
+    now = cut(ends.join(reached, [*state, "node"]).select(*state, "node", F.col("parent").alias("_at"), F.when(F.col("edge").isNull(), F.array().cast(f"array<{kind}>")).otherwise(F.array("edge")).alias("path")))
+    for _ in range(rounds):
+        if now.where("_at is not null").isEmpty():
+            return now.drop("_at")
+        step = now.join(back, [*state, "_at"], "left")
+        now = cut(step.select(*state, "node", F.col("parent").alias("_at"), F.when(F.col("edge").isNull(), F.col("path")).otherwise(F.concat(F.array("edge"), "path")).alias("path")))
+    raise ValueError(f"a path is longer than {rounds} edges")
+
+
 def alias_edges(facts: DataFrame) -> DataFrame:
     """(translation_unit, function_usr, src, dst, edge_line, fact_id) of alias facts with both anchors."""
     anchored = facts.where(F.col("kind").isin(*ALIAS_KINDS) & (F.coalesce("source_pointer_id", F.lit("")) != "") & (F.coalesce("pointer_id", F.lit("")) != ""))
@@ -80,6 +112,17 @@ def candidates(facts: DataFrame) -> DataFrame:
     return both.withColumn("candidate_id", F.sha2(F.concat_ws("|", "canonical_path", "function_usr", "allocation_fact_id", "release_fact_id", "use_fact_id"), 256))
 
 
+def candidate_paths(found: DataFrame, facts: DataFrame) -> DataFrame:
+    """Candidates with ``alias_path``: the ids of alias facts that bind the used pointer to the released root, none where they are the same."""
+    scope = ["translation_unit", "function_usr"]
+    asked = found.where("root <> target").select(*scope, "root", F.col("use_range.start").alias("use_line"), F.col("target").alias("node")).distinct()
+    starts = asked.select(*scope, "root", "use_line", F.col("root").alias("node")).distinct()
+    reached = reach_back(starts, alias_edges(facts).withColumnRenamed("fact_id", "edge"), scope, F.col("edge_line") <= F.col("use_line"))
+    paths = witnesses(reached, asked).withColumnsRenamed({"node": "target", "path": "alias_path"})
+    out = found.withColumn("use_line", F.col("use_range.start")).join(paths, [*scope, "root", "use_line", "target"], "left").drop("use_line")
+    return out.withColumn("alias_path", F.when(F.col("root") == F.col("target"), F.array().cast("array<string>")).otherwise(F.col("alias_path")))
+
+
 def generation_stats(facts: DataFrame, found: DataFrame) -> DataFrame:
     """Units, allocations, candidate pairs, and releases that name no allocation of their own unit."""
     units = facts.agg(F.count_distinct("translation_unit").alias("tu_count"), F.count_if(F.col("kind") == "allocation").alias("allocation_count"))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strata.operators import dataflow
+from strata.operators import dataflow, graph, history
+from strata.plans import proofs
 from strata.plans.catalog import query
 
 
@@ -30,3 +31,65 @@ def ordered_flows(t):
     files = t("documents").select(project.alias("project"), F.lit("main.py").alias("path"), main.alias("text"))
     lib = t("documents").where("doc_id % 4 = 0").select(project.alias("project"), F.lit("lib/run.py").alias("path"), F.lit("def go(v):\n    os.system('x ' + v)\n").alias("text"))
     return dataflow.tainted_flows(files.unionByName(lib)).select("project", "path", "line", "family", "origin", "calls")
+
+
+@query(f"""WITH {proofs._O}, {proofs._FOUND} SELECT candidate_id, CASE target WHEN 's' THEN 'e' || k || ',g' || k WHEN 'q' THEN 'e' || k ELSE '' END AS alias_path FROM c""")
+def candidate_witnesses(t):
+    """The alias facts that bind each candidate's used pointer to its released one."""
+    facts = proofs._facts(t)
+    return graph.candidate_paths(graph.candidates(facts), facts).select("candidate_id", F.array_join("alias_path", ",").alias("alias_path"))
+
+
+@query("""
+WITH RECURSIVE n AS (SELECT c_custkey // 64 AS block, CAST(c_custkey % 64 AS INTEGER) AS src, c_custkey % 11 AS line FROM customer),
+e AS (SELECT block, src, (2 * src + 1) % 64 AS dst, line FROM n UNION ALL SELECT block, src, (src + 5) % 64, 9 - line % 3 FROM n UNION ALL SELECT block, src, (3 * src + 2) % 64, line + 1 FROM n WHERE src % 2 = 0),
+r(block, node, hops) AS (SELECT DISTINCT block, 0, 0 FROM n UNION SELECT r.block, e.dst, r.hops + 1 FROM r JOIN e ON e.block = r.block AND e.src = r.node WHERE e.line <= 4 + r.block % 5 AND r.hops < 63)
+SELECT block, node, CAST(min(hops) AS INTEGER) AS hops, true AS holds FROM r GROUP BY ALL""")
+def witness_paths(t):
+    """A shortest path of edge numbers from node 0 to every node that it reaches in a block of 64 customers, checked edge by edge."""
+    c = t("customer").select(F.floor(F.col("c_custkey") / 64).alias("block"), (F.col("c_custkey") % 64).cast("int").alias("src"), F.col("c_custkey").alias("k"))
+    line = F.col("k") % 11
+    ways = [(0, (2 * F.col("src") + 1) % 64, line, c), (1, (F.col("src") + 5) % 64, 9 - line % 3, c), (2, (3 * F.col("src") + 2) % 64, line + 1, c.where("src % 2 = 0"))]
+    parts = [rows.select("block", "src", dst.alias("dst"), at.alias("line"), (F.col("k") * 3 + nth).alias("edge")) for nth, dst, at, rows in ways]
+    edges = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    starts = c.select("block", (4 + F.col("block") % 5).alias("latest"), F.lit(0).alias("node")).distinct()
+    reached = graph.reach_back(starts, edges, ["block"], F.col("line") <= F.col("latest"))
+    paths = graph.witnesses(reached, reached.select("block", "latest", "node"))
+    steps = paths.select("block", "latest", "node", F.posexplode_outer("path").alias("pos", "edge")).join(edges, ["block", "edge"], "left")
+    inside = F.sort_array(F.collect_list(F.when(F.col("edge").isNotNull(), F.struct("pos", "src", "dst", "line"))))
+    ordered = steps.groupBy("block", "latest", "node").agg(inside.alias("s"))
+    joined = F.forall(F.sequence(F.lit(1), F.size("s")), lambda i: (F.col("s")[i - 1]["line"] <= F.col("latest")) & (F.col("s")[i - 1]["src"] == F.when(i == 1, 0).otherwise(F.col("s")[F.greatest(i - 2, F.lit(0))]["dst"])))
+    holds = F.when(F.size("s") == 0, F.col("node") == 0).otherwise(joined & (F.element_at("s", -1)["dst"] == F.col("node")))
+    return ordered.select("block", "node", F.size("s").alias("hops"), holds.alias("holds"))
+
+
+# Each customer is a repository with one file. c1 has seven lines; c2 changes line j; c3 puts a line on top; c4 takes line 5 of c1 to the end
+# and gives line j its first text again; d3, beside c3, adds a line at the end; m5 merges c4 and d3.
+_HISTORY = [("c1", None, 0, 1), ("c2", "c1", 0, 2), ("c3", "c2", 0, 3), ("c4", "c3", 0, 4), ("d3", "c2", 0, 3), ("m5", "c4", 0, 5), ("m5", "d3", 1, 5)]
+
+
+@query("""
+WITH r AS (SELECT c_custkey AS repo, CAST(1 + c_custkey % 4 AS INTEGER) AS j FROM customer),
+l AS (SELECT repo, j, unnest([0, 1, 2, 3, 4, 6, 7, 5, 8]) AS place, unnest([1, 2, 3, 4, 5, 6, 7, 8, 9]) AS line FROM r),
+b AS (SELECT repo, line, CASE WHEN place = 0 THEN 'c3' WHEN place = 8 THEN 'd3' WHEN place = j OR place = 5 THEN 'c4' ELSE 'c1' END AS found FROM l)
+SELECT repo, line, CASE WHEN repo % 3 = 0 AND found = 'c1' THEN NULL ELSE found END AS introduced,
+ CASE WHEN repo % 3 = 0 AND found = 'c1' THEN '' WHEN found = 'c1' THEN 'main,old,side' WHEN found = 'd3' THEN 'main,side' ELSE 'main' END AS branches,
+ CASE WHEN repo % 3 = 0 AND found = 'c1' THEN '' WHEN found = 'c1' THEN 'v1,v2' ELSE 'v2' END AS versions,
+ CASE WHEN repo % 3 = 0 AND found = 'c1' THEN NULL WHEN found = 'c1' THEN 'c1,c2,d3,m5' WHEN found = 'd3' THEN 'd3,m5' ELSE found || ',m5' END AS known_commits FROM b""")
+def line_origins(t):
+    """The commits that introduced the lines of a merged file in which lines were changed, moved, restored and added, and the branches and versions that have them."""
+    repos = t("customer").select(F.col("c_custkey").alias("repo"), (1 + F.col("c_custkey") % 4).cast("int").alias("j"))
+    first = lambda p: F.concat(F.lit(f"line {p} of "), F.col("repo").cast("string"))
+    plain, changed = {p: first(p) for p in range(1, 8)}, {p: F.when(F.col("j") == p, F.concat(F.lit("changed "), first(p))).otherwise(first(p)) for p in range(1, 8)}
+    top, end = F.lit("on top"), F.lit("at the end")
+    texts = {
+        "c1": plain.values(), "c2": changed.values(), "c3": [top, *changed.values()], "c4": [top, *[plain[p] for p in (1, 2, 3, 4, 6, 7, 5)]], "d3": [*changed.values(), end], "m5": [top, *[plain[p] for p in (1, 2, 3, 4, 6, 7, 5)], end],
+    }
+    versions = repos.select("repo", F.lit("a.txt").alias("path"), F.explode(F.create_map(*[x for c, ls in texts.items() for x in (F.lit(c), F.concat_ws("\n", *ls))])).alias("commit", "text"))
+    rows = lambda names, data: repos.select("repo", F.inline(F.array(*[F.struct(*[F.lit(x).alias(n) for n, x in zip(names, row)]) for row in data])))
+    commits = rows(("commit", "parent", "nth"), [h[:3] for h in _HISTORY])
+    times = rows(("commit", "time"), sorted({(c, x) for c, _, _, x in _HISTORY}))
+    refs = rows(("kind", "name", "tip"), [("branch", "main", "m5"), ("branch", "side", "d3"), ("branch", "old", "c2"), ("tag", "v1", "c2"), ("tag", "v2", "m5"), ("tag", "nightly", "m5")])
+    asked = repos.select("repo", F.lit("a.txt").alias("path"), F.lit("m5").alias("commit"), F.explode(F.sequence(F.lit(1), F.lit(9))).alias("line"), F.when(F.col("repo") % 3 == 0, 2).alias("since"))
+    found = history.impact(asked, commits, versions, refs, times)
+    return found.select("repo", "line", "introduced", F.array_join("branches", ",").alias("branches"), F.array_join("versions", ",").alias("versions"), F.array_join("known_commits", ",").alias("known_commits"))
