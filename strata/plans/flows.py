@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strata.operators import dataflow, graph, history
-from strata.plans import proofs
+from strata.operators import code_search, dataflow, graph, history
+from strata.plans import proofs, scans
 from strata.plans.catalog import query
+from strata.sources import diffs
 
 
 @query("""
@@ -93,3 +94,23 @@ def line_origins(t):
     asked = repos.select("repo", F.lit("a.txt").alias("path"), F.lit("m5").alias("commit"), F.explode(F.sequence(F.lit(1), F.lit(9))).alias("line"), F.when(F.col("repo") % 3 == 0, 2).alias("since"))
     found = history.impact(asked, commits, versions, refs, times)
     return found.select("repo", "line", "introduced", F.array_join("branches", ",").alias("branches"), F.array_join("versions", ",").alias("versions"), F.array_join("known_commits", ",").alias("known_commits"))
+
+
+def _index(t) -> tuple:
+    files = t("documents").where("text <> ''").select(F.concat_ws("/", "source", "doc_id").alias("path"), "text")
+    folder = proofs._folder(files, "index")
+    code_search.write_index(files, folder)
+    return files.sparkSession, folder
+
+
+@query(f"WITH {scans._LINES} SELECT path, line, substr(content, 1, 300) AS text FROM lines WHERE regexp_matches(content, '(licen[cs]ed? under (the )?(MIT|apache)|copyright +\\(c\\) [0-9]{{4}})', 'i') ORDER BY path, line LIMIT 100")
+def regex_search(t):
+    """The first hundred lines that match an expression, by an index of trigrams."""
+    spark, folder = _index(t)
+    return code_search.search(spark, folder, r"(licen[cs]ed? under (the )?(MIT|apache)|copyright +\(c\) [0-9]{4})", regex=True, limit=100).withColumn("line", F.col("line").cast("long"))
+
+
+@query(f"WITH {scans._LINES} SELECT path, line, substr(content, 1, 300) AS text FROM lines WHERE contains(lower(content), 'licensed under the') ORDER BY path, line LIMIT 30")
+def indexed_literal(t):
+    spark, folder = _index(t)
+    return code_search.search(spark, folder, "Licensed under THE").withColumn("line", F.col("line").cast("long"))
