@@ -8,6 +8,7 @@ from strata.operators import code_search, dataflow, graph, history
 from strata.plans import proofs, scans
 from strata.plans.catalog import query
 from strata.sources import diffs
+from strata.streaming import timers
 
 
 @query("""
@@ -114,3 +115,33 @@ def regex_search(t):
 def indexed_literal(t):
     spark, folder = _index(t)
     return code_search.search(spark, folder, "Licensed under THE").withColumn("line", F.col("line").cast("long"))
+
+
+_MILLIS = "timestampdiff(MILLISECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)"
+
+
+@query("""
+WITH RECURSIVE m AS (SELECT 'q' || user_id % 7 AS queue, 'm' || event_id AS message_id, CAST(1 + event_id % 3 AS INTEGER) AS attempt, epoch_us(ts) // 1000 + 60000 * (event_id % 5) AS due_at FROM events),
+n AS (SELECT *, row_number() OVER (PARTITION BY queue ORDER BY due_at, message_id) - 1 AS place FROM m), c AS (SELECT *, CAST(ceil(due_at / 600000) AS BIGINT) AS first FROM n),
+s(queue, place, sweep) AS (SELECT queue, place, first FROM c WHERE place < 10 UNION ALL SELECT c.queue, c.place, greatest(c.first, s.sweep + 1) FROM s JOIN c ON c.queue = s.queue AND c.place = s.place + 10)
+SELECT message_id, c.queue, attempt, s.sweep * 600000 AS sweep_at FROM s JOIN c ON c.queue = s.queue AND c.place = s.place""")
+def deferred_sweeps(t):
+    """The sweep, one every ten minutes with ten messages a queue at most, that emits each deferred message."""
+    e, i = t("events"), F.col("event_id")
+    due = (F.expr(_MILLIS) + 60_000 * (i % 5)).alias("due_at")
+    messages = e.select(F.concat(F.lit("q"), (F.col("user_id") % 7).cast("string")).alias("queue"), F.concat(F.lit("m"), i.cast("string")).alias("message_id"), (1 + i % 3).cast("int").alias("attempt"), due)
+    return timers.swept(messages, 600_000).select("message_id", "queue", "attempt", "sweep_at")
+
+
+@query("""
+WITH l AS (SELECT 'u' || user_id AS message_id, 'w' || event_id % 4 AS owner, event_type = 'purchase' AS ack, epoch_us(ts) // 1000 AS t0 FROM events),
+d AS (SELECT message_id, t0, max(owner) AS owner, bool_or(ack) AS ack FROM l GROUP BY message_id, t0), f AS (SELECT message_id, min(t0) FILTER (WHERE ack) AS done FROM d GROUP BY message_id), e AS (SELECT max(t0) AS t1 FROM l),
+k AS (SELECT d.*, least(coalesce((SELECT min(x.t0) FROM d x WHERE x.message_id = d.message_id AND x.t0 > d.t0) - 1, e.t1), e.t1) AS until FROM d JOIN f USING (message_id), e WHERE NOT ack AND (done IS NULL OR d.t0 < done))
+SELECT message_id, owner, t0 + n * 7200000 AS reclaimed_at FROM k, unnest(generate_series(1, (until - t0) // 7200000)) u(n)""")
+def lapsed_leases(t):
+    """Each time that two hours pass without an event of a user, up to the last event of all; a purchase acknowledges."""
+    i = F.col("event_id")
+    log = t("events").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("message_id"), F.concat(F.lit("w"), (i % 4).cast("string")).alias("owner"), (F.col("event_type") == "purchase").alias("ack"), F.expr(_MILLIS).alias("at"))
+    log = log.groupBy("message_id", "at").agg(F.max("owner").alias("owner"), F.bool_or("ack").alias("ack")).withColumn("kind", F.when(F.col("ack"), "ack").otherwise("heartbeat"))
+    now = log.agg(F.max("at")).first()[0]
+    return timers.reclaims(log, 7_200_000, now)
