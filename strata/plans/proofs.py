@@ -179,7 +179,7 @@ def evaluation_cases(t):
 
 @query("""
 SELECT 'src/' || (event_id % 30) || '.py' AS path, event_id AS line, 'B' || (100 + user_id % 9) AS rule_id, CASE event_id % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS severity,
- CASE event_id % 4 WHEN 0 THEN 0.9::DOUBLE WHEN 1 THEN 0.7::DOUBLE WHEN 2 THEN 0.5::DOUBLE END AS confidence, CASE WHEN user_id % 2 = 0 THEN 'CWE-' || (user_id % 9) END AS cwe FROM events""")
+ CASE event_id % 4 WHEN 0 THEN 0.9::DOUBLE WHEN 1 THEN 0.78::DOUBLE WHEN 2 THEN 0.62::DOUBLE ELSE 0.72::DOUBLE END AS confidence, CASE WHEN user_id % 2 = 0 THEN 'CWE-' || (user_id % 9) END AS cwe FROM events""")
 def analyzer_reports(t):
     """Reports of one analyzer written as files and read to findings."""
     e, u = F.col("event_id"), F.col("user_id")
@@ -188,7 +188,7 @@ def analyzer_reports(t):
         F.concat(F.lit("src/"), (e % 30).cast("string"), F.lit(".py")).alias("filename"), e.alias("line_number"), F.concat(F.lit("B"), (100 + u % 9).cast("string")).alias("test_id"), F.lit("text").alias("issue_text"),
         pick(["HIGH", "MEDIUM", "LOW"], e % 3).alias("issue_severity"), pick(["HIGH", "MEDIUM", "LOW", "UNDEFINED"], e % 4).alias("issue_confidence"), F.lit("x").alias("code"), F.when(u % 2 == 0, F.struct((u % 9).alias("id"))).alias("issue_cwe"),
     )
-    rows = t("events").groupBy((u % 10).alias("part")).agg(F.collect_list(result).alias("results"))
+    rows = t("events").groupBy(F.floor(e / 200).alias("part")).agg(F.collect_list(result).alias("results"))
     path = _folder(rows, "reports")
     rows.select("results").write.json(path)
     return datasets.read_bandit_lines(rows.sparkSession, path).select("path", F.col("line").cast("long").alias("line"), "rule_id", "severity", "confidence", "cwe")

@@ -63,9 +63,9 @@ def read_bandit_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def _bandit(reports: DataFrame) -> DataFrame:
     rows = reports.select(F.explode("results").alias("r"))
-    confidence = F.element_at(F.create_map(F.lit("HIGH"), F.lit(0.9), F.lit("MEDIUM"), F.lit(0.7), F.lit("LOW"), F.lit(0.5)), F.upper("r.issue_confidence"))
+    confidence = F.element_at(F.create_map(F.lit("HIGH"), F.lit(0.9), F.lit("MEDIUM"), F.lit(0.78), F.lit("LOW"), F.lit(0.62)), F.upper(F.coalesce("r.issue_confidence", F.lit("MEDIUM"))))
     return rows.select(
-        F.col("r.filename").alias("path"), F.col("r.line_number").alias("line"), F.col("r.test_id").alias("rule_id"), F.lower("r.issue_severity").alias("severity"), confidence.alias("confidence"),
+        F.col("r.filename").alias("path"), F.col("r.line_number").alias("line"), F.col("r.test_id").alias("rule_id"), F.lower("r.issue_severity").alias("severity"), F.coalesce(confidence, F.lit(0.72)).alias("confidence"),
         F.when(F.col("r.issue_cwe.id").isNotNull(), F.concat(F.lit("CWE-"), F.col("r.issue_cwe.id").cast("string"))).alias("cwe"), F.col("r.code").alias("evidence"),
     )
 
