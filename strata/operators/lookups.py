@@ -48,11 +48,12 @@ def projected_fields(values: DataFrame, wanted: DataFrame, priority: str = "prio
     return out.withColumn("sources", F.coalesce("sources", F.array().cast("array<string>"))).withColumn("note", F.when(F.size("sources") == 0, "not stated").when(F.col("value") == "null", "stated as null"))
 
 
-def clipped(text: Column, limit: int) -> Column:
+def clipped(text: Column, limit: int | Column) -> Column:
     """The longest prefix of at most ``limit`` UTF-8 bytes that cuts no character.
 
     A cut character leaves one to three of its bytes at the end, so at most three shorter prefixes are tried.
     """
     raw = text.cast("binary")
-    tries = [F.substring(raw, 1, max(0, limit - k)) for k in range(4)]
+    most = F.lit(limit) if isinstance(limit, int) else limit
+    tries = [F.substring(raw, F.lit(1), F.greatest(most - k, F.lit(0)).cast("int")) for k in range(4)]
     return F.coalesce(*[F.when(F.is_valid_utf8(t), t.cast("string")) for t in tries])

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from strata.functions import text as T
 from strata.operators.graph import cut
+from strata.operators.lookups import clipped
 
 
 def clamp_limit(limit: int, most: int) -> int:
@@ -92,6 +93,15 @@ def budget_stop(df: DataFrame, group: list[str], order: list[Column | str], size
     return df.withColumn("_sum", F.sum(size).over(w)).where(F.col("_sum") <= budget).drop("_sum")
 
 
+def budget_shorten(df: DataFrame, group: list[str], order: list[Column | str], text: str, budget: int) -> DataFrame:
+    """Rows up to a budget of UTF-8 bytes; the first that would exceed it is cut to what is left, at a character's end, and is the last. One with nothing left is dropped."""
+    size = F.octet_length(F.coalesce(F.col(text), F.lit("")))
+    w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = df.withColumn("_left", F.lit(budget) - F.sum(size).over(w) + size).where(F.col("_left") >= 0)
+    cut_text = F.when(size <= F.col("_left"), F.col(text)).otherwise(clipped(F.col(text), F.col("_left")))
+    return rows.withColumns({"shortened": size > F.col("_left"), text: cut_text}).where(~F.col("shortened") | (F.col(text) != "")).drop("_left")
+
+
 def position_bonus(df: DataFrame, group: list[str], order: list[Column], weight: float = 0.05) -> DataFrame:
     """``bonus`` = weight / place in the group's order."""
     return df.withColumn("bonus", F.lit(weight) / F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
