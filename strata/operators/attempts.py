@@ -8,11 +8,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strata.operators.graph import cut
+
 
 def attempted(df: DataFrame, fn: Callable[[object], object], value: str, returns: str, result: str = "result", failure: str = "failure") -> DataFrame:
     """All rows with ``fn`` of a column: its result, or the failure as "Type: message"; one failing row stops no other.
 
-    Spark deals the rows, so there is no limit on workers to give. ``fn`` gets nulls, too.
+    Spark deals the rows, so there is no limit on workers to give. ``fn`` gets nulls, too. The result is a reliable checkpoint,
+    so that ``fn`` runs once a row (twice only where a task is lost), however often the frame is used.
     """
 
     def one(v: object) -> tuple[object, str | None]:
@@ -25,8 +28,9 @@ def attempted(df: DataFrame, fn: Callable[[object], object], value: str, returns
     def run(values: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([one(v) for v in values], columns=["result", "failure"], dtype=object)
 
-    out = df.withColumn("_tried", run(value))
-    return out.withColumns({result: F.col("_tried.result"), failure: F.col("_tried.failure")}).drop("_tried")
+    # Not deterministic as far as Spark knows: otherwise both fields may call it, and filters be pushed below it.
+    out = df.withColumn("_tried", run.asNondeterministic()(value))
+    return cut(out.withColumns({result: F.col("_tried.result"), failure: F.col("_tried.failure")}).drop("_tried"))
 
 
 def results_and_failures(tried: DataFrame, order: list[str], result: str = "result", failure: str = "failure") -> tuple[DataFrame, DataFrame]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strata.plans import checked, external, flows, proofs, ranked, relational, reports, review, scans, scored, stateful  # noqa: F401  registration
+from strata.plans import cases, checked, external, flows, proofs, ranked, relational, reports, review, scans, scored, stateful  # noqa: F401  registration
 from strata.plans.catalog import ORACLES, QUERIES, Query
 
 

@@ -42,9 +42,9 @@ def read_cases(spark: SparkSession, path: str) -> DataFrame:
     return _checked(df, repeated.unionByName(wrong), "invalid evaluation cases")
 
 
-def read_pairs(spark: SparkSession, path: str) -> DataFrame:
-    """Paired manifests; needs distinct commits, 64-digit archive digests, ground-truth paths and unique ids."""
-    df = spark.read.schema(PAIRS).option("multiLine", "true").option("mode", "FAILFAST").json(path)
+def read_pairs(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Paired manifests, one a file or one a line; needs distinct commits, 64-digit archive digests, ground-truth paths and unique ids."""
+    df = spark.read.schema(PAIRS).option("multiLine", not lines).option("mode", "FAILFAST").json(path)
     digest = F.col("vulnerable_archive_sha256").rlike("^[0-9a-f]{64}$") & F.col("fixed_archive_sha256").rlike("^[0-9a-f]{64}$")
     good = (F.col("vulnerable_commit") != F.col("fixed_commit")) & digest & (F.size("ground_truth_paths") > 0) & F.col("cwe").rlike(r"^CWE-\d+$")
     wrong = df.where(~F.coalesce(good, F.lit(False))).select("id").unionByName(df.groupBy("id").count().where("count > 1").select("id"))
@@ -92,13 +92,13 @@ def checked_facts(df: DataFrame, most: int = 1_000_000) -> DataFrame:
     return _checked(df, repeated.unionByName(wrong).unionByName(related).unionByName(over), "invalid fact bundle")
 
 
-def read_issue_index(spark: SparkSession, path: str) -> DataFrame:
-    """Index rows; an empty commit means unknown. Other fields than the six known ones, and an entry stated twice, raise."""
-    raw = spark.read.option("multiLine", "true").option("mode", "FAILFAST").json(path)
+def read_issue_index(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Index rows, a list a file or one a line; an empty commit means unknown. Other fields than the six known ones, and an entry stated twice, raise."""
+    raw = spark.read.option("multiLine", not lines).option("mode", "FAILFAST").json(path)
     known = {c.split()[0] for c in ISSUES.split(", ")}
     if raw.columns and set(raw.columns) != known:
         raise ValueError(f"an index entry has the fields {sorted(known)}")
-    df = spark.read.schema(ISSUES).option("multiLine", "true").option("mode", "FAILFAST").json(path)
+    df = spark.read.schema(ISSUES).option("multiLine", not lines).option("mode", "FAILFAST").json(path)
     return _checked(df, df.groupBy("cve_id", "component").count().where("count > 1").select("cve_id"), "an index entry is stated twice")
 
 

@@ -43,3 +43,19 @@ def whole_file_as_added(files: DataFrame, path: str = "path", text: str = "text"
     """Every line of a file as an added line."""
     rows = files.select(F.col(path).alias("path"), F.posexplode(T.lines(F.col(text))).alias("pos", "content"))
     return rows.select("path", (F.col("pos") + 1).cast("long").alias("line"), "content")
+
+
+def search_diff(diffs: DataFrame, needle: str, limit: int = 20, key: str = "id", diff: str = "diff") -> DataFrame:
+    """(key, diff_line, content): the first ``limit`` (1 to 50) lines of each diff with a text, whatever its case; contents end at 500 characters."""
+    wanted = needle.strip().lower()
+    if not wanted:
+        raise ValueError("a search needs a text")
+    rows = diffs.select(key, F.posexplode(T.lines(F.col(diff))).alias("pos", "raw")).where(F.contains(F.lower("raw"), F.lit(wanted)))
+    nth = F.row_number().over(Window.partitionBy(key).orderBy("pos"))
+    return rows.withColumn("nth", nth).where(F.col("nth") <= max(1, min(limit, 50))).select(key, (F.col("pos") + 1).alias("diff_line"), F.substring("raw", 1, 500).alias("content"))
+
+
+def changed_line(asked: DataFrame, added: DataFrame, key: str = "id") -> DataFrame:
+    """Asked lines (key, path, line) with ``found`` and the content of the added line at that place."""
+    hits = added.groupBy(key, "path", "line").agg(F.first("content").alias("content"), F.lit(True).alias("_hit"))
+    return asked.join(hits, [key, "path", "line"], "left").withColumn("found", F.coalesce("_hit", F.lit(False))).drop("_hit")

@@ -61,3 +61,18 @@ def test_bundles_of_null_and_empty_records(spark, sf_dir):
     for records in (F.lit(None).cast(rows.schema["evidence_records"].dataType), F.filter("evidence_records", lambda r: F.lit(False))):
         made = bundles.to_bundles(rows.withColumn("evidence_records", records))
         assert [len(r.evidence) for r in made.collect()] == [1] * 5 and bundles.to_findings(made).count() == 0
+
+
+def test_a_function_runs_once_a_row(spark):
+    from strata.operators import attempts
+
+    calls = spark.sparkContext.accumulator(0)
+
+    def halved(v):
+        calls.add(1)
+        return 10 // (v % 5)
+
+    rows = spark.range(100).repartition(3)
+    good, bad = attempts.results_and_failures(attempts.attempted(rows, halved, "id", "long"), ["id"])
+    assert [r["id"] for r in bad.collect()] == list(range(0, 100, 5)) and good.count() == 80 and good.unionByName(bad.withColumn("result", bad["id"]).drop("failure")).count() == 100
+    assert calls.value == 100
