@@ -51,7 +51,7 @@ BLOCKS_TYPE = ArrayType(StructType([StructField("role", StringType()), StructFie
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 # Element names by role.
-SKIPPED = {"script", "style", "noscript", "template", "svg", "iframe", "head", "object", "canvas", "textarea", "select", "button", "math"}
+SKIPPED = {"script", "style", "noscript", "template", "svg", "iframe", "head", "object", "canvas", "textarea", "select"}
 CHROME = {"nav", "header", "footer", "aside", "form", "menu", "dialog"}
 MAIN = {"article", "main"}
 VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr"}
@@ -71,8 +71,14 @@ NEUTRAL_NAMES = {
     "site", "page", "main", "global", "top", "bottom", "left", "right", "primary", "secondary", "box", "bar", "wrap", "wrapper", "container", "block", "inner", "links", "list", "item", "items", "slot", "unit",
     "section", "area", "button", "buttons", "form", "text", "message", "policy", "icon", "icons", "media", "content", "widget", "posts", "articles", "stories", "mobile", "desktop",
 }
-#: Elements that hold a page's text, whatever their classes say.
+#: Elements that hold a page's text, whatever their classes say (but for an article in an article).
 HOLDERS = {"html", "body", "main", "article"}
+#: Elements of running text: inside an article their class doesn't make them chrome, and a button in one is a word of it.
+RUNNING = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "td", "th", "blockquote", "pre", "figcaption", "caption"}
+#: Names that say nothing of a part inside an article, and names of comments, which compounds with any other part keep.
+VAGUE_NAMES = {"legal", "copyright", "notice", "notices", "side", "header", "banner"}
+COMMENT_NAMES = {"comment", "comments", "replies", "disqus"}
+STATE_NAMES = {"has", "no", "with", "without", "open", "closed", "enabled", "disabled", "allow"}
 
 # What stands in a tag; a quoted value may hold a closing bracket.
 _INSIDE = r"""(?:[^>=]|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+"""
@@ -83,23 +89,50 @@ _PART = re.compile(r"[a-z]+")
 
 
 def _is_chrome_name(name: str) -> bool:
-    """A name of the list, or a compound of such names and neutral ones (site-header, but not post-header or has-sidebar)."""
+    """A name of the list, or a compound of such names and neutral ones (site-header, but not post-header or has-sidebar); of comments, any compound."""
     parts = _PART.findall(name)
-    return name in CHROME_NAMES or any(p in CHROME_NAMES and p not in NEUTRAL_NAMES for p in parts) and all(p in CHROME_NAMES or p in NEUTRAL_NAMES for p in parts)
+    if name in CHROME_NAMES or any(p in COMMENT_NAMES for p in parts) and not any(p in STATE_NAMES for p in parts):
+        return True
+    return any(p in CHROME_NAMES and p not in NEUTRAL_NAMES for p in parts) and all(p in CHROME_NAMES or p in NEUTRAL_NAMES for p in parts)
 
 
-def _is_chrome(tag: str) -> bool:
+def _is_comment(tag: str) -> bool:
+    return any(m[1].lower() in ("class", "id") and any(p in COMMENT_NAMES for p in _PART.findall((m[2] or "").lower())) for m in _MARKED.finditer(tag))
+
+
+def _is_chrome(tag: str, inside: bool = False) -> bool:
+    """Does a tag's class, id or role name chrome? Inside an article, vague names don't."""
     for m in _MARKED.finditer(tag):
         name, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
-        if name in ("class", "id") and any(map(_is_chrome_name, value.split())):
+        if name in ("class", "id") and any(_is_chrome_name(v) and not (inside and v in VAGUE_NAMES) for v in value.split()):
             return True
         if name == "role" and value in CHROME_ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
             return True
     return False
 
 
+def _gives(tag: str, token: str, depth: Counter[str], running: bool) -> str:
+    """The role that an element gives to what is in it: skipped, chrome by its kind, named by its class, main, inner (main in a named one), or none."""
+    inside = depth["main"] > 0 or depth["inner"] > 0
+    named = "named inside" if depth["inner"] else "named"
+    if tag in SKIPPED:
+        return "skipped"
+    if tag in MAIN:
+        return named if inside and _is_comment(token) else "inner" if depth["named"] else "main"
+    if tag in CHROME and not (tag == "header" and inside and not _is_chrome(token)):  # an article's own heading is none
+        return "chrome"
+    if tag == "button":
+        return "" if running else "chrome"
+    if tag in HOLDERS or inside and tag in RUNNING and not _is_comment(token):
+        return ""
+    return named if _is_chrome(token, inside) else ""
+
+
 def blocks_of(page: str | None) -> list[tuple[str, str]]:
-    """(role, text) of each block in page order; the role is main, chrome or open."""
+    """(role, text) of each block in page order; the role is main, chrome or open.
+
+    An article in an element whose class names chrome is main where the page has no other article, and holds more than the main elements do: such names are often a layout's.
+    """
     out: list[tuple[str, str]] = []
     held: list[str] = []
     stack: list[tuple[str, str]] = []  # element, role it gives
@@ -108,7 +141,7 @@ def blocks_of(page: str | None) -> list[tuple[str, str]]:
 
     def leave() -> str:
         tag, gives = stack.pop()
-        depth.subtract((f"<{tag}", gives))
+        depth.subtract((f"<{tag}", gives, "running" if tag in RUNNING else ""))
         return tag
 
     def close() -> None:
@@ -121,13 +154,14 @@ def blocks_of(page: str | None) -> list[tuple[str, str]]:
     for m in _TOKEN.finditer(page or ""):
         token = m[0]
         if token[0] != "<" or len(token) == 1:
-            held.append(entities.unescape(token) if "&" in token else token)
+            if not depth["skipped"]:
+                held.append(entities.unescape(token) if "&" in token else token)
             continue
         name = _NAME.match(token)
         if m[1] or name is None or token[-1] != ">":
             continue  # comments, skipped elements, declarations and unfinished tags
         tag = name[1].lower()
-        if tag in BLOCKS or tag in CHROME or tag in MAIN or tag in SKIPPED:
+        if tag in BLOCKS or tag in CHROME or tag in MAIN or tag == "button" and not depth["running"]:
             close()
         elif tag == "br":
             held.append(" ")
@@ -138,14 +172,21 @@ def blocks_of(page: str | None) -> list[tuple[str, str]]:
         elif tag not in VOID and token[-2] != "/":
             if tag == "p" and stack and stack[-1][0] == "p":
                 leave()
-            gives = "main" if tag in MAIN else "" if tag in HOLDERS else "chrome" if tag in CHROME or tag in SKIPPED or _is_chrome(token) else ""
-            if tag == "header" and depth["main"] and not _is_chrome(token):
-                gives = ""  # an article's own heading
+            gives = _gives(tag, token, depth, depth["running"] > 0)
+            if gives and held and tag not in SKIPPED:
+                close()  # an inline element with a role of its own
             stack.append((tag, gives))
-            depth.update((f"<{tag}", gives))
-        role = "chrome" if depth["chrome"] else "main" if depth["main"] else "open"
+            depth.update((f"<{tag}", gives, "running" if tag in RUNNING else ""))
+        now = "chrome" if depth["chrome"] or depth["named inside"] else "inner" if depth["inner"] else "chrome" if depth["named"] else "open" if not depth["main"] else "article" if depth["<article"] else "main"
+        if now != role:
+            close()
+        role = now
     close()
-    return out
+    size = Counter[str]()
+    for r, text in out:
+        size[r] += len(text)
+    inner = "main" if size["inner"] > size["main"] and not size["article"] else "chrome"
+    return [({"inner": inner, "article": "main"}.get(r, r), text) for r, text in out]
 
 
 def suffix_array(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -165,37 +206,6 @@ def suffix_array(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, rank
 
 
-def repeated(tokens: np.ndarray, page: np.ndarray, limit: int) -> np.ndarray:
-    """Which tokens lie in a sequence of REPEAT_WORDS tokens or more that occurs on REPEAT_PAGES distinct pages.
-
-    ``tokens`` has separators (values from ``limit`` on, each once) between blocks, so no sequence crosses one.
-    Suffixes with the same first REPEAT_WORDS tokens are neighbours in the array; longer
-    repeats are unions of such starts.
-    """
-    n = len(tokens)
-    covered = np.zeros(n + 1, dtype=np.int64)
-    if n < REPEAT_WORDS:
-        return covered[:n].astype(bool)
-    order, rank = suffix_array(tokens)
-    group = rank[order]
-    starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-    least = np.minimum.reduceat(page[order], starts)
-    most = np.maximum.reduceat(page[order], starts)
-    several = least != most
-    if REPEAT_PAGES > 2:
-        sizes = np.diff(np.append(starts, n))
-        which = np.repeat(np.arange(len(starts)), sizes)
-        pairs = np.unique(which * (page.max() + 1) + page[order])
-        several = np.bincount(pairs // (page.max() + 1), minlength=len(starts)) >= REPEAT_PAGES
-    hit = order[np.repeat(several, np.diff(np.append(starts, n)))]
-    hit = hit[hit + REPEAT_WORDS <= n]
-    blank = np.concatenate([[0], np.cumsum(tokens >= limit)])
-    hit = hit[blank[hit + REPEAT_WORDS] == blank[hit]]
-    np.add.at(covered, hit, 1)
-    np.add.at(covered, hit + REPEAT_WORDS, -1)
-    return np.cumsum(covered)[:n] > 0
-
-
 def _code(word: str, known: dict[str, int]) -> int:
     got = known.get(word)
     if got is None:

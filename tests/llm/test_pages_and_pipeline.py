@@ -53,27 +53,43 @@ def test_unmarked_boilerplate_goes(spark):
     assert extract(spark, rows) == want
 
 
-def test_repeats_equal_brute_force():
+def plain_texts(rows):
+    """Texts by trying every run of every page of a host: pages are lists of blocks of words, all open."""
+    n = html_extract.REPEAT_WORDS
+    filled = [(host, [[*b, *[""] * (n - len(b))] for b in blocks]) for host, blocks in rows]
+    runs = {}
+    for host, blocks in {(h, tuple(map(tuple, bs))) for h, bs in filled}:  # equal pages are one
+        for run in {(host, b[i : i + n]) for b in blocks for i in range(len(b) - n + 1)}:
+            runs[run] = runs.get(run, 0) + 1
+    out = []
+    for (host, blocks), (_, plain) in zip(filled, rows):
+        kept = []
+        for b, words in zip(blocks, plain):
+            covered = {k for i in range(len(b) - n + 1) if runs[host, tuple(b[i : i + n])] >= html_extract.REPEAT_PAGES for k in range(i, i + n)}
+            if len(covered) < html_extract.COVERED * len(b):
+                kept.append(" ".join(words))
+        out.append("\n\n".join(kept))
+    return out
+
+
+def test_repeats_equal_brute_force(spark, monkeypatch):
+    """Pages without markup, in several shards a host: whole blocks, parts of blocks, short blocks and equal pages repeat."""
+    monkeypatch.setattr(html_extract, "SHARD_PAGES", 4)
     rng = np.random.default_rng(3)
-    for _ in range(60):
-        blocks = [rng.integers(0, 4, rng.integers(1, 14)) for _ in range(8)]
-        tokens, page_of, k = [], [], 0
-        for b, ids in enumerate(blocks):
-            tokens += [*ids.tolist(), 100 + k]
-            page_of += [b // 2] * (len(ids) + 1)
-            k += 1
-        tokens, page_of = np.array(tokens), np.array(page_of)
-        got = html_extract.repeated(tokens, page_of, 100)
-        n, want = html_extract.REPEAT_WORDS, np.zeros(len(tokens), bool)
-        where = {}
-        for i in range(len(tokens) - n + 1):
-            if (tokens[i: i + n] < 100).all():
-                where.setdefault(tuple(tokens[i: i + n]), []).append(i)
-        for places in where.values():
-            if len({page_of[i] for i in places}) >= html_extract.REPEAT_PAGES:
-                for i in places:
-                    want[i: i + n] = True
-        assert (got == want).all()
+    pool = [[f"p{k}x{i}" for i in range(rng.integers(1, 22))] for k in range(12)]
+    rows = []
+    for i in range(60):
+        blocks = []
+        for _ in range(rng.integers(1, 6)):
+            own, shared = [f"w{rng.integers(0, 6)}" for _ in range(rng.integers(1, 25))], pool[rng.integers(0, len(pool))]
+            blocks.append([own, shared, [*own, *shared], [*shared[: rng.integers(0, 12)], *own]][rng.integers(0, 4)])
+        rows.append((f"h{i % 3}", [b for b in blocks if b]))
+    rows += [rows[5], rows[6]]
+    pages = spark.createDataFrame([(i, f"http://{h}/{i}", "<body>" + "".join(f"<div>{' '.join(b)}</div>" for b in blocks) + "</body>") for i, (h, blocks) in enumerate(rows)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(pages.repartition(5)).collect()}
+    want = plain_texts(rows)
+    assert [got[i] for i in range(len(rows))] == want
+    assert 0 < sum(len(t) == 0 for t in want) + sum(len(t.split("\n\n")) < len(b) for t, (_, b) in zip(want, rows)) < len(rows) + 30
 
 
 def test_given_pages(spark, sf_dir):
