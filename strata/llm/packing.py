@@ -1,14 +1,17 @@
 """Packing of token sequences into fixed windows by minimum bin slack.
 
-Documents longer than a window fill whole windows by themselves; what remains of
-each is an item of 1..window-1 tokens. Items are dealt to shards of a bounded
-size. In a shard, windows are filled one multiset of lengths at a time: a bitset
+Documents longer than a window fill whole windows by themselves: these get their
+sequence where they are made, and meet no others. What remains of each document is
+one item of 1..window-1 tokens. Items are dealt to shards of a bounded
+size, without their ids unless these are asked for. In a shard, windows are filled one multiset of lengths at a time: a bitset
 subset-sum over the lengths still there tells which totals can be reached next to
 the longest item, the total closest to the window is chosen, and its lengths are
 found by walking back through the bitsets. A found multiset is repeated as often
 as the counts allow.
 
-Defined results: null and empty texts hold only the end id (one token); repeated
+Defined results: null and empty texts hold only the end id (one token); very long texts
+are encoded and cut whole; among items of equal length the first by doc_id, start and checksum
+is taken last, so ties give one result for the same shards; repeated
 rows are packed once each; an empty table gives no pieces; further columns of the
 input are ignored.
 """
@@ -24,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata.llm import tokens
+from strata.llm.common import stored
 
 WINDOW = 2048
 END_ID = 1
@@ -32,9 +36,10 @@ PAD_ID = 49407
 #: Items that one shard holds on average; it bounds what a task sorts and keeps.
 SHARD_ITEMS = 8192
 
-# Ids travel as text through pandas, which would turn a column of numbers with a null into floats.
-PIECES = "doc_id string, start long, length long, ids_crc32 long, doc_tokens long, ids binary, shard long"
-PACKED = "doc_id string, start long, length long, ids_crc32 long, doc_tokens long, ids binary, sequence_id long, offset long"
+# Document ids travel as text through pandas, which would turn a column of numbers with a null into floats.
+PIECES = "doc_id string, start long, length long, ids_crc32 long, doc_tokens long, shard long, sequence_id long"
+PACKED = "doc_id string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+IDS = ", ids binary"
 
 
 def best_fill(counts: dict[int, int], room: int) -> dict[int, int]:
@@ -88,13 +93,17 @@ def fill_windows(lengths: np.ndarray, window: int = WINDOW) -> list[list[int]]:
     return windows
 
 
-def _pieces(path: str, window: int, shards: int):
+def _pieces(path: str, window: int, shards: int, keep_ids: bool):
+    """Pieces of texts. Whole windows get the next sequence of this task, whose numbers follow those of all shards; items get a shard in turn."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
         encode = tokens.encoder(path).encode
         end = END_ID.to_bytes(4, "little")
-        turn = (TaskContext.get().partitionId() if TaskContext.get() else 0) * 7919
+        task = TaskContext.get().partitionId() if TaskContext.get() else 0
+        turn, sequence = task * 7919, (shards + task) << 32
+        columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "shard", "sequence_id", *["ids"] * keep_ids]
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch["doc_id"], batch["text"]):
@@ -102,9 +111,10 @@ def _pieces(path: str, window: int, shards: int):
                 total = len(ids) // 4
                 for start in range(0, total, window):
                     part = ids[4 * start: 4 * (start + window)]
-                    turn += 1
-                    rows.append((doc_id, start, len(part) // 4, zlib.crc32(part), total, part, turn % shards))
-            yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids", "shard"])
+                    place = (-1, sequence) if len(part) == 4 * window else (turn % shards, -1)
+                    sequence, turn = sequence + (place[0] < 0), turn + (place[0] >= 0)
+                    rows.append((doc_id, start, len(part) // 4, zlib.crc32(part), total, *place, *[part] * keep_ids))
+            yield pd.DataFrame(rows, columns=columns)
 
     return run
 
@@ -113,15 +123,11 @@ def _pack_shard(window: int):
     def run(key: tuple, items: pd.DataFrame) -> pd.DataFrame:
         items = items.sort_values(["length", "doc_id", "start", "ids_crc32"], kind="stable", ignore_index=True)
         lengths = items["length"].to_numpy()
-        full = np.flatnonzero(lengths >= window)
-        part = np.flatnonzero(lengths < window)
         sequence = np.zeros(len(items), dtype=np.int64)
         offset = np.zeros(len(items), dtype=np.int64)
-        sequence[full] = np.arange(len(full))
-        for number, members in enumerate(fill_windows(lengths[part], window), len(full)):
-            at = part[members]
-            sequence[at] = number
-            offset[at] = np.cumsum(lengths[at]) - lengths[at]
+        for number, members in enumerate(fill_windows(lengths, window)):
+            sequence[members] = number
+            offset[members] = np.cumsum(lengths[members]) - lengths[members]
         out = items.drop(columns=["shard"])
         out["sequence_id"] = (np.int64(key[0]) << 32) + sequence
         out["offset"] = offset
@@ -130,17 +136,23 @@ def _pack_shard(window: int):
     return run
 
 
+def _packed(documents: DataFrame, window: int, tokenizer: str | None, shard_items: int, keep_ids: bool) -> DataFrame:
+    """Pieces with their places. They are stored once, so that texts are encoded once; only items, one a document at most, are grouped."""
+    shards = max(1, -(-documents.count() // shard_items))
+    ids = IDS if keep_ids else ""
+    rows = documents.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    made = stored(rows.mapInPandas(_pieces(tokenizer or tokens.default_path(), window, shards, keep_ids), PIECES + ids), "pieces")
+    whole = made.where("shard < 0").drop("shard").withColumn("offset", F.lit(0).cast("long"))
+    items = made.where("shard >= 0").groupBy("shard").applyInPandas(_pack_shard(window), PACKED + ids)
+    return whole.unionByName(items).withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
 def pack_ids(documents: DataFrame, window: int = WINDOW, tokenizer: str | None = None, shard_items: int = SHARD_ITEMS) -> DataFrame:
     """Pieces of all ``documents`` (doc_id, text) with their ids (little-endian, 32 bits each) and places in sequences of at most ``window`` tokens.
 
-    Sequence ids are unique across shards.
+    Sequence ids are unique across shards. A shard holds at most about ``shard_items`` items of less than a window.
     """
-    shards = max(1, -(-documents.count() // shard_items))
-    # Full windows need no company, so a shard's pieces stay in proportion to its items.
-    made = documents.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(
-        _pieces(tokenizer or tokens.default_path(), window, shards), PIECES
-    )
-    return made.groupBy("shard").applyInPandas(_pack_shard(window), PACKED).withColumn("doc_id", F.col("doc_id").cast("long"))
+    return _packed(documents, window, tokenizer, shard_items, True)
 
 
 def sequences(pieces: DataFrame, window: int = WINDOW, pad_id: int = PAD_ID) -> DataFrame:
@@ -171,5 +183,4 @@ def sequences(pieces: DataFrame, window: int = WINDOW, pad_id: int = PAD_ID) ->
 
 def pack(documents: DataFrame, window: int = WINDOW, tokenizer: str | None = None, shard_items: int = SHARD_ITEMS) -> DataFrame:
     """The packed pieces with a checksum in place of their ids."""
-    packed = pack_ids(documents, window, tokenizer, shard_items)
-    return packed.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    return _packed(documents, window, tokenizer, shard_items, False)

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import random
 
-from strata.llm import language_id, packing, tokens
+from strata.llm import common, language_id, packing, tokens
 
 
 def test_sequences_hold_every_id(spark):
     rng = random.Random(5)
     texts = ["", None, *[" ".join(f"w{rng.randrange(99)}" for _ in range(rng.randint(1, 900))) for _ in range(60)]]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    pieces = packing.pack_ids(docs, shard_items=16).localCheckpoint()
+    pieces = common.cut(packing.pack_ids(docs, shard_items=16))
     rows = {r["sequence_id"]: r for r in packing.sequences(pieces).collect()}
     encode, got = tokens.encoder(tokens.default_path()).encode, {}
     for r in pieces.orderBy("doc_id", "start").collect():
