@@ -255,6 +255,61 @@ def gates(baseline: DataFrame, candidate: DataFrame, protected: dict[str, float]
     return pair.select(F.array(*checks).alias("gates")).withColumn("accepted", F.forall("gates", lambda g: g["passed"]))
 
 
+# The release gates' least values, the kind of source that production needs, and the rounds within which a case converges.
+F1_GAIN, EXECUTION_LEAST, SAFE_FIX_LEAST, END_TO_END_LEAST = 0.02, 0.98, 0.75, 0.60
+PRODUCTION_SOURCE = "public-github-pr"
+ROUND_BUDGET = 2
+
+
+def release_gates(baseline: DataFrame, candidate: DataFrame, sources: DataFrame) -> DataFrame:
+    """(gate, delta, passed, released): seven gates on numbers and one on where the candidate's cases come from; all must pass for a release.
+
+    Both frames have one row of validation_f1, holdout_f1, high_risk_recall, clean_accuracy, execution_success_rate, safe_fix_rate and
+    e2e_security_fix_rate; ``sources`` has a row (source_kind) a case. A missing number passes no gate.
+    """
+    names = ["validation_f1", "holdout_f1", "high_risk_recall", "clean_accuracy", "execution_success_rate", "safe_fix_rate", "e2e_security_fix_rate"]
+    pair = baseline.select(*[F.col(c).alias(f"b_{c}") for c in names]).join(candidate.select(*[F.col(c).alias(f"c_{c}") for c in names]), F.lit(True))
+    kinds = sources.agg(F.coalesce(F.bool_and(F.col("source_kind") == PRODUCTION_SOURCE) & (F.count("source_kind") == F.count("*")), F.lit(False)).alias("from_production"))
+    gain, kept, least = (lambda c, by=0.0: F.col(f"c_{c}") >= F.col(f"b_{c}") + by), (lambda c: F.col(f"c_{c}") >= F.col(f"b_{c}")), (lambda c, x: F.col(f"c_{c}") >= x)
+    gates_ = [
+        ("validation_f1_improvement", "validation_f1", gain("validation_f1", F1_GAIN)), ("high_risk_recall_non_regression", "high_risk_recall", kept("high_risk_recall")), ("clean_accuracy_non_regression", "clean_accuracy", kept("clean_accuracy")),
+        ("holdout_f1_non_regression", "holdout_f1", kept("holdout_f1")), ("execution_success", "execution_success_rate", least("execution_success_rate", EXECUTION_LEAST)), ("safe_fix_rate", "safe_fix_rate", least("safe_fix_rate", SAFE_FIX_LEAST)),
+        ("e2e_security_fix_rate", "e2e_security_fix_rate", least("e2e_security_fix_rate", END_TO_END_LEAST)),
+    ]
+    rows = [F.struct(F.lit(g).alias("gate"), (F.col(f"c_{c}") - F.col(f"b_{c}")).alias("delta"), F.coalesce(ok, F.lit(False)).alias("passed")) for g, c, ok in gates_]
+    rows.append(F.struct(F.lit("production_data_provenance").alias("gate"), F.lit(None).cast("double").alias("delta"), F.col("from_production").alias("passed")))
+    made = pair.join(kinds, F.lit(True)).select(F.array(*rows).alias("g"))
+    return made.withColumn("released", F.forall("g", lambda x: x["passed"])).select(F.explode("g").alias("x"), "released").select("x.*", "released")
+
+
+def pair_scores(revisions: DataFrame) -> DataFrame:
+    """Rates over pairs and gaps of an evaluation, null for an empty denominator: a case counts as a pair only if no revision of it is degraded.
+
+    Revisions: case_id, counted, correct, gaps, calls, reply_bytes. Gaps are shares of counted revisions; means are over all revisions.
+    """
+    cases = revisions.groupBy("case_id").agg(F.bool_and("counted").alias("eligible"), F.bool_and("correct").alias("correct"))
+    pairs = cases.agg(F.count_if("eligible").alias("pairs"), ratio(F.count_if(F.col("eligible") & F.col("correct")), F.count_if("eligible"), None).alias("paired_accuracy"))
+    n = F.count("*")
+    whole = revisions.agg(
+        n.alias("revisions"), F.count_if("counted").alias("counted_revisions"), ratio(F.count_if(F.col("counted") & (F.col("gaps") > 0)), F.count_if("counted"), None).alias("gap_rate"), ratio(F.sum("calls"), n, None).alias("mean_calls"),
+        ratio(F.sum("reply_bytes"), n, None).alias("mean_reply_bytes"),
+    )
+    return whole.join(pairs, F.lit(True))
+
+
+def loop_scores(revisions: DataFrame, rounds: int = ROUND_BUDGET) -> DataFrame:
+    """Rates of an experiment loop: revisable cases whose vulnerable revision is hit within ``rounds``, cases without security import that give no finding on either side, and stable ones of the revisions that are hit at all.
+
+    Revisions: case_id, revision, kind, non_security, findings, first_hit_round, stable.
+    """
+    hit = F.coalesce((F.col("revision") == "vulnerable") & (F.col("first_hit_round") <= rounds), F.lit(False))
+    cases = revisions.groupBy("case_id").agg(F.max("kind").alias("kind"), F.bool_or("non_security").alias("other"), F.bool_or(hit).alias("converged"), (F.sum("findings") == 0).alias("silent"))
+    revisable = F.col("kind") == "revisable"
+    of_cases = cases.agg(ratio(F.count_if(revisable & F.col("converged")), F.count_if(revisable), None).alias("convergence_rate"), ratio(F.count_if(F.col("other") & F.col("silent")), F.count_if("other"), None).alias("filter_rate"))
+    found = F.col("first_hit_round").isNotNull()
+    return of_cases.join(revisions.agg(ratio(F.count_if(found & F.coalesce("stable", F.lit(False))), F.count_if(found), None).alias("stability_rate")), F.lit(True))
+
+
 def funnel(stages: DataFrame) -> DataFrame:
     """Stages (position, n) with the floored basis points that each keeps of the one before."""
     from pyspark.sql.window import Window

@@ -177,3 +177,43 @@ def regression_gate(t):
 def basis_point_shares(t):
     rows = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).groupBy(F.col("n_regionkey").cast("long").alias("region")).agg(F.count_if(F.col("c_acctbal") > 0).alias("a"), F.count("*").alias("b"))
     return rows.select("region", digests.basis_points(F.col("a"), F.col("b")).alias("floor_bp"), digests.basis_points_up(F.col("a"), F.col("b")).alias("ceil_bp"))
+
+
+_GATED = ["validation_f1", "holdout_f1", "high_risk_recall", "clean_accuracy", "execution_success_rate", "safe_fix_rate", "e2e_security_fix_rate"]
+
+
+@query("""
+WITH m AS (SELECT i, avg(CASE WHEN user_id % 2 = 0 AND event_id % (i + 2) > 0 THEN 1.0 WHEN user_id % 2 = 0 THEN 0.0 END) AS b, avg(CASE WHEN user_id % 2 = 1 AND (event_id % (i + 2) > 0 OR i > 3) THEN 1.0 WHEN user_id % 2 = 1 THEN 0.0 END) AS c FROM events, unnest(range(7)) u(i) GROUP BY i),
+g AS (SELECT (['validation_f1_improvement', 'holdout_f1_non_regression', 'high_risk_recall_non_regression', 'clean_accuracy_non_regression', 'execution_success', 'safe_fix_rate', 'e2e_security_fix_rate'])[(i + 1)::INT] AS gate, c - b AS delta,
+ CASE i WHEN 0 THEN c >= b + 0.02 WHEN 4 THEN c >= 0.98 WHEN 5 THEN c >= 0.75 WHEN 6 THEN c >= 0.6 ELSE c >= b END AS passed FROM m UNION ALL SELECT 'production_data_provenance', NULL, bool_and(event_type <> 'none') FROM events)
+SELECT *, (SELECT bool_and(passed) FROM g) AS released FROM g""")
+def release_gates(t):
+    """Gates between two halves of the events as baseline and candidate, all of whose cases come from where production needs."""
+    rows = t("events").withColumn("half", F.col("user_id") % 2)
+    rate = lambda half, i: F.avg(F.when(F.col("half") == half, ((F.col("event_id") % (i + 2) > 0) | F.lit(half == 1 and i > 3)).cast("double"))).alias(_GATED[i])
+    sides = [rows.agg(*[rate(half, i) for i in range(7)]) for half in (0, 1)]
+    return metrics.release_gates(*sides, rows.select(F.when(F.col("event_type") != "none", "public-github-pr").alias("source_kind")))
+
+
+@query("""
+WITH r AS (SELECT user_id // 2 AS case_id, event_id % 13 <> 0 AS counted, event_id % 5 > 0 AS correct, CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END AS gaps, event_id % 4 AS calls, length(props) AS bytes FROM events), p AS (SELECT bool_and(counted) AS e, bool_and(correct) AS c FROM r GROUP BY case_id)
+SELECT count(*) AS revisions, count(*) FILTER (WHERE counted) AS counted_revisions, count(*) FILTER (WHERE counted AND gaps > 0) / nullif(count(*) FILTER (WHERE counted), 0) AS gap_rate, sum(calls) / count(*) AS mean_calls, sum(bytes) / count(*) AS mean_reply_bytes,
+ (SELECT count(*) FILTER (WHERE e) FROM p) AS pairs, (SELECT count(*) FILTER (WHERE e AND c) / nullif(count(*) FILTER (WHERE e), 0) FROM p) AS paired_accuracy FROM r""")
+def pair_scores(t):
+    i = F.col("event_id")
+    rows = t("events").select(F.floor(F.col("user_id") / 2).alias("case_id"), (i % 13 != 0).alias("counted"), (i % 5 > 0).alias("correct"), (i % 3 == 0).cast("int").alias("gaps"), (i % 4).alias("calls"), F.length("props").alias("reply_bytes"))
+    return metrics.pair_scores(rows)
+
+
+@query("""
+WITH r AS (SELECT user_id AS case_id, event_id % 2 = 0 AS v, user_id % 3 = 0 AS revisable, user_id % 4 = 0 AS other, CASE WHEN user_id % 8 = 0 THEN 0 ELSE event_id % 5 END AS findings, CASE WHEN event_id % 7 > 3 THEN event_id % 7 - 3 + user_id % 2 END AS hit, event_id % 11 > 0 AS stable FROM events),
+c AS (SELECT bool_or(revisable) AS revisable, bool_or(other) AS other, bool_or(coalesce(v AND hit <= 2, false)) AS converged, sum(findings) = 0 AS silent FROM r GROUP BY case_id)
+SELECT (SELECT count(*) FILTER (WHERE revisable AND converged) / nullif(count(*) FILTER (WHERE revisable), 0) FROM c) AS convergence_rate, (SELECT count(*) FILTER (WHERE other AND silent) / nullif(count(*) FILTER (WHERE other), 0) FROM c) AS filter_rate,
+ count(*) FILTER (WHERE hit IS NOT NULL AND stable) / nullif(count(*) FILTER (WHERE hit IS NOT NULL), 0) AS stability_rate FROM r""")
+def loop_scores(t):
+    i, u = F.col("event_id"), F.col("user_id")
+    rows = t("events").select(
+        u.alias("case_id"), F.when(i % 2 == 0, "vulnerable").otherwise("fixed").alias("revision"), F.when(u % 3 == 0, "revisable").otherwise("plain").alias("kind"), (u % 4 == 0).alias("non_security"),
+        F.when(u % 8 == 0, 0).otherwise(i % 5).alias("findings"), F.when(i % 7 > 3, i % 7 - 3 + u % 2).alias("first_hit_round"), (i % 11 > 0).alias("stable"),
+    )
+    return metrics.loop_scores(rows, 2)
