@@ -168,6 +168,11 @@ def attack_surface(found: DataFrame) -> DataFrame:
     return entry.unionByName(source).unionByName(sink).unionByName(loose).distinct()
 
 
+def trust_boundaries(surface: DataFrame) -> DataFrame:
+    """(path): files through which outside data comes in, by an entry point or a source."""
+    return surface.where(F.col("kind").isin("entrypoint", "source")).select("path").distinct()
+
+
 def tainted_sinks(found: DataFrame, rounds: int = 16) -> DataFrame:
     """(path, line, sink, cwe, origin): sinks whose first argument outside data reaches through assignments, calls and returns of a file.
 

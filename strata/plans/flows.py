@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strata.operators import code_search, dataflow, graph, history
+from strata.operators import code_search, dataflow, graph, history, python_facts
 from strata.plans import proofs, scans
 from strata.plans.catalog import query
-from strata.sources import diffs
 from strata.streaming import timers
 
 
@@ -145,3 +144,19 @@ def lapsed_leases(t):
     log = log.groupBy("message_id", "at").agg(F.max("owner").alias("owner"), F.bool_or("ack").alias("ack")).withColumn("kind", F.when(F.col("ack"), "ack").otherwise("heartbeat"))
     now = log.agg(F.max("at")).first()[0]
     return timers.reclaims(log, 7_200_000, now)
+
+
+@query("""
+WITH d AS (SELECT 'm' || doc_id || '.py' AS path, doc_id % 4 AS form, CAST(doc_id % 3 AS INTEGER) AS gap FROM documents), r AS (
+SELECT path, 2 + gap AS line, 'entrypoint' AS kind, 'view' AS name FROM d WHERE form = 0 UNION ALL SELECT path, 3 + gap, 'sink', 'eval' FROM d WHERE form = 0 UNION ALL SELECT path, 2 + gap, 'source', 'input' FROM d WHERE form = 1 UNION ALL
+SELECT path, 2 + gap, 'sink', 'os.system' FROM d WHERE form = 2)
+SELECT * FROM r UNION ALL SELECT DISTINCT path, NULL, 'boundary', '' FROM r WHERE kind IN ('entrypoint', 'source')""")
+def attack_surface(t):
+    """Entry points, sources, sinks and the files through which outside data comes in; plain calls of known names are none."""
+    form, gap = F.col("doc_id") % 4, F.repeat(F.lit("\n"), (F.col("doc_id") % 3).cast("int"))
+    body = F.when(form == 0, "@app.get('/x')\ndef view(q):\n    eval(q)\n").when(form == 1, "x = input()\n").when(form == 2, "os.system('ls')\n").otherwise("y = 1\n")
+    head = F.when(form == 0, "").otherwise("import os\n")
+    files = t("documents").select(F.concat(F.lit("m"), F.col("doc_id").cast("string"), F.lit(".py")).alias("path"), F.concat(head, gap, body).alias("text"))
+    surface = graph.cut(python_facts.attack_surface(python_facts.facts(files)).where("kind <> 'unresolved'"))
+    edges = python_facts.trust_boundaries(surface).select("path", F.lit(None).cast("int").alias("line"), F.lit("boundary").alias("kind"), F.lit("").alias("name"))
+    return surface.select("path", "line", "kind", "name").unionByName(edges)
