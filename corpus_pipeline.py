@@ -2,6 +2,12 @@
 
 Toxic rows go, one row of each class of near duplicates stays, rows with benchmark
 passages go, personal data is replaced by its kind, and what remains is packed.
+
+Defined results: null and empty texts count as equal texts, of which the second stage
+keeps one row, and have nothing else to reject or replace; of repeated rows it keeps one,
+too. Texts are read whole, however long. Ties, in a class of duplicates, go to the least
+doc_id, nulls last; a score on the cut is rejected. Further columns pass to the next stage
+untouched, whatever their names. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -42,7 +48,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", pack_sequences),
 ]
 
-#: The learned stages have no SQL form; tests hold each stage against a plain version of it.
+#: The learned stages have no SQL form; tests compare the whole run with its operators applied one by one, and each operator with plain versions.
 ORACLE_SQL = None
 
 
