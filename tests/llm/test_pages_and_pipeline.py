@@ -135,8 +135,9 @@ def test_queries_with_sql(spark, sf_dir):
     import duckdb
 
     con = duckdb.connect()
-    path = f"{sf_dir}/documents.parquet"
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{path + '/*.parquet' if os.path.isdir(path) else path}')")
+    for t in ("documents", "embeddings"):
+        path = f"{sf_dir}/{t}.parquet"
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{path + '/*.parquet' if os.path.isdir(path) else path}')")
     for name, sql in registry.oracle_sql().items():
         got = registry.queries()[name](spark, sf_dir)
         columns = sorted(got.columns)
