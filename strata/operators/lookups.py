@@ -41,9 +41,13 @@ def conflicting_fields(values: DataFrame) -> DataFrame:
     return values.groupBy("entity", "field").agg(F.count_distinct(comparable(F.col("value"))).alias("n")).where("n > 1")
 
 
-def projected_fields(values: DataFrame, wanted: DataFrame, priority: str = "priority") -> DataFrame:
-    """Each wanted (entity, field) with the value of its first document, all pointers to it, and a reason where there is none."""
-    first = values.groupBy("entity", "field").agg(F.min_by("value", F.struct(priority, "pointer")).alias("value"), F.transform(F.sort_array(F.collect_list(F.struct(priority, "pointer"))), lambda x: x["pointer"]).alias("sources"))
+def projected_fields(values: DataFrame, wanted: DataFrame, priority: str = "priority", tie: str | None = None) -> DataFrame:
+    """Each wanted (entity, field) with the value of its first document, all pointers to it, and a reason where there is none.
+
+    ``tie`` is a column that tells rows of one priority and pointer apart: the least one's value counts.
+    """
+    order = F.struct(priority, "pointer", *([tie] if tie else []))
+    first = values.groupBy("entity", "field").agg(F.min_by("value", order).alias("value"), F.transform(F.sort_array(F.collect_list(F.struct(priority, "pointer"))), lambda x: x["pointer"]).alias("sources"))
     out = wanted.join(first, ["entity", "field"], "left")
     return out.withColumn("sources", F.coalesce("sources", F.array().cast("array<string>"))).withColumn("note", F.when(F.size("sources") == 0, "not stated").when(F.col("value") == "null", "stated as null"))
 

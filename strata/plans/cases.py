@@ -127,13 +127,13 @@ w AS (SELECT p_partkey AS entity, unnest(['size', 'name', 'color']) AS field FRO
 g AS (SELECT entity, field, arg_min(value, (priority, pointer)) AS value, string_agg(pointer, ' ' ORDER BY priority, pointer) AS sources FROM v GROUP BY ALL)
 SELECT w.entity, w.field, g.value, coalesce(g.sources, '') AS sources, CASE WHEN g.entity IS NULL THEN 'not stated' WHEN g.value = 'null' THEN 'stated as null' END AS note FROM w LEFT JOIN g ON w.entity = g.entity AND w.field = g.field""")
 def projected_fields(t):
-    """Fields of parts as the first line that states them does, with all that do, and why others have none."""
+    """Fields of parts as the first line that states them does (of lines with one number, the first in the table), with all that do, and why others have none."""
     l = t("lineitem").select(
         F.col("l_partkey").alias("entity"), F.when(F.col("l_linenumber") % 2 == 0, "size").otherwise("name").alias("field"), F.when(F.col("l_returnflag") == "N", "null").otherwise(F.col("l_suppkey").cast("string")).alias("value"), F.col("l_orderkey").alias("priority"),
-        F.concat_ws("-", "l_orderkey", "l_linenumber").alias("pointer"),
+        F.concat_ws("-", "l_orderkey", "l_linenumber").alias("pointer"), F.struct("_metadata.file_path", "_metadata.row_index").alias("nth"),
     )
     wanted = t("part").select(F.col("p_partkey").alias("entity"), F.explode(F.lit(["size", "name", "color"])).alias("field"))
-    return lookups.projected_fields(l, wanted).select("entity", "field", "value", F.array_join("sources", " ").alias("sources"), "note")
+    return lookups.projected_fields(l, wanted, tie="nth").select("entity", "field", "value", F.array_join("sources", " ").alias("sources"), "note")
 
 
 @query(f"""

@@ -33,6 +33,13 @@ def test_agreement(spark):
     assert got == {"n": ("1", ["p1", "p2"], None), "s": ('"x"', ["p2"], None), "m": (None, [], "not stated"), "u": ("null", ["p1"], "stated as null")}
 
 
+def test_rows_of_one_pointer(spark):
+    df = spark.createDataFrame([("e", "f", "p", str(v), 1, nth) for nth, v in ((3, 1), (1, 9), (2, 5))] + [("e", "f", "p0", "7", 2, 0)], "entity string, field string, pointer string, value string, priority int, nth int")
+    wanted = spark.createDataFrame([("e", "f")], "entity string, field string")
+    for rows in (df, df.orderBy("nth"), df.orderBy(F.desc("nth"))):
+        assert lookups.projected_fields(rows.coalesce(1), wanted, tie="nth").first()["value"] == "9"
+
+
 def test_clipping(spark):
     rng = random.Random(1)
     texts = ["".join(rng.choice("aé漢𝔘") for _ in range(12)) for _ in range(40)] + ["", None]
