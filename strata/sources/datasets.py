@@ -80,15 +80,19 @@ def read_semgrep(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_facts(spark: SparkSession, path: str, most: int = 1_000_000) -> DataFrame:
-    """Facts of a bundle; ids must be unique 64-digit digests of known kinds, related ids must exist, and there are at most ``most``."""
+    """Facts of a bundle; ids must be unique 64-digit digests of known kinds, related ids must exist, and there are at most ``most``.
+
+    Where the facts lie in folders by ``bundle``, all this holds for each bundle by itself.
+    """
     return checked_facts(spark.read.schema(FACTS).option("mode", "FAILFAST").json(path), most)
 
 
 def checked_facts(df: DataFrame, most: int = 1_000_000) -> DataFrame:
-    repeated = df.groupBy("fact_id").count().where("count > 1").select("fact_id")
+    bundle = ["bundle"] if "bundle" in df.columns else []
+    repeated = df.groupBy(*bundle, "fact_id").count().where("count > 1").select("fact_id")
     wrong = df.where(~F.coalesce(F.col("fact_id").rlike("^[0-9a-f]{64}$") & F.col("kind").isin(*FACT_KINDS), F.lit(False))).select("fact_id")
-    related = df.select(F.explode("related_fact_ids").alias("fact_id")).distinct().join(df.select("fact_id"), "fact_id", "left_anti")
-    over = df.agg(F.count("*").alias("n")).where(F.col("n") > most).select(F.lit("budget").alias("fact_id"))
+    related = df.select(*bundle, F.explode("related_fact_ids").alias("fact_id")).distinct().join(df.select(*bundle, "fact_id"), [*bundle, "fact_id"], "left_anti").select("fact_id")
+    over = df.groupBy(*bundle).agg(F.count("*").alias("n")).where(F.col("n") > most).select(F.lit("budget").alias("fact_id"))
     return _checked(df, repeated.unionByName(wrong).unionByName(related).unionByName(over), "invalid fact bundle")
 
 

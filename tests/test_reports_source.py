@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
-from strata.sources import reports
+from strata.sources import datasets, reports
 
 
 def semgrep(**change):
@@ -52,3 +53,17 @@ def test_batches_and_pushed_filters(spark, tmp_path):
     assert "isnotnull(tool" in plan and "StartsWith" not in plan and "= bandit" not in plan  # both are left to the source
     assert every.where("tool in ('semgrep', 'none') and path like 'd2/%'").count() == 76
     assert every.where("tool = 'none'").count() == 0
+
+
+def test_fact_budget_of_each_bundle(spark, tmp_path):
+    rows = spark.range(6).select((F.col("id") % 3).alias("bundle"), F.sha2(F.col("id").cast("string"), 256).alias("fact_id"), F.lit("allocation").alias("kind"), F.array().cast("array<string>").alias("related_fact_ids"))
+    rows.write.partitionBy("bundle").json(f"{tmp_path}/facts")
+    assert datasets.read_facts(spark, f"{tmp_path}/facts", most=2).count() == 6
+    with pytest.raises(Exception, match="invalid fact bundle"):
+        datasets.read_facts(spark, f"{tmp_path}/facts", most=1).collect()
+    rows.where("bundle = 0").withColumn("bundle", F.lit(1)).write.mode("append").partitionBy("bundle").json(f"{tmp_path}/facts")
+    assert datasets.read_facts(spark, f"{tmp_path}/facts", most=4).count() == 8  # one id in two bundles is no repeat
+    other = rows.where("bundle = 0").select(F.lit(2).alias("bundle"), F.sha2(F.concat(F.lit("x"), "fact_id"), 256).alias("fact_id"), "kind", F.array("fact_id").alias("related_fact_ids"))
+    other.write.mode("append").partitionBy("bundle").json(f"{tmp_path}/facts")
+    with pytest.raises(Exception, match="invalid fact bundle"):  # the named facts lie in other bundles
+        datasets.read_facts(spark, f"{tmp_path}/facts").collect()
