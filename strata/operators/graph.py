@@ -49,6 +49,28 @@ def reach(starts: DataFrame, edges: DataFrame, scope: list[str], allowed: Column
     raise ValueError(f"reachability needs more than {rounds} rounds")
 
 
+def reach_since(starts: DataFrame, edges: DataFrame, scope: list[str], rounds: int = 64) -> DataFrame:
+    """(scope..., root, node, since): the nodes that roots reach, and the least line by which all edges of some way are made; null at the root itself.
+
+    Starts are (scope..., root, latest), one row a root; edges (scope..., src, dst, edge_line) after ``latest`` don't count. A root's
+    states are its nodes, however many lines ask for them. A round writes what it improves, so little is written twice.
+    """
+    key = [*scope, "root", "node"]
+    hops = edges.select(*scope, F.col("src").alias("node"), "dst", "edge_line").where("edge_line is not null")
+    frontier = cut(starts.select(*scope, "root", F.col("root").alias("node"), F.lit(None).cast("int").alias("since"), "latest"))
+    found = frontier
+    for _ in range(rounds):
+        step = frontier.join(hops, [*scope, "node"]).where(F.col("edge_line") <= F.col("latest"))
+        step = step.groupBy(*scope, "root", F.col("dst").alias("node")).agg(F.min(F.greatest("since", "edge_line")).cast("int").alias("since"), F.first("latest").alias("latest"))
+        best = found.groupBy(*key).agg(F.min(F.coalesce("since", F.lit(-(2**31)))).alias("_best"))
+        frontier = cut(step.join(best, key, "left").where(F.col("_best").isNull() | (F.col("since") < F.col("_best"))).drop("_best"))
+        if frontier.isEmpty():
+            least = F.min(F.coalesce("since", F.lit(-(2**31))))
+            return found.groupBy(*key).agg(F.nullif(least, F.lit(-(2**31))).alias("since"))
+        found = found.unionByName(frontier)
+    raise ValueError(f"reachability needs more than {rounds} rounds")
+
+
 def reach_back(starts: DataFrame, edges: DataFrame, scope: list[str], allowed: Column | None = None, rounds: int = 64) -> DataFrame:
     """As ``reach``, with ``parent`` and ``edge``: the node and the edge (column ``edge`` of ``edges``) by which each node is first reached, null at a start."""
     state = [c for c in starts.columns if c != "node"]
@@ -96,19 +118,22 @@ def graph_complete(facts: DataFrame) -> DataFrame:
 def candidates(facts: DataFrame) -> DataFrame:
     """Use-after-release candidates: an allocation, a release that names it, and a later use of the same pointer or of one it reaches.
 
-    An alias edge counts only if it isn't assigned after the use; states are keyed by unit, function, root and use line.
+    An alias edge counts only if it isn't assigned after the use; states are keyed by unit, function and root.
     """
     rng = F.col("source_range")
     alloc = facts.where("kind = 'allocation'").select("translation_unit", "function_usr", "canonical_path", F.col("fact_id").alias("allocation_fact_id"), F.col("pointer_id").alias("root"), "api", rng.alias("allocation_range"))
     release = facts.where("kind = 'release'").select("translation_unit", F.col("fact_id").alias("release_fact_id"), rng.alias("release_range"), F.explode("related_fact_ids").alias("allocation_fact_id"))
     use = facts.where(F.col("kind").isin(*USE_KINDS)).select("translation_unit", "function_usr", F.col("fact_id").alias("use_fact_id"), F.col("pointer_id").alias("target"), rng.alias("use_range"))
-    pairs = alloc.join(release.distinct(), ["translation_unit", "allocation_fact_id"]).join(use, ["translation_unit", "function_usr"]).where(F.col("use_range") > F.col("release_range"))
-    pairs = pairs.withColumn("use_line", F.col("use_range.start"))
-    starts = pairs.where("root <> target").select("translation_unit", "function_usr", "root", "use_line", F.col("root").alias("node"))
-    reached = reach(starts, alias_edges(facts).drop("fact_id"), ["translation_unit", "function_usr"], F.col("edge_line") <= F.col("use_line"))
-    through = pairs.where("root <> target").join(reached.withColumnRenamed("node", "target"), ["translation_unit", "function_usr", "root", "use_line", "target"], "left_semi")
+    scope = ["translation_unit", "function_usr"]
+    freed = alloc.join(release.distinct(), ["translation_unit", "allocation_fact_id"])
+    # A function may hold many objects: roots meet their uses by what they reach, never each use of the function.
+    latest = use.groupBy(*scope).agg(F.max("use_range.start").alias("latest"))
+    starts = freed.select(*scope, "root").distinct().join(latest, scope)
+    reached = reach_since(starts, alias_edges(facts).drop("fact_id"), scope).withColumnRenamed("node", "target")
+    pairs = freed.join(reached, [*scope, "root"]).join(use, [*scope, "target"])
+    both = pairs.where((F.col("use_range") > F.col("release_range")) & (F.col("since").isNull() | (F.col("since") <= F.col("use_range.start"))))
     columns = ["canonical_path", "function_usr", "translation_unit", "allocation_fact_id", "release_fact_id", "use_fact_id", "release_range", "use_range", "root", "target"]
-    both = pairs.where("root = target").select(*columns).unionByName(through.select(*columns))
+    both = both.select(*columns)
     return both.withColumn("candidate_id", F.sha2(F.concat_ws("|", "canonical_path", "function_usr", "allocation_fact_id", "release_fact_id", "use_fact_id"), 256))
 
 
@@ -162,11 +187,16 @@ def obligations(found: DataFrame, facts: DataFrame, complete: DataFrame, coverag
     scope = ["candidate_id", "translation_unit", "function_usr", "root"]
     asked = found.join(fact("release_fact_id", pointer="pointer_id"), [*unit, "release_fact_id"]).select(*scope, "pointer", F.col("release_range.start").alias("line"), F.lit("release").alias("what"))
     moves = facts.where(F.col("kind").isin("rebind", "lifetime-restart")).select("translation_unit", "function_usr", F.col("kind").alias("m_kind"), F.col("pointer_id").alias("m_pointer"), F.col("source_pointer_id").alias("m_source"), F.col("source_range.start").alias("m_line"))
-    inside = found.join(moves, ["translation_unit", "function_usr"]).where((F.col("m_line") > F.col("release_range.start")) & (F.col("m_line") <= F.col("use_range.start")))
-    rebinds = inside.where((F.col("m_kind") == "rebind") & (F.col("m_pointer") == F.col("target"))).select(*scope, F.coalesce("m_source", F.lit("")).alias("pointer"), F.col("m_line").alias("line"), F.lit("rebind").alias("what"))
+
+    def inside(kind: str, pointer: str) -> DataFrame:
+        """Candidates with the facts of a kind on one of their pointers between release and use."""
+        own = moves.where(F.col("m_kind") == kind).withColumnRenamed("m_pointer", pointer)
+        return found.join(own, ["translation_unit", "function_usr", pointer]).where((F.col("m_line") > F.col("release_range.start")) & (F.col("m_line") <= F.col("use_range.start")))
+
+    rebinds = inside("rebind", "target").select(*scope, F.coalesce("m_source", F.lit("")).alias("pointer"), F.col("m_line").alias("line"), F.lit("rebind").alias("what"))
     answers = bound(asked.unionByName(rebinds), facts).groupBy("candidate_id").agg(F.count_if(F.col("what") == "release").alias("n_release"), F.count_if(F.col("what") == "rebind").alias("n_kept"))
     moved = rebinds.groupBy("candidate_id").agg(F.count("*").alias("n_rebinds"))
-    renewed = inside.where((F.col("m_kind") == "lifetime-restart") & (F.col("m_pointer") == F.col("root"))).select("candidate_id", F.lit(True).alias("renewed")).distinct()
+    renewed = inside("lifetime-restart", "root").select("candidate_id", F.lit(True).alias("renewed")).distinct()
     for side in (answers, moved, renewed):
         rows = rows.join(side, "candidate_id", "left")
 
