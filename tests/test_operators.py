@@ -219,6 +219,18 @@ def test_symbols_and_corroboration(spark):
     assert rows(joins.bind_corroboration(cand, found, runs), "candidate_id", "corroborated", "conflict") == [("c1", True, False), ("c2", False, True), ("c3", False, True)]
 
 
+def test_alike_candidates_meet_alike_findings_once(spark):
+    """Twenty thousand alike candidates and findings of a place would be 400 million pairs. Nulls and lines are told apart where they count."""
+    cand = spark.range(20_000).select(F.concat(F.lit("c"), "id").alias("candidate_id"), F.lit("p").alias("path"), F.when(F.col("id") % 2 == 0, " g ").alias("symbol"), F.when(F.col("id") % 2 == 1, F.lit(7) + 10 * (F.col("id") % 3)).cast("int").alias("line"), F.when(F.col("id") % 5 > 0, "CWE-1").alias("cwe"))
+    found = spark.range(20_000).select(F.lit("p").alias("path"), F.when(F.col("id") % 2 == 0, "N::g").alias("symbol"), F.lit(9).alias("line"), F.lit("CWE-1").alias("cwe"), F.lit("asan").alias("tool"), F.lit("r1").alias("run_id"))
+    runs = spark.createDataFrame([("r1", "asan", "completed")], "run_id string, tool string, status string")
+    got = joins.bind_corroboration(cand, found, runs).groupBy((F.substring("candidate_id", 2, 9).cast("long") % 30).alias("k")).agg(F.collect_set(F.struct("corroborated", "conflict", "run_ids")).alias("x"), F.count("*").alias("n")).collect()
+    for r in got:
+        near, known = r["k"] % 2 == 0 or r["k"] % 3 == 0, r["k"] % 5 > 0
+        assert [tuple(x) for x in r["x"]] == [(near and known, near and not known, ["r1"] if near and known else [])]
+    assert sum(r["n"] for r in got) == 20_000
+
+
 def test_scalars_follow_python(spark):
     keys = spark.createDataFrame([("v",)], "v string")
     import hashlib
