@@ -6,6 +6,8 @@ that a wide key doesn't meet all of its rows in one task.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -126,17 +128,29 @@ def hierarchy_semi(found: DataFrame, expected: DataFrame) -> DataFrame:
 def related_members(items: DataFrame, top: int = 4) -> DataFrame:
     """For each item its ``top`` relatives of the same category: same file and a call either way, or same class and a shared identifier.
 
-    Items have id, category, path, cls, calls and identifiers. Relatives meet by file and by class, never by category alone.
+    Items have a unique id, category, path, cls, name, calls, identifiers, score and line. Each way to be related is an equality of
+    keys, and of the items of a key only the first ``top`` and one more can count, so large files and classes don't multiply.
     """
-    a = items.select(*[F.col(c).alias(f"a_{c}") for c in items.columns])
-    b = items.select(*[F.col(c).alias(f"b_{c}") for c in items.columns])
-    name = lambda x: F.col(f"{x}_name")
-    same = (F.col("a_category") == F.col("b_category")) & (F.col("a_id") != F.col("b_id"))
-    by_call = a.join(b, same & (F.col("a_path") == F.col("b_path"))).where(F.array_contains("a_calls", name("b")) | F.array_contains("b_calls", name("a")))
-    by_class = a.where("a_cls <> ''").join(b, same & (F.col("a_cls") == F.col("b_cls"))).where(F.arrays_overlap("a_identifiers", "b_identifiers"))
-    pairs = by_call.unionByName(by_class).select("a_id", "b_id", "b_score", "b_path", "b_line").distinct()
-    rank = Window.partitionBy("a_id").orderBy(F.desc("b_score"), "b_path", "b_line", "b_id")
-    return pairs.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= top).select("a_id", "b_id", "rank")
+    order = [F.desc("score"), F.asc("path"), F.asc("line"), F.asc("id")]
+    ways = [  # the key of the item that asks, and of its relatives
+        ("path", F.explode(F.array_distinct("calls")), F.col("name"), items), ("path", F.col("name"), F.explode(F.array_distinct("calls")), items),
+        ("cls", F.explode(F.array_distinct("identifiers")), F.explode(F.array_distinct("identifiers")), items.where("cls <> ''")),
+    ]
+    asks, found = [], []
+    for n, (place, wanted, offered, rows) in enumerate(ways):
+        group = [F.lit(n).alias("_way"), F.col("category").alias("_category"), F.col(place).alias("_place")]
+        asks.append(rows.select(F.col("id").alias("a_id"), *group, wanted.alias("_key")))
+        found.append(rows.select("id", "score", "path", "line", *group, offered.alias("_key")))
+    return _first_others(asks, found, ["_way", "_category", "_place", "_key"], order, top)
+
+
+def _first_others(asks: list[DataFrame], found: list[DataFrame], keys: list[str], order: list[Column], top: int) -> DataFrame:
+    """(a_id, b_id, rank): of all items found under an asking item's keys the first ``top`` others. Ids are unique."""
+    every = reduce(DataFrame.unionByName, found)
+    first = every.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_n") <= top + 1).drop("_n")
+    pairs = reduce(DataFrame.unionByName, asks).join(first, keys).where(F.col("a_id") != F.col("id")).drop(*keys).distinct()
+    rank = Window.partitionBy("a_id").orderBy(*order)
+    return pairs.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= top).select("a_id", F.col("id").alias("b_id"), "rank")
 
 
 def pipeline_neighbours(items: DataFrame, top: int = 4) -> DataFrame:
