@@ -157,9 +157,7 @@ def pipeline_neighbours(items: DataFrame, top: int = 4) -> DataFrame:
     """For each pipeline step its ``top`` fellow steps of the same path, class and category, by score and line. Items also have a boolean ``pipeline``."""
     steps = items.where("pipeline and cls <> ''")
     keys = ["path", "cls", "category"]
-    pairs = steps.select(*keys, F.col("id").alias("a_id")).join(steps.select(*keys, F.col("id").alias("b_id"), "score", "line"), keys).where("a_id <> b_id")
-    rank = Window.partitionBy("a_id").orderBy(F.desc("score"), "line", "b_id")
-    return pairs.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= top).select("a_id", "b_id", "rank")
+    return _first_others([steps.select(F.col("id").alias("a_id"), *keys)], [steps.select("id", *keys, "score", "line")], keys, [F.desc("score"), F.asc("line"), F.asc("id")], top)
 
 
 def strict_semi(found: DataFrame, targets: DataFrame) -> DataFrame:

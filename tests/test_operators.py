@@ -231,6 +231,29 @@ def test_alike_candidates_meet_alike_findings_once(spark):
     assert sum(r["n"] for r in got) == 20_000
 
 
+@pytest.mark.parametrize("n", [80, 20_000])
+def test_relatives(spark, n):
+    """As all pairs give them; with 20,000 items of one file and class, of which pairs would be 400 million."""
+    i = F.col("id")
+    few = n > 80
+    df = spark.range(n).select(
+        "id", F.lit("c").alias("category"), F.when(F.lit(few), "f").otherwise(F.concat(F.lit("f"), i % 3)).alias("path"), F.when(F.lit(few), "k").when(i % 5 > 0, F.concat(F.lit("k"), i % 2)).otherwise("").alias("cls"), F.concat(F.lit("n"), i % 7).alias("name"),
+        F.array(F.concat(F.lit("n"), (i * 3) % 7), F.concat(F.lit("n"), (i * 5 + 1) % 7)).alias("calls"), F.array(F.concat(F.lit("x"), i % 4), F.lit("y" if few else "z").substr(1, 1), F.concat(F.lit("w"), i % 11)).alias("identifiers"),
+        (i * 7 % 10).cast("double").alias("score"), (i % 6).alias("line"), (i % 3 > 0).alias("pipeline"),
+    )
+    related, fellows = joins.related_members(df).collect(), joins.pipeline_neighbours(df).collect()
+    if few:
+        assert (len(related), len(fellows)) == (4 * n, 4 * sum(k % 3 > 0 for k in range(n)))
+        return
+    items = df.collect()
+    def expected(alike, order):
+        return sorted((a["id"], b["id"], k + 1) for a in items for k, b in enumerate(sorted((b for b in items if b["id"] != a["id"] and alike(a, b)), key=order)[:4]))
+    kin = lambda a, b: (a["path"] == b["path"] and (b["name"] in a["calls"] or a["name"] in b["calls"])) or (a["cls"] != "" and a["cls"] == b["cls"] and set(a["identifiers"]) & set(b["identifiers"]))
+    assert sorted(tuple(r) for r in related) == expected(kin, lambda b: (-b["score"], b["path"], b["line"], b["id"]))
+    fellow = lambda a, b: a["pipeline"] and b["pipeline"] and a["cls"] != "" and (a["path"], a["cls"]) == (b["path"], b["cls"])
+    assert sorted(tuple(r) for r in fellows) == expected(fellow, lambda b: (-b["score"], b["line"], b["id"]))
+
+
 def test_scalars_follow_python(spark):
     keys = spark.createDataFrame([("v",)], "v string")
     import hashlib
