@@ -55,10 +55,34 @@ def uncovered_cases(expected: DataFrame, added: DataFrame) -> DataFrame:
 
 
 def first_covering(points: DataFrame, intervals: DataFrame, keys: list[str], point: str, start: str, end: str, seq: str) -> DataFrame:
-    """Of all intervals that cover a point, the one that comes first."""
-    pairs = range_join(points.withColumn("_point", F.monotonically_increasing_id()), intervals, keys, point, start, end)
-    first = Window.partitionBy("_point").orderBy(seq)
-    return pairs.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n", "_point", "distance")
+    """Of all intervals that cover a point, the one that comes first. Points and bounds are whole numbers, and ``seq`` has no ties.
+
+    An interval is cut into at most six cells of each size 1, 4, 16, ..., a point lies in one cell of each size. Of a cell only the
+    first interval is kept, so rows grow with points and intervals, never with their pairs.
+    """
+    whole = intervals.where(F.col(start) <= F.col(end))
+    longest = whole.agg(F.max(F.col(end) - F.col(start))).first()[0]
+    levels = 1
+    while 4 ** (levels - 1) <= (longest or 0):
+        levels += 1
+    cells = F.flatten(F.array(*[_cells(F.col(start), F.col(end) + 1, n, n == levels - 1) for n in range(levels)]))
+    own = [c for c in intervals.columns if c not in keys]
+    cut = whole.select(*keys, F.struct(*own).alias("_x"), F.col(seq).alias("_seq"), F.explode(cells).alias("_cell"))
+    first = cut.groupBy(*keys, "_cell").agg(F.min_by("_x", "_seq").alias("_x"), F.min("_seq").alias("_seq"))
+    at = points.select(*keys, F.col(point).alias("_at")).where("_at is not null").distinct()
+    placed = at.withColumn("_cell", F.explode(F.array(*[F.struct(F.lit(n).alias("level"), F.floor(F.col("_at") / 4**n).alias("n")) for n in range(levels)])))
+    best = placed.join(first, [*keys, "_cell"]).groupBy(*keys, "_at").agg(F.min_by("_x", "_seq").alias("_x"))
+    return points.join(best.withColumnRenamed("_at", point), [*keys, point]).select(*points.columns, *[F.col("_x")[c].alias(c) for c in own])
+
+
+def _cells(low: Column, high: Column, level: int, last: bool) -> Column:
+    """Cells of size 4^level inside [low, high) that no larger cell inside it holds; of the last level all."""
+    a, b = F.ceil(low / 4**level).cast("long"), F.floor(high / 4**level).cast("long")
+    up_a, up_b = F.ceil(low / 4 ** (level + 1)).cast("long") * 4, F.floor(high / 4 ** (level + 1)).cast("long") * 4
+    none = F.array().cast("array<bigint>")
+    span = lambda x, y: F.when(x < y, F.sequence(x, y - 1)).otherwise(none)
+    left = F.least(b, up_a)
+    return F.transform(span(a, b) if last else F.concat(span(a, left), span(F.greatest(up_b, left), b)), lambda n: F.struct(F.lit(level).alias("level"), n.alias("n")))
 
 
 def symbol_or_near(left: DataFrame, right: DataFrame, near: int = 3) -> DataFrame:
