@@ -49,6 +49,11 @@ def aligned(old: list[str], new: list[str]) -> list[tuple[int, int]]:
     return [(i, i) for i in range(first)] + middle[::-1] + [(len(new) - k, len(old) - k) for k in range(last, 0, -1)]
 
 
+def _large(side: DataFrame) -> DataFrame:
+    """A side that is sorted and merged, never broadcast: rows exploded from few are far more than Spark takes them for."""
+    return side.hint("merge")
+
+
 def parent_lines(commits: DataFrame, versions: DataFrame) -> DataFrame:
     """(repo, path, commit, line, parent, parent_line) of each line that a parent's version has, the first such parent's.
 
@@ -56,7 +61,7 @@ def parent_lines(commits: DataFrame, versions: DataFrame) -> DataFrame:
     """
     new = versions.select("repo", "path", "commit", F.col("text").alias("new"))
     old = versions.select("repo", "path", F.col("commit").alias("parent"), F.col("text").alias("old"))
-    pairs = commits.where("parent is not null").join(new, ["repo", "commit"]).join(old, ["repo", "path", "parent"])
+    pairs = commits.where("parent is not null").join(_large(new), ["repo", "commit"]).join(_large(old), ["repo", "path", "parent"])
     pairs = pairs.select("repo", "path", "commit", "parent", "nth", T.lines(F.col("old")).alias("old"), T.lines(F.col("new")).alias("new"))
     kinds = dict(pairs.dtypes)
     schema = f"repo {kinds['repo']}, path string, commit {kinds['commit']}, parent {kinds['parent']}, nth int, line int, parent_line int"
@@ -75,11 +80,11 @@ def introduced(commits: DataFrame, versions: DataFrame, rounds: int = 40) -> Dat
     key = ["repo", "path", "commit", "line"]
     lines = versions.select("repo", "path", "commit", F.posexplode(T.lines(F.col("text"))).alias("pos", "_"))
     lines = lines.select("repo", "path", "commit", (F.col("pos") + 1).alias("line"))
-    now = graph.cut(lines.join(parent_lines(commits, versions), key, "left").select(*key, F.col("parent").alias("to"), F.col("parent_line").alias("to_line")))
+    now = graph.cut(lines.join(_large(parent_lines(commits, versions)), key, "left").select(*key, F.col("parent").alias("to"), F.col("parent_line").alias("to_line")))
     for _ in range(rounds):
         moving = now.where("to is not null")
         onward = moving.select("repo", "path", F.col("commit").alias("to"), F.col("line").alias("to_line"), F.col("to").alias("next"), F.col("to_line").alias("next_line"))
-        now = graph.cut(now.join(onward, ["repo", "path", "to", "to_line"], "left").select(*key, F.coalesce("next", "to").alias("to"), F.coalesce("next_line", "to_line").alias("to_line"), F.col("next").isNotNull().alias("moved")))
+        now = graph.cut(now.join(_large(onward), ["repo", "path", "to", "to_line"], "left").select(*key, F.coalesce("next", "to").alias("to"), F.coalesce("next_line", "to_line").alias("to_line"), F.col("next").isNotNull().alias("moved")))
         if now.where("moved").isEmpty():
             return now.select(*key, F.coalesce("to", "commit").alias("introduced"), F.coalesce("to_line", "line").alias("at_line"))
         now = now.drop("moved")
@@ -94,8 +99,8 @@ def matches_glob(name: str, glob: str):
 def containing(commits: DataFrame, refs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(repo, commit, kind, name, tip): refs (repo, kind, name, tip) whose history has a wanted (repo, commit)."""
     starts = refs.select("repo", "tip", F.col("tip").alias("node")).distinct()
-    reached = graph.reach(starts, commits.where("parent is not null").select("repo", F.col("commit").alias("src"), F.col("parent").alias("dst")), ["repo"], rounds=10_000)
-    return reached.withColumnRenamed("node", "commit").join(wanted.select("repo", "commit").distinct(), ["repo", "commit"], "left_semi").join(refs, ["repo", "tip"]).select("repo", "commit", "kind", "name", "tip")
+    reached = graph.reach(starts, _large(commits.where("parent is not null").select("repo", F.col("commit").alias("src"), F.col("parent").alias("dst"))), ["repo"], rounds=10_000)
+    return reached.withColumnRenamed("node", "commit").join(_large(wanted.select("repo", "commit").distinct()), ["repo", "commit"], "left_semi").join(_large(refs), ["repo", "tip"]).select("repo", "commit", "kind", "name", "tip")
 
 
 def impact(asked: DataFrame, commits: DataFrame, versions: DataFrame, refs: DataFrame, times: DataFrame, glob: str = "v*") -> DataFrame:
@@ -103,12 +108,12 @@ def impact(asked: DataFrame, commits: DataFrame, versions: DataFrame, refs: Data
 
     Nothing is known of a line that isn't there, or was introduced before ``since``. Times are (repo, commit, time).
     """
-    came = asked.join(introduced(commits, versions), ["repo", "path", "commit", "line"], "left").join(times.select("repo", F.col("commit").alias("introduced"), "time"), ["repo", "introduced"], "left")
+    came = asked.join(_large(introduced(commits, versions)), ["repo", "path", "commit", "line"], "left").join(_large(times.select("repo", F.col("commit").alias("introduced"), "time")), ["repo", "introduced"], "left")
     came = graph.cut(came.withColumn("introduced", F.when(F.col("since").isNull() | (F.col("time") >= F.col("since")), F.col("introduced"))).drop("time"))
     in_refs = containing(commits, refs, came.select("repo", F.col("introduced").alias("commit"))).where((F.col("kind") == "branch") | matches_glob("name", glob))
     names = lambda kind: F.array_sort(F.collect_set(F.when(F.col("kind") == kind, F.col("name"))))
     has = in_refs.groupBy("repo", F.col("commit").alias("introduced")).agg(names("branch").alias("branches"), names("tag").alias("versions"), F.collect_set(F.when(F.col("kind") == "branch", F.col("tip"))).alias("tips"))
-    out = came.join(has, ["repo", "introduced"], "left")
+    out = came.join(_large(has), ["repo", "introduced"], "left")
     none = F.array().cast("array<string>")
     known = F.when(F.col("introduced").isNotNull(), F.array_sort(F.array_union(F.array("introduced"), F.coalesce("tips", F.array().cast(out.select("tips").schema[0].dataType))))).alias("known_commits")
     return out.select("repo", "path", "commit", "line", "introduced", F.coalesce("branches", none).alias("branches"), F.coalesce("versions", none).alias("versions"), known)

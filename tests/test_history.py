@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 
+from pyspark.sql import functions as F
+
 from strata.operators import graph, history
 
 
@@ -49,3 +51,13 @@ def test_witness_of_a_start_and_of_nothing(spark):
     reached = graph.reach_back(starts, edges, ["scope"])
     targets = spark.createDataFrame([("s", 1), ("s", 2), ("s", 3), ("s", 9)], "scope string, node int")
     assert {r["node"]: r["path"] for r in graph.witnesses(reached, targets).collect()} == {1: [], 2: ["a"], 3: ["d"]}
+
+
+def test_exploded_sides_are_not_broadcast(spark, tmp_path):
+    """Rows exploded from few count as few to Spark, so their sides are merged."""
+    spark.range(100).write.parquet(f"{tmp_path}/r")
+    versions = spark.read.parquet(f"{tmp_path}/r").select(F.col("id").alias("repo"), F.lit("a").alias("path"), F.explode(F.lit(["c1", "c2"])).alias("commit"), F.lit("x\ny").alias("text"))
+    commits = spark.read.parquet(f"{tmp_path}/r").select(F.col("id").alias("repo"), F.lit("c2").alias("commit"), F.lit("c1").alias("parent"), F.lit(0).alias("nth"))
+    found = history.parent_lines(commits, versions)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == 200
