@@ -7,6 +7,7 @@ distinct states, so cycles end by themselves and lineage stays short.
 from __future__ import annotations
 
 import tempfile
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +32,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt by a hash of keys to as many tasks as a shuffle has: for costly work on the rows of a table that is read in few splits."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def _grown(parts: list[DataFrame], more: DataFrame, most: int = 16) -> tuple[list[DataFrame], DataFrame]:
+    """Checkpoints with one more, and their union. Many are written as one, so that rows are not written anew in each round."""
+    whole = reduce(DataFrame.unionByName, [*parts, more])
+    if len(parts) < most:
+        return [*parts, more], whole
+    whole = cut(whole)
+    return [whole], whole
+
+
 def reach(starts: DataFrame, edges: DataFrame, scope: list[str], allowed: Column | None = None, rounds: int = 64) -> DataFrame:
     """All (scope..., node) reachable from ``starts`` (scope..., node, further columns kept per start) over edges (scope..., src, dst, ...).
 
@@ -39,13 +54,14 @@ def reach(starts: DataFrame, edges: DataFrame, scope: list[str], allowed: Column
     state = [c for c in starts.columns if c != "node"]
     hops = edges.withColumnRenamed("src", "node")
     seen = frontier = cut(starts.select(*state, "node").distinct())
+    parts = [seen]
     for _ in range(rounds):
         step = frontier.join(hops, [*scope, "node"])
         step = (step.where(allowed) if allowed is not None else step).select(*state, F.col("dst").alias("node")).distinct()
         frontier = cut(step.join(seen, [*state, "node"], "left_anti"))
         if frontier.isEmpty():
             return seen
-        seen = cut(seen.unionByName(frontier))
+        parts, seen = _grown(parts, frontier)
     raise ValueError(f"reachability needs more than {rounds} rounds")
 
 
@@ -77,6 +93,7 @@ def reach_back(starts: DataFrame, edges: DataFrame, scope: list[str], allowed: C
     hops = edges.withColumnRenamed("src", "node")
     kinds = dict(hops.dtypes)
     seen = frontier = cut(starts.select(*state, "node").distinct().select("*", F.lit(None).cast(kinds["node"]).alias("parent"), F.lit(None).cast(kinds["edge"]).alias("edge")))
+    parts = [seen]
     for _ in range(rounds):
         step = frontier.drop("parent", "edge").join(hops, [*scope, "node"])
         step = (step.where(allowed) if allowed is not None else step).groupBy(*state, F.col("dst").alias("_dst")).agg(F.min(F.struct("node", "edge")).alias("_by"))
@@ -84,7 +101,7 @@ def reach_back(starts: DataFrame, edges: DataFrame, scope: list[str], allowed: C
         frontier = cut(step.join(seen, [*state, "node"], "left_anti"))
         if frontier.isEmpty():
             return seen
-        seen = cut(seen.unionByName(frontier))
+        parts, seen = _grown(parts, frontier)
     raise ValueError(f"reachability needs more than {rounds} rounds")
 
 

@@ -121,7 +121,8 @@ def facts(files: DataFrame) -> DataFrame:
         for b in batches:
             yield pd.DataFrame([row for p, t in zip(b["path"], b["text"]) for row in _file_facts(p, t or "")], columns=columns)
 
-    return files.where(F.endswith("path", F.lit(".py"))).select("path", "text").mapInPandas(run, FACTS)
+    rows = files.where(F.endswith("path", F.lit(".py"))).select("path", "text")
+    return graph.dealt(rows, "path").mapInPandas(run, FACTS)
 
 
 def definitions(found: DataFrame, symbol: str, most: int = 50) -> DataFrame:
@@ -178,6 +179,7 @@ def tainted_sinks(found: DataFrame, rounds: int = 16) -> DataFrame:
 
     Nodes are names in their scope. Arguments flow to parameters of functions of the same file, their returns back to the caller.
     """
+    found = graph.cut(found)  # read in every round below, parsed once
     node = lambda scope, name: F.concat_ws("|", "path", scope, name)
     assign = found.where("kind = 'assign'")
     plain = assign.select("path", node("scope", "name").alias("src"), node("scope", "target").alias("dst"))
@@ -187,7 +189,7 @@ def tainted_sinks(found: DataFrame, rounds: int = 16) -> DataFrame:
     into = passed.join(functions, ["path", "f"]).join(parameters, ["path", "inner", "nth"]).select("path", node("scope", "name").alias("src"), node("inner", "p").alias("dst"))
     used = assign.select("path", "scope", _own(F.regexp_replace("name", r"\(\)$", "")).alias("f"), "name").unionByName(passed.select("path", "scope", _own(F.regexp_replace("name", r"\(\)$", "")).alias("f"), "name")).where(F.endswith("name", F.lit("()"))).distinct()
     back = used.join(functions, ["path", "f"]).select("path", node("inner", F.lit("return")).alias("src"), node("scope", "name").alias("dst"))
-    edges = plain.unionByName(into).unionByName(back).distinct()
+    edges = graph.cut(plain.unionByName(into).unionByName(back).distinct())
     named = found.where("kind in ('assign', 'argument')").withColumn("origin", _source(F.col("name"))).where("origin is not null")
     starts = named.select("path", "origin", node("scope", "name").alias("node")).distinct()
     reached = graph.reach(starts, edges, ["path"], rounds=rounds)

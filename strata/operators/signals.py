@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strata.operators.graph import cut
+
 
 def _call() -> Column:
     return F.lower("name")
@@ -81,6 +83,7 @@ def symbol_signals(found: DataFrame) -> DataFrame:
     (a name with query or sql, or a call such as execute), parses structured data, or has names that matter to security.
     Route decorators add to paths. Categories without a signal have no row; rules for single products are not among these.
     """
+    found = cut(found)  # read seven times below, parsed once
     inside = F.expr("transform(sequence(1, size(split(scope, '[.]'))), n -> concat_ws('.', slice(split(scope, '[.]'), 1, n)))")
     rows = found.where("scope <> ''").withColumn("symbol", F.explode(inside))
     calls, words = rows.where("kind = 'form'"), rows.where("kind = 'identifier'")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strata.operators import dataflow, joins, lookups, privacy, ranking
+from strata.operators import dataflow, graph, joins, lookups, privacy, ranking
 from strata.plans.catalog import query
 from strata.plans.proofs import _diffs, _folder
 from strata.sources import datasets, diffs, sinks
@@ -26,7 +26,7 @@ def resolved_imports(t):
     files = rows.select(project, F.lit("main.py").alias("path"), main.alias("text"))
     body = F.lit("def go(v):\n    return v\n").alias("text")
     files = files.unionByName(rows.select(project, F.when(form == 3, "pkg/tool.py").otherwise("tool.py").alias("path"), body)).unionByName(rows.where(form == 2).select(project, F.lit("tool/__init__.py").alias("path"), body))
-    return dataflow.resolved_calls(dataflow.flows(files)).select("project", "line", "to_path")
+    return dataflow.resolved_calls(graph.cut(dataflow.flows(files))).select("project", "line", "to_path")
 
 
 @query("""

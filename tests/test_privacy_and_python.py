@@ -2,7 +2,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strata.operators import privacy, python_facts
+from strata.operators import dataflow, privacy, python_facts
 
 
 def test_base64_spans_and_redaction(spark):
@@ -65,3 +65,12 @@ def test_python_facts(spark):
     assert {("entrypoint", "run"), ("source", "request.args.get"), ("source", "os.getenv"), ("sink", "os.system"), ("sink", "eval"), ("sink", "cursor.execute"), ("sink", "subprocess.run"), ("unresolved", "cursor.execute")} <= surface
     sinks = {(r["line"], r["sink"], r["cwe"], r["origin"]) for r in python_facts.tainted_sinks(found).collect()}
     assert sinks == {(15, "subprocess.run", "CWE-78", "request query parameter"), (23, "cursor.execute", "CWE-89", "environment variable")}
+
+
+def test_parsing_is_dealt(spark):
+    """A table that is read in one split is parsed by as many tasks as a shuffle has."""
+    files = spark.createDataFrame([(f"m{k}.py", f"p{k}", "x = input()\neval(x)\n") for k in range(40)], "path string, project string, text string").coalesce(1)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for found in (python_facts.facts(files), dataflow.flows(files)):
+        assert found.rdd.getNumPartitions() == parts > 1
+        assert found.select("path").distinct().count() == 40
