@@ -15,10 +15,13 @@ few letters that match an ASCII letter in some case are that letter.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 from operator import or_
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +29,7 @@ from strata.functions import text as T
 
 PAGE_LINES = 100
 BUCKETS = 64
+PIECE = 1 << 20
 SPECIAL = set(".^$*+?{}[]\\|()")
 
 
@@ -33,11 +37,25 @@ def folded(text: Column) -> Column:
     return F.lower(F.translate(text, "İıſK", "iisk"))
 
 
-def trigrams(text: Column) -> Column:
-    """The distinct trigrams of a text."""
-    chars = F.split(text, "")
-    triple = F.transform(F.sequence(F.lit(1), F.size(chars) - 2), lambda i: F.concat(F.element_at(chars, i), F.element_at(chars, i + 1), F.element_at(chars, i + 2)))
-    return F.when(F.char_length(text) >= 3, F.array_distinct(triple)).otherwise(F.array().cast("array<string>"))
+def _trigrams(text: str) -> np.ndarray:
+    """The distinct trigrams of a text's lines, each three code points of 21 bits. A long text is taken in pieces."""
+    found = []
+    for i in range(0, max(len(text) - 2, 0), PIECE):
+        c = np.frombuffer(text[i : i + PIECE + 2].encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        inside = c != ord("\n")
+        found.append(np.unique((c[:-2] << 42 | c[1:-1] << 21 | c[2:])[inside[:-2] & inside[1:-1] & inside[2:]]))
+    return np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
+
+
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(page, trigram) of pages (page, text)."""
+    for batch in batches:
+        for page, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            keys = _trigrams(text.as_py())
+            for i in range(0, len(keys), PIECE):
+                part = keys[i : i + PIECE]
+                chars = np.stack([part >> 42, part >> 21 & 0x1FFFFF, part & 0x1FFFFF], 1).astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), page)), pa.array([chars[j : j + 3] for j in range(0, len(chars), 3)], pa.string())], names=["page", "trigram"])
 
 
 def _bucket(value: Column) -> Column:
@@ -46,14 +64,14 @@ def _bucket(value: Column) -> Column:
 
 def write_index(files: DataFrame, folder: str, page_lines: int = PAGE_LINES) -> None:
     """Write the index of files (path, text) to a new folder."""
-    numbered = files.select("path", F.posexplode(T.lines(F.col("text"))).alias("pos", "content"))
-    nth = F.floor(F.col("pos") / page_lines)
-    pages = numbered.select("path", nth.alias("nth"), F.struct((F.col("pos") + 1).alias("line"), "content").alias("x")).groupBy("path", "nth").agg(F.sort_array(F.collect_list("x")).alias("lines"))
+    cut = F.transform(F.sequence(F.lit(0), F.size("all") - 1, F.lit(page_lines)), lambda at: F.struct(F.floor(at / page_lines).alias("nth"), F.transform(F.slice("all", at + 1, page_lines), lambda c, i: F.struct((at + i + 1).alias("line"), c.alias("content"))).alias("lines")))
+    # Outer, as the filter that Spark puts before another explode would make all pages once more.
+    pages = files.select("path", T.lines(F.col("text")).alias("all")).select("path", F.explode_outer(F.when(F.size("all") > 0, cut)).alias("x")).where("x is not null").select("path", "x.*")
     pages = pages.select("path", "lines", F.xxhash64("path", "nth").alias("page"))
     spread = F.pmod(F.col("page"), F.lit(4))  # files of a bucket, so that a common trigram is no task of its own
     pages.withColumn("bucket", _bucket(F.col("page"))).repartition("bucket", spread).sortWithinPartitions("bucket", "page").write.partitionBy("bucket").parquet(f"{folder}/pages")
     stored = files.sparkSession.read.parquet(f"{folder}/pages")
-    found = stored.select("page", F.explode(F.array_distinct(F.flatten(F.transform("lines", lambda x: trigrams(folded(x["content"])))))).alias("trigram"))
+    found = stored.select("page", folded(F.array_join(F.transform("lines", lambda x: x["content"]), "\n")).alias("text")).mapInArrow(_postings, "page long, trigram string")
     found.withColumn("bucket", _bucket(F.col("trigram"))).repartition("bucket", spread).sortWithinPartitions("bucket", "trigram").write.partitionBy("bucket").parquet(f"{folder}/postings")
 
 

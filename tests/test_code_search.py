@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from strata.operators import code_search as C
 
@@ -57,3 +59,16 @@ def test_many_pages_are_joined(spark, index, monkeypatch):
     want = C.search(spark, index, "filler", limit=100).collect()
     monkeypatch.setattr(C, "NAMED_PAGES", 2)
     assert C.search(spark, index, "filler", limit=100).collect() == want and len(want) == 100
+
+
+def test_long_lines_and_letters_of_two_units(spark, tmp_path):
+    # Each trigram of a line used to split the whole line anew, so the work grew with the square of its length; 60,000 characters took minutes.
+    long = "".join(chr(97 + i * i * 7 % 26) for i in range(60_000)) + "a𝄞b"
+    files = spark.createDataFrame([("long", f"{long}\n\nxy"), ("end", "q" * C.PIECE + "zw"), ("empty", ""), ("null", None)], "path string, text string")
+    start = time.perf_counter()
+    C.write_index(files, f"{tmp_path}/i")
+    assert time.perf_counter() - start < 60
+    posts = spark.read.parquet(f"{tmp_path}/i/postings").join(spark.read.parquet(f"{tmp_path}/i/pages"), "page").groupBy("path").agg(F.collect_list("trigram").alias("t"))
+    got = {r.path: sorted(r.t) for r in posts.collect()}
+    assert got == {"long": sorted({long[i : i + 3] for i in range(len(long) - 2)}), "end": ["qqq", "qqz", "qzw"]}
+    assert [(r.path, r.line) for r in C.search(spark, f"{tmp_path}/i", "QQZW").collect()] == [("end", 1)]
