@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strata.operators import audit, ranking
+from strata.operators import audit, graph, ranking
 from strata.plans.catalog import query
 from strata.sources import wire
 
@@ -94,5 +94,5 @@ def wire_violations(t):
         ("request_id", pick("duplicate-field:request_id", '"r"', none)), ("snapshot_sha256", text(pick("snapshot-hash", hexed("t"), hexed("s")))), ("tool_runs", "[]"), ("bundle_sha256", text(pick("bundle-digest", hexed("b"), digest))),
         ("diagnostics", pick("missing-field:diagnostics", none, "[]")), ("note", pick("unknown-field:note", "{}", none)),
     )
-    bundles = t("orders").select(k.alias("bundle_id"), raw.alias("raw"), hexed("s").alias("snapshot_hash"), hexed("c").alias("context_hash"), F.lit("src").alias("root"))
+    bundles = graph.dealt(t("orders").select("o_orderkey"), "o_orderkey").select(k.alias("bundle_id"), raw.alias("raw"), hexed("s").alias("snapshot_hash"), hexed("c").alias("context_hash"), F.lit("src").alias("root"))
     return wire.violations(bundles)

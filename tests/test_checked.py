@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from strata.operators import audit, ranking
@@ -39,3 +41,22 @@ def test_wire_of_odd_texts(spark):
     assert got[1] == got[2] == got[3] == {"bundle|not-an-object:"}
     assert {f"bundle|missing-field:{n}" for n in wire.BUNDLE} <= got[4]
     assert {"unit/0|not-an-object:", "unit/1/fact/0|unknown-kind"} <= got[5]
+
+
+def test_a_bundle_is_made_and_read_once(spark):
+    # Each level and check used to make the raw texts anew, and filters before explodes made them again.
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def raw(n):
+        made.add(1)
+        facts = [{"fact_id": f"{i % 3:064d}", "kind": "release", "related_fact_ids": [f"{2:064d}", f"{7:064d}", None]} for i in range(n)]
+        return json.dumps({"translation_units": [{"facts": facts}, {"facts": []}, None], "note": 1, "diagnostics": []})
+
+    bundles = spark.createDataFrame([(1, 4), (2, 0), (3, wire.MOST_FACTS + 1)], "bundle_id int, n int").select("bundle_id", raw("n").alias("raw"), F.lit("s").alias("snapshot_hash"), F.lit("c").alias("context_hash"), F.lit("").alias("root"))
+    rows = wire.violations(bundles).collect()
+    assert made.value == 3
+    of = lambda b, v: sorted(r.place for r in rows if (r.bundle_id, r.violation) == (b, v))
+    assert of(1, "duplicate-id") == ["unit/0/fact/3"] and of(1, "dangling-reference") == sorted([f"unit/0/fact/{i}" for i in range(4)] * 2)
+    assert of(3, "fact-budget") == ["bundle"] and of(1, "fact-budget") == of(2, "fact-budget") == [] and len(of(3, "duplicate-id")) == wire.MOST_FACTS - 2
+    assert of(2, "unknown-field:note") == ["bundle"] and of(2, "not-an-object:") == ["unit/2"] and of(1, "missing-field:coverage") == ["unit/0", "unit/1"]
