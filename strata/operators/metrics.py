@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+from operator import or_
+
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata.functions import text as T
@@ -163,6 +167,33 @@ def nearest_rank(value: str, p: float) -> Column:
     return F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {value})")
 
 
+def nearest_ranks(df: DataFrame, by: str, value: str, p: float, parts: int = 4096, few: int = 100_000) -> DataFrame:
+    """(by, mean, at) of few groups of any size: a group's mean, and its value of rank ceil(n * p).
+
+    ``nearest_rank`` holds a group's distinct values in one task, and each task before it all that it meets. Here the values between
+    two bounds are counted in equal ranges, and the range that has the rank gives the next bounds, until ``few`` values are left.
+    """
+    v, rows = F.col(value), df.select(by, value).where(F.col(value).isNotNull())
+    groups = rows.groupBy(by).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.min(value).alias("lo"), F.max(value).alias("hi")).collect()
+    rank = {g[by]: max(1, math.ceil(g.n * p)) for g in groups}
+    left = {g[by]: (g.lo, g.hi, g.n) for g in groups}
+    inside = lambda g: (F.col(by) == g) & v.between(*left[g][:2])
+    while wide := [g for g, (lo, hi, n) in left.items() if n > few and lo < hi and math.isfinite(hi - lo)]:
+        part = F.coalesce(*[F.when(inside(g), F.least(F.floor((v - left[g][0]) / (left[g][1] - left[g][0]) * parts), F.lit(parts - 1))) for g in wide])
+        counts = rows.withColumn("_part", part).where("_part is not null").groupBy(by, "_part").agg(F.count("*").alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi")).collect()
+        for g in wide:
+            for c in sorted((c for c in counts if c[by] == g), key=lambda c: c["_part"]):
+                if rank[g] <= c.n:
+                    left[g] = (c.lo, c.hi, c.n)
+                    break
+                rank[g] -= c.n
+    if not left:
+        return rows.groupBy(by).agg(F.avg(value).alias("mean"), F.min(value).alias("at"))
+    last = rows.where(reduce(or_, [inside(g) for g in left])).groupBy(by, value).agg(F.count("*").alias("_n"))
+    upto = last.withColumn("_upto", F.sum("_n").over(Window.partitionBy(by).orderBy(value)))
+    return upto.where(F.col("_upto") >= T.literal_map(rank)[F.col(by)]).groupBy(by).agg(F.min(value).alias("at")).select(by, T.literal_map({g[by]: g.mean for g in groups})[F.col(by)].alias("mean"), "at")
+
+
 def latency_summary(samples: DataFrame, by: list[str], least_cold: int = 3, least_warm: int = 5) -> DataFrame:
     """Cold and warm percentiles, all null unless both modes have enough successes. Samples: mode, outcome, wall_time_ms."""
     good = samples.withColumn("cold", F.when((F.col("mode") == "cold") & (F.col("outcome") == "success"), F.col("wall_time_ms"))).withColumn("warm", F.when((F.col("mode") == "warm") & (F.col("outcome") == "success"), F.col("wall_time_ms")))
@@ -355,7 +386,7 @@ def platform_scores(revisions: DataFrame) -> DataFrame:
 def _seconds(cases: DataFrame) -> DataFrame:
     """One row: mean and nearest-rank p95 of scans, retrievals and model calls over both revisions, zero without any."""
     sides = [F.struct(F.lit(kind).alias("kind"), F.col(f"{kind}.{side}_ms").alias("ms")) for kind in ("scan", "retrieval", "llm") for side in ("vulnerable", "fixed")]
-    timed = cases.select(F.explode(F.array(*sides)).alias("x")).select("x.*").where("ms is not null").groupBy("kind").agg(F.avg("ms").alias("mean"), nearest_rank("ms", 0.95).alias("p95"))
+    timed = nearest_ranks(cases.select(F.explode(F.array(*sides)).alias("x")).select("x.*"), "kind", "ms", 0.95).withColumnRenamed("at", "p95")
     return timed.agg(*[rounded(F.coalesce(F.max(F.when(F.col("kind") == k, F.col(m))), F.lit(0.0)), 3).alias(f"{k}_ms_{m}") for k in ("scan", "retrieval", "llm") for m in ("mean", "p95")])
 
 

@@ -76,3 +76,17 @@ def test_a_function_runs_once_a_row(spark):
     good, bad = attempts.results_and_failures(attempts.attempted(rows, halved, "id", "long"), ["id"])
     assert [r["id"] for r in bad.collect()] == list(range(0, 100, 5)) and good.count() == 80 and good.unionByName(bad.withColumn("result", bad["id"]).drop("failure")).count() == 100
     assert calls.value == 100
+
+
+def test_ranks_over_many_values(spark):
+    rows = spark.range(2000).select(F.when(F.col("id") < 500, "a").when(F.col("id") < 1999, "b").otherwise("c").alias("g"), F.when(F.col("id") % 7 > 0, (F.col("id") * 37 % 601) / 8).alias("v"))
+    plain = rows.where("v is not null").groupBy("g")
+    for p in (0.0, 0.5, 0.95, 1.0):
+        got = {r.g: (round(r.mean, 9), r.at) for r in metrics.nearest_ranks(rows, "g", "v", p, parts=3, few=2).collect()}
+        assert got == {r.g: (round(r.m, 9), r.at) for r in plain.agg(F.avg("v").alias("m"), metrics.nearest_rank("v", p).alias("at")).collect()} and len(got) == 3
+    assert metrics.nearest_ranks(rows.limit(0), "g", "v", 0.5).collect() == []
+
+
+def test_report_holds_no_values_in_a_buffer(spark, sf_dir):
+    report = metrics.evaluation_report(_cases(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")))
+    assert "percentile" not in report._jdf.queryExecution().optimizedPlan().toString().lower()
