@@ -64,7 +64,7 @@ def test_a_bundle_is_made_and_read_once(spark):
 
 def test_levels_keep_their_partitions(spark):
     # Objects and arrays were a union, so partitions doubled with each level.
-    rows = spark.createDataFrame([(1, "", [], '{"b": ["x"], "a": "y"}', "OBJECT"), (1, "m0", [0], '["x", 1, {}]', "ARRAY")], "id int, path string, places array<int>, text string, kind string").coalesce(1)
-    inner = audit._children(rows, ["id"])
-    assert inner.rdd.getNumPartitions() == 1
+    rows = spark.createDataFrame([(1, "", [], '{"b": ["x"], "a": "y"}', "OBJECT"), (1, "m0", [0], '["x", 1, {}]', "ARRAY")], "id int, path string, places array<int>, text string, kind string")
+    inner = audit._children(audit.cut(rows.repartition(2)), ["id"])
+    assert inner.rdd.getNumPartitions() == 2
     assert sorted((r.path, r.places, r.text, r.kind) for r in inner.collect()) == [("m0", [0], '["x"]', "ARRAY"), ("m0[0]", [0, 0], "x", "STRING"), ("m0[2]", [0, 2], "{}", "OBJECT"), ("m1", [1], "y", "STRING")]
