@@ -6,10 +6,11 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 #: Rows and estimated bytes up to which a small side may be broadcast; beyond either a shuffled join is used.
 BROADCAST_ROWS = 1_000_000
@@ -109,8 +110,43 @@ def fresh(df: DataFrame, wanted: str) -> str:
     return name
 
 
-#: Rows of an Arrow batch that are Python objects at the same time.
+def whole_text(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` with its text as strings, and that column's name: ``text`` itself where it holds strings, so that no task gets each text twice."""
+    if any(f.name == "text" and f.dataType == StringType() for f in df.schema):
+        return df, "text"
+    name = fresh(df, "whole_text")
+    return df.withColumn(name, F.col("text").cast("string")), name
+
+
+#: Rows of an Arrow batch that are Python objects at the same time, and the bytes they hold at most (a longer row stands alone).
 SLICE_ROWS = 1024
+SLICE_BYTES = 16 << 20
+
+
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in parts of at most SLICE_ROWS rows and SLICE_BYTES bytes, without a copy."""
+    todo = [batch.slice(at, SLICE_ROWS) for at in range(0, batch.num_rows, SLICE_ROWS)][::-1]
+    while todo:
+        part = todo.pop()
+        if part.num_rows > 1 and part.nbytes > SLICE_BYTES:
+            half = part.num_rows // 2
+            todo += [part.slice(half), part.slice(0, half)]
+        else:
+            yield part
+
+
+def map_slices(df: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
+    """As ``mapInPandas``, but ``run`` gets slices of the Arrow batches, so that a batch of texts is never all Python objects at once."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    made = StructType.fromDDL(schema)
+    types = to_arrow_schema(made)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in run(part.to_pandas() for batch in batches for part in slices(batch)):
+            yield pa.RecordBatch.from_pandas(frame, types, preserve_index=False)
+
+    return df.mapInArrow(each, made)
 
 
 def per_row(df: DataFrame, inputs: list[str], fields: list[StructField], make: Callable[[], Callable]) -> DataFrame:
@@ -127,8 +163,7 @@ def per_row(df: DataFrame, inputs: list[str], fields: list[StructField], make: C
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compute = make()
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE_ROWS):
-                part = batch.slice(at, SLICE_ROWS)
+            for part in slices(batch):
                 made = compute(*[part.column(part.schema.get_field_index(c)).to_pylist() for c in inputs])
                 yield pa.RecordBatch.from_arrays([*part.columns, *[pa.array(x, t) for x, t in zip(made, types)]], names=[*part.schema.names, *[f.name for f in fields]])
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField
 
-from strata.llm.common import fresh, per_row
+from strata.llm.common import fresh, map_slices, per_row, whole_text
 
 SEED_WORDS = 4
 #: A seed is rare if at most this share of the documents has it, or this many.
@@ -139,7 +139,7 @@ def document_counts(documents: DataFrame, block: Items) -> np.ndarray:
         some = np.flatnonzero(total)
         yield pd.DataFrame({"seed": some, "n": total[some]})
 
-    found = documents.select(F.col("text").cast("string").alias("text")).mapInPandas(count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
+    found = map_slices(documents.select(F.col("text").cast("string").alias("text")), count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
     out = np.zeros(len(block.seeds), dtype=np.int64)
     for row in found.toLocalIterator():  # at most one row a seed of this bounded block
         out[row["seed"]] = row["n"]
@@ -230,8 +230,8 @@ def score(documents: DataFrame, benchmark: DataFrame, score_column: str = "score
             return run
 
         a, b = fresh(out, "best_score"), fresh(out, "best_item")
-        text = fresh(out, "whole_text")
-        wider = per_row(out.withColumn(text, F.col("text").cast("string")), [text, score_column, item_column], [StructField(a, DoubleType()), StructField(b, LongType())], make)
+        given, text = whole_text(out)
+        wider = per_row(given, [text, score_column, item_column], [StructField(a, DoubleType()), StructField(b, LongType())], make)
         out = wider.select(*[c for c in documents.columns], F.col(a).alias(score_column), F.col(b).alias(item_column))
     return out
 

@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import attach, fresh, small, stored
+from strata.llm.common import attach, fresh, map_slices, small, stored
 from strata.llm.components import components
 
 WORDS = 5
@@ -334,7 +334,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     """
     rows = nodes_of(documents)
     # Ids travel as text through pandas, which would turn a column of numbers with a null into floats.
-    made = rows.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(_sketch_rows, "doc_id string, node binary, n_shingles int, sig binary, bands array<bigint>")
+    made = map_slices(rows.withColumn("doc_id", F.col("doc_id").cast("string")), _sketch_rows, "doc_id string, node binary, n_shingles int, sig binary, bands array<bigint>")
     sketched = stored(made.withColumn("doc_id", F.col("doc_id").cast("long")), "sketches")
     texts = stored(sketched.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n_copies"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "texts")
 
@@ -349,7 +349,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     # Only texts in groups are read again, one row of each.
     again = rows.alias("r").join(small(wanted).alias("w"), (F.col("r.node") == F.col("w.node")) & F.col("r.doc_id").eqNullSafe(F.col("w.first_id")))
     again = again.select("r.node", "w.root", "w.n", "w.shingles", "r.text").dropDuplicates(["node"])
-    sets = again.mapInPandas(_shingle_sets, "node binary, root binary, n long, shingles long, hashes binary")
+    sets = map_slices(again, _shingle_sets, "node binary, root binary, n long, shingles long, hashes binary")
     blocks = F.greatest(F.ceil(F.col("shingles") / EXACT_SHINGLES), F.least(F.ceil(F.col("n") / EXACT_BLOCK), F.lit(DEALT)))
     verified = stored(_dealt(sets, "root", blocks).drop("n", "shingles").mapInPandas(_verify, "a binary, b binary, links long"), "verified")
     links = verified.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("n_links"))

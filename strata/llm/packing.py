@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata.llm import tokens
-from strata.llm.common import stored
+from strata.llm.common import map_slices, stored
 
 WINDOW = 2048
 END_ID = 1
@@ -115,6 +115,7 @@ def _pieces(path: str, window: int, shards: int, keep_ids: bool):
                     sequence, turn = sequence + (place[0] < 0), turn + (place[0] >= 0)
                     rows.append((doc_id, start, len(part) // 4, zlib.crc32(part), total, *place, *[part] * keep_ids))
             yield pd.DataFrame(rows, columns=columns)
+        tokens.encoder(path).forget()  # the worker lives on for other stages
 
     return run
 
@@ -141,7 +142,7 @@ def _packed(documents: DataFrame, window: int, tokenizer: str | None, shard_item
     shards = max(1, -(-documents.count() // shard_items))
     ids = IDS if keep_ids else ""
     rows = documents.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    made = stored(rows.mapInPandas(_pieces(tokenizer or tokens.default_path(), window, shards, keep_ids), PIECES + ids), "pieces")
+    made = stored(map_slices(rows, _pieces(tokenizer or tokens.default_path(), window, shards, keep_ids), PIECES + ids), "pieces")
     whole = made.where("shard < 0").drop("shard").withColumn("offset", F.lit(0).cast("long"))
     items = made.where("shard >= 0").groupBy("shard").applyInPandas(_pack_shard(window), PACKED + ids)
     return whole.unionByName(items).withColumn("doc_id", F.col("doc_id").cast("long"))

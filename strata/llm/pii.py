@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField
 
-from strata.llm.common import fresh, per_row
+from strata.llm.common import fresh, per_row, whole_text
 
 KINDS = ("email", "ip", "card", "phone")
 # The base forms. The first two are found in pieces below, as runs of letters or digits would cost their square.
@@ -515,7 +515,7 @@ def redact(documents: DataFrame) -> DataFrame:
 
         return run
 
-    whole = fresh(documents, "whole_text")
-    rows = per_row(documents.withColumn(whole, F.col("text").cast("string")), [whole], [StructField(name, StringType())], make)
+    given, whole = whole_text(documents)
+    rows = per_row(given, [whole], [StructField(name, StringType())], make)
     changed = {"text": F.col(name)} | ({"n_chars": F.when(F.col(whole) == F.col(name), F.col("n_chars")).otherwise(F.length(name)).cast(documents.schema["n_chars"].dataType)} if "n_chars" in documents.columns else {})
     return rows.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in documents.columns])

@@ -29,6 +29,7 @@ def _lengths(path: str):
         encode = tokens.encoder(path).encode
         for batch in batches:
             yield pd.DataFrame({"n_tokens": [len(encode(x)) // 4 for x in batch["text"]]}).astype("int64")
+        tokens.encoder(path).forget()
 
     return run
 

@@ -1,8 +1,8 @@
 """Token ids of whole texts by a public word-level BPE vocabulary.
 
 The vocabulary drops white space and never merges across it, so a text's ids are
-the ids of its white-space-separated pieces in order. Pieces repeat, hence each
-Python worker remembers the ids of those it has met.
+the ids of its white-space-separated pieces in order. Pieces repeat, hence a task
+remembers the ids of those it has met; what follows in the same worker doesn't.
 """
 
 from __future__ import annotations
@@ -14,8 +14,8 @@ from functools import lru_cache
 
 import public_tokenizers
 
-#: Pieces remembered in one Python worker; the memory is emptied when full, which costs time only.
-CACHE_PIECES = 600_000
+#: Pieces remembered by one task; the memory is emptied when full, which costs time only.
+CACHE_PIECES = 200_000
 
 #: ASCII characters that are no letters, digits or apostrophes: a run of them after a word is one piece of its own.
 TRAILING = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -82,13 +82,17 @@ class PieceEncoder:
         got = self.ids[piece] = self._slow(piece)
         return got
 
+    def forget(self) -> None:
+        """Empty the memory of pieces: when it is full, and at a task's end, as the worker and its encoder stay."""
+        self.ids.clear()
+        self.words.clear()
+        self.runs.clear()
+
     def encode(self, text: str | None) -> bytes:
         """The ids of a whole text as consecutive little-endian unsigned 32-bit values."""
         known = self.ids
         if len(known) > CACHE_PIECES:
-            known.clear()
-            self.words.clear()
-            self.runs.clear()
+            self.forget()
         pieces = pieces_of(text or "")
         try:
             return b"".join(map(known.__getitem__, pieces))

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField
 
-from strata.llm.common import crc_mod, fresh, per_row, small
+from strata.llm.common import crc_mod, fresh, per_row, small, whole_text
 
 SLOTS = 1 << 28
 FACTORS = 4
@@ -283,9 +283,9 @@ def train(documents: DataFrame, labels: DataFrame, held_out: tuple[int, int] | N
 def score(documents: DataFrame, machine: Machine, column: str = "score") -> DataFrame:
     """``documents`` with a score for every whole text."""
     shared = documents.sparkSession.sparkContext.broadcast(machine)
-    text = fresh(documents, "whole_text")
-    wide = per_row(documents.withColumn(text, F.col("text").cast("string")), [text], [StructField(column, DoubleType())], lambda: Scorer(shared.value))
-    return wide.drop(text)
+    given, text = whole_text(documents)
+    wide = per_row(given, [text], [StructField(column, DoubleType())], lambda: Scorer(shared.value))
+    return wide if text == "text" else wide.drop(text)
 
 
 def detect(documents: DataFrame, labels: DataFrame) -> DataFrame:
