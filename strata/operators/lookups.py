@@ -44,12 +44,16 @@ def conflicting_fields(values: DataFrame) -> DataFrame:
 def projected_fields(values: DataFrame, wanted: DataFrame, priority: str = "priority", tie: str | None = None) -> DataFrame:
     """Each wanted (entity, field) with the value of its first document, all pointers to it, and a reason where there is none.
 
-    ``tie`` is a column that tells rows of one priority and pointer apart: the least one's value counts.
+    ``tie`` is a column that tells rows of one priority and pointer apart: the least one's value counts. A row without a value
+    gives none, one without a pointer is no source; a missing priority or pointer comes last.
     """
-    order = F.struct(priority, "pointer", *([tie] if tie else []))
-    first = values.groupBy("entity", "field").agg(F.min_by("value", order).alias("value"), F.transform(F.sort_array(F.collect_list(F.struct(priority, "pointer"))), lambda x: x["pointer"]).alias("sources"))
+    place = [F.isnull(priority).alias("_late"), priority, F.isnull("pointer").alias("_lost"), "pointer"]
+    order = F.when(F.col("value").isNotNull(), F.struct(*place, *([tie] if tie else [])))
+    pointers = F.transform(F.sort_array(F.collect_list(F.when(F.col("pointer").isNotNull(), F.struct(*place)))), lambda x: x["pointer"])
+    first = values.groupBy("entity", "field").agg(F.min_by("value", order).alias("value"), pointers.alias("sources"), F.lit(True).alias("_stated"))
     out = wanted.join(first, ["entity", "field"], "left")
-    return out.withColumn("sources", F.coalesce("sources", F.array().cast("array<string>"))).withColumn("note", F.when(F.size("sources") == 0, "not stated").when(F.col("value") == "null", "stated as null"))
+    note = F.when(F.col("_stated").isNull(), "not stated").when(F.col("value") == "null", "stated as null")
+    return out.withColumn("sources", F.coalesce("sources", F.array().cast("array<string>"))).withColumn("note", note).drop("_stated")
 
 
 def clipped(text: Column, limit: int | Column) -> Column:

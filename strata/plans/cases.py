@@ -130,7 +130,7 @@ def projected_fields(t):
     """Fields of parts as the first line that states them does (of lines with one number, the first in the table), with all that do, and why others have none."""
     l = t("lineitem").select(
         F.col("l_partkey").alias("entity"), F.when(F.col("l_linenumber") % 2 == 0, "size").otherwise("name").alias("field"), F.when(F.col("l_returnflag") == "N", "null").otherwise(F.col("l_suppkey").cast("string")).alias("value"), F.col("l_orderkey").alias("priority"),
-        F.concat_ws("-", "l_orderkey", "l_linenumber").alias("pointer"), F.struct("_metadata.file_path", "_metadata.row_index").alias("nth"),
+        F.concat(F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string")).alias("pointer"), F.struct("_metadata.file_path", "_metadata.row_index").alias("nth"),
     )
     wanted = t("part").select(F.col("p_partkey").alias("entity"), F.explode(F.lit(["size", "name", "color"])).alias("field"))
     return lookups.projected_fields(l, wanted, tie="nth").select("entity", "field", "value", F.array_join("sources", " ").alias("sources"), "note")

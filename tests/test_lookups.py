@@ -2,10 +2,13 @@ from __future__ import annotations
 
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from strata.operators import lookups
+from strata.plans import cases  # noqa: F401
+from strata.plans.catalog import ORACLES, QUERIES
 
 
 def test_search_tells_of_more(spark):
@@ -40,6 +43,25 @@ def test_rows_of_one_pointer(spark):
         assert lookups.projected_fields(rows.coalesce(1), wanted, tie="nth").first()["value"] == "9"
 
 
+def test_fields_of_rows_with_nulls(spark):
+    rows = [("e", "a", None, "p1", 1), ("e", "a", "5", "p2", 2), ("e", "b", "6", None, 1), ("e", "b", "7", "p3", 1), ("e", "c", "8", "p4", None), ("e", "c", "9", "p5", 3), ("e", "d", None, None, 1)]
+    df = spark.createDataFrame(rows, "entity string, field string, value string, pointer string, priority int")
+    wanted = spark.createDataFrame([("e", f) for f in "abcdz"], "entity string, field string")
+    got = {r["field"]: (r["value"], r["sources"], r["note"]) for r in lookups.projected_fields(df, wanted).collect()}
+    assert got == {"a": ("5", ["p1", "p2"], None), "b": ("7", ["p3"], None), "c": ("9", ["p5", "p4"], None), "d": (None, [], None), "z": (None, [], "not stated")}
+
+
+def test_projected_lines_with_nulls(spark, tmp_path):
+    lines = [(1, 1, 1, 10, "A"), (1, 2, 1, None, "A"), (1, 3, None, 11, "A"), (1, None, 1, 12, "A"), (1, 5, 3, 13, None), (2, None, None, 14, "A"), (3, 1, 1, None, "R"), (None, 4, 2, 15, "A")]
+    spark.createDataFrame(lines, "l_partkey long, l_orderkey long, l_linenumber int, l_suppkey long, l_returnflag string").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.range(1, 5).select(F.col("id").alias("p_partkey")).write.parquet(str(tmp_path / "part.parquet"))
+    db = duckdb.connect(config={"threads": 1})
+    for name in ("lineitem", "part"):
+        db.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    want = db.execute(ORACLES["projected_fields"]).fetchall()
+    assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in QUERIES["projected_fields"](spark, str(tmp_path)).collect())
+
+
 def test_clipping(spark):
     rng = random.Random(1)
     texts = ["".join(rng.choice("aé漢𝔘") for _ in range(12)) for _ in range(40)] + ["", None]
