@@ -150,8 +150,11 @@ def candidates(facts: DataFrame) -> DataFrame:
     pairs = freed.join(reached, [*scope, "root"]).join(use, [*scope, "target"])
     both = pairs.where((F.col("use_range") > F.col("release_range")) & (F.col("since").isNull() | (F.col("since") <= F.col("use_range.start"))))
     columns = ["canonical_path", "function_usr", "translation_unit", "allocation_fact_id", "release_fact_id", "use_fact_id", "release_range", "use_range", "root", "target"]
-    both = both.select(*columns)
-    return both.withColumn("candidate_id", F.sha2(F.concat_ws("|", "canonical_path", "function_usr", "allocation_fact_id", "release_fact_id", "use_fact_id"), 256))
+    return both.select(*columns).withColumn("candidate_id", candidate_id())
+
+
+def candidate_id() -> Column:
+    return F.sha2(F.concat_ws("|", "canonical_path", "function_usr", "allocation_fact_id", "release_fact_id", "use_fact_id"), 256)
 
 
 def candidate_paths(found: DataFrame, facts: DataFrame) -> DataFrame:
@@ -216,21 +219,27 @@ def obligations(found: DataFrame, facts: DataFrame, complete: DataFrame, coverag
     renewed = inside("lifetime-restart", "root").select("candidate_id", F.lit(True).alias("renewed")).distinct()
     for side in (answers, moved, renewed):
         rows = rows.join(side, "candidate_id", "left")
+    n = lambda c: F.coalesce(c, F.lit(0))
+    return judged(rows.withColumns({
+        "named": F.expr("array_contains(r_related, allocation_fact_id)"), "later": F.col("use_range") > F.col("release_range"), "bound": n("n_release") > 0, "rebound": n("n_rebinds") > n("n_kept"),
+    }))
 
+
+def judged(rows: DataFrame) -> DataFrame:
+    """(candidate_id, obligation, status) of candidates with what is known of each."""
     yes, no, maybe = F.lit("SATISFIED"), F.lit("REFUTED"), F.lit("UNKNOWN")
     true = lambda c: F.coalesce(c, F.lit(False))
-    n = lambda c: F.coalesce(c, F.lit(0))
     whole, flow, gaps = true(F.col("complete")), true(F.col("cfg_complete")), F.coalesce("semantic_gaps", F.array().cast("array<string>"))
     plain = flow & ~F.arrays_overlap(gaps, F.lit(list(CFG_GAPS)))
     known = true(F.col("a_api").isin(*ALLOCATION_APIS)) & true(F.col("a_pointer") != "") & true(F.col("function_usr") != "")
     path = F.when((plain & true(F.col("u_block") < F.col("r_block"))) | F.array_contains(gaps, UNREACHABLE_GAP), no).when(plain & true(F.col("u_block") == F.col("r_block")), yes).otherwise(maybe)
     statuses = {
         "P1": F.when(~true(F.col("a_kind") == "allocation"), no).when(known, yes).otherwise(maybe),
-        "P2": F.when(n("n_release") > 0, yes).when(whole, no).otherwise(maybe),
-        "P3": F.when(true(F.col("r_kind") == "release") & true(F.expr("array_contains(r_related, allocation_fact_id)")), yes).otherwise(no),
-        "P4": F.when(true(F.col("u_kind").isin(*USE_KINDS)) & (F.col("use_range") > F.col("release_range")), yes).otherwise(no),
+        "P2": F.when(true(F.col("bound")), yes).when(whole, no).otherwise(maybe),
+        "P3": F.when(true(F.col("r_kind") == "release") & true(F.col("named")), yes).otherwise(no),
+        "P4": F.when(true(F.col("u_kind").isin(*USE_KINDS)) & true(F.col("later")), yes).otherwise(no),
         "P5": path,
-        "P6": F.when(~whole, maybe).when(n("n_rebinds") > n("n_kept"), no).otherwise(yes),
+        "P6": F.when(~whole, maybe).when(true(F.col("rebound")), no).otherwise(yes),
         "P7": F.when(F.array_contains(gaps, RESTART_GAP), maybe).when(true(F.col("renewed")), no).otherwise(yes),
     }
     return rows.select("candidate_id", F.inline(F.array(*[F.struct(F.lit(p).alias("obligation"), x.alias("status")) for p, x in statuses.items()])))

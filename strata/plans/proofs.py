@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.operators import graph, metrics, python_facts, state
+from strata.operators import graph, metrics, proving, python_facts, state
 from strata.plans.catalog import query
 from strata.sources import corpus, datasets, diffs, sinks
 from strata.streaming import delivery
@@ -77,7 +77,7 @@ def _statuses(t) -> DataFrame:
     gaps = F.array_compact(F.array(F.when(u % 5 == 0, F.lit("cfg-loop")), F.when(u % 7 == 0, F.lit("lifetime-restart")), F.when(u == 9, F.lit("clang-constant-unreachable"))))
     units = t("orders").select((F.col("o_custkey") % 30).alias("u")).distinct()
     coverage = units.select(F.concat(F.lit("u"), u.cast("string")).alias("translation_unit"), (u % 4 != 0).alias("cfg_complete"), gaps.alias("semantic_gaps"))
-    return graph.obligations(graph.candidates(facts), facts, graph.graph_complete(facts), coverage)
+    return proving.proved(facts, graph.graph_complete(facts), coverage)
 
 
 @query(f"WITH {_STATUSES} SELECT candidate_id, obligation, status FROM s")
