@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from strata.operators import graph, proving
 from strata.plans import proofs
-from strata.plans.catalog import table
+from strata.plans.catalog import QUERIES, table
 
 FACT = (
     "fact_id string, kind string, translation_unit string, canonical_path string, function_usr string, source_range struct<start:int,end:int>, pointer_id string, related_fact_ids array<string>, api string, source_pointer_id string, cfg_block int"
@@ -66,16 +66,27 @@ def test_same_without_coverage(case):
     assert Counter(map(tuple, proving.proved(facts, complete).collect())) == want
 
 
-def test_a_fact_is_shuffled_once(spark, sf_dir):
-    """Rows that the query's stages shuffle, of the facts that it reads: one a fact, and those of allocations and releases once more."""
-    read = lambda name: table(spark, sf_dir, name)
-    n = proofs._facts(read).count()
+def shuffled(spark, build) -> int:
+    """Rows that the stages of a frame shuffle, with those that are run to build it."""
     store, none = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
     stages = lambda: {s.stageId(): s.shuffleWriteRecords() for s in (lambda x: [x.apply(i) for i in range(x.size())])(store.stageList(None, False, False, none, None))}
     before = stages()
-    proofs._statuses(read).write.format("noop").mode("overwrite").save()
-    written = sum(v for k, v in stages().items() if k not in before)
-    assert written < 3 * n, (written, n)
+    build().write.format("noop").mode("overwrite").save()
+    return sum(v for k, v in stages().items() if k not in before)
+
+
+def test_a_fact_is_shuffled_once(spark, sf_dir):
+    """Of the facts that the query reads: one row a fact, and those of allocations and releases once more."""
+    read = lambda name: table(spark, sf_dir, name)
+    n = proofs._facts(read).count()
+    assert shuffled(spark, lambda: proofs._statuses(read)) < 3 * n
+
+
+def test_a_verdict_is_shuffled_once(spark, sf_dir):
+    """No more than the facts and a row for each verdict."""
+    n = proofs._facts(lambda name: table(spark, sf_dir, name)).count()
+    verdicts = QUERIES["proof_verdicts"](spark, sf_dir)
+    assert shuffled(spark, lambda: QUERIES["proof_verdicts"](spark, sf_dir)) < 3 * n + verdicts.count()
 
 
 def test_one_large_function(spark):
